@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import token_count
 from feedloom.operators.numbering import bucketed_window
 from feedloom.schemas import IMAGE_SIDE, SEQUENCE_LENGTH
 
@@ -66,9 +65,13 @@ def collate(df: DataFrame, keys: list[str], pos: str, fields: list[str]) -> Data
     )
 
 
-def batch_tokens(df: DataFrame, text: Column | str = "text", width: int = SEQUENCE_LENGTH) -> DataFrame:
-    """Rows, real tokens and padding share per batch at a fixed width."""
-    counted = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(token_count(text, width)).alias("n_tokens"))
+def batch_tokens(df: DataFrame, tokens: Column, width: int = SEQUENCE_LENGTH) -> DataFrame:
+    """Rows, real tokens and padding share per batch at a fixed width.
+
+    ``tokens`` is the real token count of a sample; take it before a shuffle, so
+    that a number travels and not the text.
+    """
+    counted = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(tokens).alias("n_tokens"))
     share = 1 - F.col("n_tokens") / (F.lit(width) * F.col("n_rows"))
     return counted.withColumn("pad_share", F.round(share, 4))
 

@@ -129,10 +129,10 @@ def assign_workers(ranked: DataFrame, rank: str, workers: int) -> DataFrame:
 
 def starved_workers(shards: DataFrame, worker_counts: list[int]) -> DataFrame:
     """Workers that get no shard, for each worker count asked about."""
-    total = row_count(shards.select("shard_id").distinct())
-    grid = shards.sparkSession.range(1).select(F.explode(F.array(*[F.lit(int(w)) for w in worker_counts])).cast("long").alias("num_workers"))
-    grid = grid.select("num_workers", F.explode(F.expr("sequence(0L, num_workers - 1)")).alias("worker"))
-    return grid.withColumn("n_shards", total).where("worker >= n_shards")
+    asked = F.array(*[F.lit(int(w)).cast("long") for w in worker_counts])
+    total = shards.agg(F.countDistinct("shard_id").alias("n_shards"))
+    grid = total.withColumn("num_workers", F.explode(asked)).withColumn("worker", F.explode(F.expr("sequence(0L, num_workers - 1)")))
+    return grid.where("worker >= n_shards").select("num_workers", "worker", "n_shards")
 
 
 def require_feasible(shards: DataFrame, workers: int) -> None:

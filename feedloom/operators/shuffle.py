@@ -47,7 +47,7 @@ def fetch(index: DataFrame, payload: DataFrame, ident: str) -> DataFrame:
 
 def epoch_orders(df: DataFrame, ident: str, epochs: int, seed: int = 42) -> DataFrame:
     """A fresh order for every epoch, as rows (epoch, id, pos)."""
-    grown = df.select(ident, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).cast("long").alias("epoch"))
+    grown = df.select(ident, F.explode(F.expr(f"sequence(0L, {int(epochs) - 1}L)")).alias("epoch"))
     keyed = grown.withColumn("_key", shuffle_key(ident, seed, F.col("epoch")))
     return bucketed_window(keyed, ["epoch"], hash_bucket("_key"), ["_key", ident], number="pos").drop("_key")
 
