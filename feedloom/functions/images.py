@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from feedloom.schemas import IMAGE_SIDE
+from feedloom.schemas import IMAGE_SIDE, TENSOR
 
 try:
     from PIL import Image as _pillow
@@ -24,8 +25,7 @@ except ImportError:
 
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
-TENSOR_TYPE = "struct<shape: array<int>, dtype: string, data: binary>"
-DECODED_TYPE = f"struct<tensor: {TENSOR_TYPE}, error: string>"
+PIECE_BYTES = 32 << 20
 
 
 def _unfilter(raw: np.ndarray, height: int, stride: int, step: int) -> np.ndarray:
@@ -124,6 +124,7 @@ def encode_image(pixels: np.ndarray, codec: str = "png", quality: int = 95) -> b
     return out.getvalue()
 
 
+@lru_cache(maxsize=64)
 def resize_weights(source: int, target: int) -> np.ndarray:
     """[target, source] bilinear weights in units of 2**-22.
 
@@ -142,21 +143,25 @@ def resize_weights(source: int, target: int) -> np.ndarray:
     return np.floor(weights * (1 << 22) + 0.5)
 
 
-def resize_bilinear(pixels: np.ndarray, height: int = IMAGE_SIDE, width: int = IMAGE_SIDE) -> np.ndarray:
-    """Two passes, across then down, each rounded to 8 bits.
+def resize_planes(pixels: np.ndarray, height: int = IMAGE_SIDE, width: int = IMAGE_SIDE) -> np.ndarray:
+    """Bilinear resize of RGB [H, W, 3] to channels-first [3, height, width].
 
-    All products stay below 2**53, so float64 matrix products are exact.
+    Two passes, across then down, each rounded to 8 bits.  All products stay
+    below 2**53, so the float64 matrix products are exact.
     """
 
-    def one_pass(weights, image):
-        return np.clip(np.floor((np.tensordot(weights, image, axes=(1, 0)) + (1 << 21)) / (1 << 22)), 0, 255)
+    def settle(planes):
+        planes += 1 << 21
+        planes *= 1 / (1 << 22)
+        np.floor(planes, out=planes)
+        return np.clip(planes, 0, 255, out=planes)
 
-    image = pixels.astype(np.float64)
-    if image.shape[1] != width:
-        image = one_pass(resize_weights(image.shape[1], width), image.swapaxes(0, 1)).swapaxes(0, 1)
-    if image.shape[0] != height:
-        image = one_pass(resize_weights(image.shape[0], height), image)
-    return image.astype(np.uint8)
+    planes = np.ascontiguousarray(pixels.transpose(2, 0, 1)).astype(np.float64)
+    if planes.shape[2] != width:
+        planes = settle(planes @ resize_weights(planes.shape[2], width).T)
+    if planes.shape[1] != height:
+        planes = settle(resize_weights(planes.shape[1], height) @ planes)
+    return planes.astype(np.uint8)
 
 
 def _tensor(array: np.ndarray) -> dict:
@@ -167,41 +172,68 @@ def _array(tensor: dict) -> np.ndarray:
     return np.frombuffer(tensor["data"], dtype=tensor["dtype"]).reshape([int(n) for n in tensor["shape"]])
 
 
-def _per_image(work):
-    """Series of one column -> frame of (tensor, error); a bad image spoils its own row only."""
+def _map_images(df: DataFrame, field: str, into: str, work, result: T.DataType, partitions: int | None = None) -> DataFrame:
+    """Add ``into`` and ``<into>_error`` by running ``work`` on each image of ``field``.
 
-    def run(column: pd.Series) -> pd.DataFrame:
-        rows = []
-        for item in column:
-            try:
-                rows.append((None, "missing") if item is None else (_tensor(work(item)), None))
-            except Exception as problem:  # any codec error belongs to the row
-                rows.append((None, f"{type(problem).__name__}: {problem}"))
-        return pd.DataFrame(rows, columns=["tensor", "error"])
-
-    return run
-
-
-def decode_images(df: DataFrame, field: str, into: str = "image") -> DataFrame:
+    Pictures grow on decoding, so results leave in pieces of bounded bytes however
+    many rows an input batch has.  A bad image spoils its own row only.
+    ``partitions`` spreads the still encoded images over that many tasks.
+    """
+    schema = T.StructType(
+        [*df.schema.fields, T.StructField(into, result), T.StructField(f"{into}_error", T.StringType())]
+    )
+    place = df.columns.index(field)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+
+        def piece(batch, start, values, errors):
+            added = [pa.array(values, type=arrow.field(into).type), pa.array(errors, type=pa.string())]
+            kept = batch.slice(start, len(values)).columns
+            return pa.RecordBatch.from_arrays([*kept, *added], schema=arrow)
+
+        for batch in batches:
+            start, values, errors, size = 0, [], [], 0
+            for item in batch.column(place):
+                value, error = None, None
+                try:
+                    value = work(item.as_py()) if item.is_valid else None
+                    error = None if item.is_valid else "missing"
+                except Exception as problem:  # any codec error belongs to the row
+                    error = f"{type(problem).__name__}: {problem}"
+                values.append(value)
+                errors.append(error)
+                size += len(value["data"] if isinstance(value, dict) else value or b"")
+                if size >= PIECE_BYTES:
+                    yield piece(batch, start, values, errors)
+                    start, values, errors, size = start + len(values), [], [], 0
+            if values:
+                yield piece(batch, start, values, errors)
+
+    spread = df.repartition(partitions) if partitions else df
+    return spread.mapInArrow(run, schema)
+
+
+def decode_images(df: DataFrame, field: str, into: str = "image", partitions: int | None = None) -> DataFrame:
     """Add ``into`` (RGB tensor) and ``<into>_error`` for encoded bytes."""
+    return _map_images(df, field, into, lambda data: _tensor(decode_rgb(data)), TENSOR, partitions)
 
-    def run(column: pd.Series) -> pd.DataFrame:
-        return _per_image(lambda b: decode_rgb(bytes(b)))(column)
 
-    decoded = F.pandas_udf(run, DECODED_TYPE)
-    out = df.withColumn("_d", decoded(F.col(field)))
-    return out.withColumns({into: F.col("_d.tensor"), f"{into}_error": F.col("_d.error")}).drop("_d")
+def decode_resize_images(df: DataFrame, field: str, into: str = "image", side: int = IMAGE_SIDE, partitions: int | None = None) -> DataFrame:
+    """Decode, resize to side x side and move channels first, in one Python pass."""
 
+    def work(data):
+        return _tensor(resize_planes(decode_rgb(data), side, side))
 
-def decode_resize_images(df: DataFrame, field: str, into: str = "image", side: int = IMAGE_SIDE) -> DataFrame:
-    """Decode, resize to side x side and move channels first, in one Python pass."""
+    return _map_images(df, field, into, work, TENSOR, partitions)
 
-    def run(column: pd.Series) -> pd.DataFrame:
-        return _per_image(lambda b: resize_bilinear(decode_rgb(bytes(b)), side, side).transpose(2, 0, 1))(column)
 
-    decoded = F.pandas_udf(run, DECODED_TYPE)
-    out = df.withColumn("_d", decoded(F.col(field)))
-    return out.withColumns({into: F.col("_d.tensor"), f"{into}_error": F.col("_d.error")}).drop("_d")
+def resize_images(df: DataFrame, field: str, into: str, side: int = IMAGE_SIDE) -> DataFrame:
+    """Resize [H, W, 3] tensors and move channels first."""
+    return _map_images(df, field, into, lambda t: _tensor(resize_planes(_array(t), side, side)), TENSOR)
 
 
 def split_errors(df: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
@@ -211,39 +243,26 @@ def split_errors(df: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
 
 
 def encode_images(df: DataFrame, field: str, into: str = "encoded", codec: str = "png", quality: int = 95) -> DataFrame:
-    """Encode an [H, W, 3] or [H, W] uint8 tensor column."""
-
-    def run(column: pd.DataFrame) -> pd.Series:
-        rows = column.to_dict("records")
-        return pd.Series([encode_image(_array(r), codec, quality) if r["data"] is not None else None for r in rows])
-
-    return df.withColumn(into, F.pandas_udf(run, "binary")(F.col(field)))
+    """Encode [H, W, 3] or [H, W] uint8 tensors."""
+    return _map_images(df, field, into, lambda t: encode_image(_array(t), codec, quality), T.BinaryType())
 
 
 def normalise_tensors(df: DataFrame, field: str, into: str) -> DataFrame:
-    """uint8 tensor to float32 in 0..1."""
-
-    def run(column: pd.DataFrame) -> pd.DataFrame:
-        rows = [_tensor(_array(r).astype(np.float32) / np.float32(255)) if r["data"] is not None else None for r in column.to_dict("records")]
-        return pd.DataFrame([r or {"shape": None, "dtype": None, "data": None} for r in rows])
-
-    return df.withColumn(into, F.pandas_udf(run, TENSOR_TYPE)(F.col(field)))
+    """uint8 tensors to float32 in 0..1."""
+    return _map_images(df, field, into, lambda t: _tensor(_array(t).astype(np.float32) / np.float32(255)), TENSOR)
 
 
-def from_image_source(column: str = "image") -> Column:
-    """Tensor from Spark's ``image`` source struct, whose 3-channel pixels are BGR.
+def from_image_source(df: DataFrame, field: str = "image", into: str = "tensor") -> DataFrame:
+    """RGB tensors from Spark's ``image`` source, whose 3-channel pixels are BGR.
 
     Mode 16 is 3 x 8 bits, mode 0 one channel, mode 24 BGRA.
     """
 
-    def run(image: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in image.to_dict("records"):
-            flat = np.frombuffer(r["data"], dtype=np.uint8).reshape(int(r["height"]), int(r["width"]), int(r["nChannels"]))
-            rows.append(_tensor(np.repeat(flat, 3, axis=2) if flat.shape[2] == 1 else flat[:, :, 2::-1]))
-        return pd.DataFrame(rows)
+    def work(image):
+        flat = np.frombuffer(image["data"], dtype=np.uint8).reshape(image["height"], image["width"], image["nChannels"])
+        return _tensor(np.repeat(flat, 3, axis=2) if flat.shape[2] == 1 else flat[:, :, 2::-1])
 
-    return F.pandas_udf(run, TENSOR_TYPE)(F.col(column))
+    return _map_images(df, field, into, work, TENSOR)
 
 
 def normalise_vector(vector: Column | str) -> Column:

@@ -89,11 +89,14 @@ def gauge_summary(readings: DataFrame, keys: list[str], util: Column, memory: Co
     )
 
 
-def epoch_average(results: DataFrame, keys: list[str], metrics: list[str], digits: int = 4) -> DataFrame:
+def exact_mean(value: str) -> Column:
+    """Mean from an exact sum, so that no task order changes its last digits."""
+    return F.sum(F.col(value).cast("decimal(28,6)")).cast("double") / F.count(value)
+
+
+def epoch_average(results: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Mean over epochs."""
-    return results.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("epochs"), *[F.round(F.avg(m), digits).alias(m) for m in metrics]
-    )
+    return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("epochs"), *[exact_mean(m).alias(m) for m in metrics])
 
 
 def comparison_pivot(averages: DataFrame, metrics: list[str], column: Column, values: list[str]) -> DataFrame:
@@ -114,14 +117,14 @@ def threshold_bands(readings: DataFrame, keys: list[str], value: Column, steps:
     return readings.groupBy(*keys, band(value, steps).alias("band")).agg(F.count(F.lit(1)).alias("readings"))
 
 
-def baseline_ratio(averages: DataFrame, keys: list[str], name: Column, baseline: str, metric: str, digits: int = 4) -> DataFrame:
+def baseline_ratio(averages: DataFrame, keys: list[str], name: Column, baseline: str, metric: str) -> DataFrame:
     """Each run's metric over the baseline run's in the same cell.
 
     A cell has one row per loader, so the window over it stays small.
     """
     cell = Window.partitionBy(*keys)
     base = F.max(F.when(name == baseline, F.col(metric))).over(cell)
-    return averages.withColumn("ratio", F.round(F.col(metric) / F.when(base != 0, base), digits))
+    return averages.withColumn("ratio", F.col(metric) / F.when(base != 0, base))
 
 
 def nonnull_series(readings: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -28,7 +28,7 @@ def hash_bucket(key: Column | str, digits: int = HASH_BUCKET_DIGITS) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
 
-def time_bucket(micros: Column | str, seconds: int = 60) -> Column:
+def time_bucket(micros: Column | str, seconds: int = 600) -> Column:
     micros = F.col(micros) if isinstance(micros, str) else micros
     return F.floor(micros / F.lit(seconds * 1_000_000)).cast("long")
 

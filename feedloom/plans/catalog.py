@@ -276,20 +276,27 @@ def stack_vectors(spark, d):
     )
 
 
+def _pictures(spark, d) -> DataFrame:
+    """Each embedding as an encoded 8 x 8 picture."""
+    drawn = views.pixel_vectors(spark, d).select("vec_id", images.vector_tensor("pixels", 8, 8).alias("picture"))
+    return images.encode_images(drawn, "picture").select("vec_id", "encoded")
+
+
+def _cores(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 @query
 def decoded_images(spark, d):
     """Vectors drawn as pictures, encoded losslessly, decoded to RGB."""
-    drawn = views.pixel_vectors(spark, d).select("vec_id", images.vector_tensor("pixels", 8, 8).alias("picture"))
-    decoded = images.decode_images(images.encode_images(drawn, "picture"), "encoded")
-    good, _ = images.split_errors(decoded, "image")
+    good, _ = images.split_errors(images.decode_images(_pictures(spark, d), "encoded"), "image")
     return good.select("vec_id", F.array_join("image.shape", "x").alias("shape"), F.md5("image.data").alias("pixels_md5"))
 
 
 @query
 def resized_images(spark, d):
-    """The same pictures enlarged to 224 x 224, channels first."""
-    drawn = views.pixel_vectors(spark, d).select("vec_id", images.vector_tensor("pixels", 8, 8).alias("picture"))
-    resized = images.decode_resize_images(images.encode_images(drawn, "picture"), "encoded")
+    """The same pictures enlarged to 224 x 224, channels first; encoded bytes are spread before the work grows."""
+    resized = images.decode_resize_images(_pictures(spark, d), "encoded", partitions=_cores(spark))
     good, _ = images.split_errors(resized, "image")
     return good.select("vec_id", F.array_join("image.shape", "x").alias("shape"), F.md5("image.data").alias("pixels_md5"))
 

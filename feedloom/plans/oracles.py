@@ -9,6 +9,12 @@ from feedloom.schemas import BATCH_SIZES, MEMORY_BANDS, ROW_CAP, SMOKE_BATCHES,
 
 _KEY = f"md5('{SEED}:0:' || doc_id)"
 
+
+
+def _mean(metric: str) -> str:
+    return f"CAST(sum(CAST({metric} AS DECIMAL(28, 6))) AS DOUBLE) / count({metric})"
+
+
 _VIEWS = {
     "placed": f"placed AS (SELECT *, row_number() OVER (ORDER BY {_KEY}, doc_id) - 1 AS pos, count(*) OVER () AS total FROM documents)",
     "blocks": f"blocks AS (SELECT *, doc_id * {BLOCKS} // count(*) OVER () AS block FROM documents)",
@@ -34,8 +40,8 @@ _VIEWS = {
         SELECT loader, dataset, batch_size, us // {DAY_US} AS epoch, count(*) AS batches,
         CAST(sum(user_id % 128 + 1) AS BIGINT) AS total_samples, CAST(sum(floor(value)) AS BIGINT) AS busy_ms, max(value) AS peak_value
         FROM gauges GROUP BY ALL))""",
-    "averages": """averages AS (SELECT loader, dataset, batch_size, count(*) AS epochs, round(avg(samples_per_sec), 4) AS samples_per_sec,
-        round(avg(peak_value), 4) AS peak_value FROM results GROUP BY ALL)""",
+    "averages": f"""averages AS (SELECT loader, dataset, batch_size, count(*) AS epochs, {_mean("samples_per_sec")} AS samples_per_sec,
+        {_mean("peak_value")} AS peak_value FROM results GROUP BY ALL)""",
     "points": f"""points AS (SELECT loader, dataset, batch_size, samples_per_sec FROM averages WHERE loader <> '{EXTRA_LOADER}'
         UNION ALL SELECT c.loader, c.dataset, c.batch_size, a.samples_per_sec FROM
         (SELECT DISTINCT loader, dataset, unnest({BATCH_SIZES})::BIGINT AS batch_size FROM averages WHERE loader = '{EXTRA_LOADER}') c
@@ -62,11 +68,11 @@ def _band(steps: list[int]) -> str:
 
 
 def _weights(source: int, target: int) -> str:
-    """Bilinear weights (out, src, w) in units of 2**-22."""
+    """Per output place its two bilinear taps (s0, w0, s1, w1), in units of 2**-22."""
     return f"""taps AS (SELECT o, s, greatest(0, 1 - abs(s - ((o + 0.5::DOUBLE) * {source} / {target}) + 0.5)) AS near
         FROM unnest(range(0, {target})) AS a(o), unnest(range(0, {source})) AS b(s)),
-    weights AS (SELECT o, s, CAST(floor(near / sum(near) OVER (PARTITION BY o) * 4194304 + 0.5) AS BIGINT) AS w FROM taps
-        QUALIFY near > 0)"""
+    scaled AS (SELECT o, s, CAST(floor(near / sum(near) OVER (PARTITION BY o) * 4194304 + 0.5) AS BIGINT) AS w FROM taps QUALIFY near > 0),
+    weights AS (SELECT o, min(s) AS s0, arg_min(w, s) AS w0, max(s) AS s1, CASE WHEN count(*) > 1 THEN arg_max(w, s) ELSE 0 END AS w1 FROM scaled GROUP BY o)"""
 
 
 ORACLES: dict[str, str] = {
@@ -118,9 +124,12 @@ ORACLES: dict[str, str] = {
     "decoded_images": _with("pixels", body="""SELECT vec_id, '8x8x3' AS shape, md5(unhex(string_agg(repeat(printf('%02x', p), 3), '' ORDER BY i))) AS pixels_md5
         FROM pixels GROUP BY vec_id"""),
     "resized_images": _with("pixels", body=f""", {_weights(8, 224)},
-        wide AS (SELECT vec_id, i // 8 AS y, o AS x, (CAST(sum(p * w) AS BIGINT) + 2097152) // 4194304 AS p FROM pixels JOIN weights ON s = i % 8 GROUP BY ALL),
-        tall AS (SELECT vec_id, o AS y, x, (CAST(sum(p * w) AS BIGINT) + 2097152) // 4194304 AS p FROM wide JOIN weights ON s = y GROUP BY vec_id, o, x),
-        planes AS (SELECT vec_id, string_agg(printf('%02x', p), '' ORDER BY y, x) AS plane FROM tall GROUP BY vec_id)
+        lines AS (SELECT vec_id, i // 8 AS y, list(p ORDER BY i) AS line FROM pixels GROUP BY ALL),
+        wide AS (SELECT vec_id, y, list((line[s0 + 1] * w0 + line[s1 + 1] * w1 + 2097152) // 4194304 ORDER BY o) AS line FROM lines, weights GROUP BY ALL),
+        tall AS (SELECT a.vec_id, o, array_to_string(list_transform(range(1, 225),
+                lambda x: printf('%02x', (a.line[x] * w0 + b.line[x] * w1 + 2097152) // 4194304)), '') AS row_hex
+            FROM weights JOIN wide a ON a.y = s0 JOIN wide b ON b.y = s1 AND b.vec_id = a.vec_id),
+        planes AS (SELECT vec_id, string_agg(row_hex, '' ORDER BY o) AS plane FROM tall GROUP BY vec_id)
         SELECT vec_id, '3x224x224' AS shape, md5(unhex(repeat(plane, 3))) AS pixels_md5 FROM planes"""),
     "series_labels": _with("gauges", body="""SELECT printf('%s / %s / bs=%d', loader, dataset, batch_size) AS series, printf('%s/bs=%d', loader, batch_size) AS short_series,
         count(*) AS readings FROM gauges GROUP BY loader, dataset, batch_size"""),
@@ -214,8 +223,8 @@ ORACLES: dict[str, str] = {
         coalesce(round(max(value) FILTER (dataset = 'purchase'), 3), 0) AS ram_used_gb, coalesce(round(avg(value) FILTER (dataset = 'signup'), 3), 0) AS shm_used_gb,
         coalesce(round(max(value) FILTER (dataset = 'signup'), 3), 0) AS shm_peak_gb FROM gauges GROUP BY ALL"""),
     "epoch_average": _with(*_AVERAGES, body="SELECT * FROM averages"),
-    "comparison_pivot": _with(*_RESULTS, body=""", a AS (SELECT loader || '_' || batch_size AS col, round(avg(samples_per_sec), 4) AS samples_per_sec,
-            round(avg(peak_value), 4) AS peak_value FROM results GROUP BY ALL),
+    "comparison_pivot": _with(*_RESULTS, body=""", a AS (SELECT loader || '_' || batch_size AS col, """ + _mean("samples_per_sec") + """ AS samples_per_sec,
+            """ + _mean("peak_value") + """ AS peak_value FROM results GROUP BY ALL),
         l AS (SELECT col, 'samples_per_sec' AS metric, samples_per_sec AS value FROM a UNION ALL SELECT col, 'peak_value', peak_value FROM a)
         SELECT metric, """ + ", ".join(f"max(value) FILTER (col = '{c}') AS {c}" for c in [f"{l}_{b}" for l in LOADERS for b in BATCH_SIZES] + [f"{EXTRA_LOADER}_128"])
         + " FROM l GROUP BY metric"),
@@ -226,7 +235,7 @@ ORACLES: dict[str, str] = {
     "corpus_profile": """SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_columns, min(length(text)) AS min_chars, max(length(text)) AS max_chars,
         round(avg(length(text)), 4) AS avg_chars, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, arg_min(length(text), doc_id) AS first_chars FROM documents""",
     "baseline_ratio": _with(*_AVERAGES, body="""SELECT loader, dataset, batch_size, samples_per_sec,
-        round(samples_per_sec / nullif(max(samples_per_sec) FILTER (loader = 'parquet') OVER (PARTITION BY dataset, batch_size), 0), 4) AS ratio FROM averages"""),
+        samples_per_sec / nullif(max(samples_per_sec) FILTER (loader = 'parquet') OVER (PARTITION BY dataset, batch_size), 0) AS ratio FROM averages"""),
     "batch_waits": _with(*_TIMELINE, body="SELECT run, epoch, i, wait_us FROM timeline"),
     "running_rate": _with(*_TIMELINE, body="""SELECT run, epoch, i, samples,
         CASE WHEN done_us > start_us THEN round(samples / ((done_us - start_us) / 1e6::DOUBLE), 4) ELSE 0 END AS running_sps FROM timeline"""),
