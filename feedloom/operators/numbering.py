@@ -33,31 +33,25 @@ def time_bucket(micros: Column | str, seconds: int = 600) -> Column:
     return F.floor(micros / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def _edges(summary: DataFrame, keys: list[str], sums: list[str], lasts: list[str], bounded: bool) -> DataFrame:
-    """Add the totals of all earlier buckets of the key, and the last row before the bucket."""
-    order = [F.col(f"_part.{k}") for k in keys]
-    bucket = F.col("_part._bucket")
-    if keys or bounded:
-        ordered = Window.partitionBy(*order).orderBy(bucket) if keys else Window.orderBy(bucket)
-        earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-        out = summary
-        for name in sums:
-            out = out.withColumn(f"_before_{name}", F.coalesce(F.sum(name).over(earlier), F.lit(0).cast("long")))
-        for name in lasts:
-            out = out.withColumn(f"_edge_{name}", F.lag(name).over(ordered))
-        return out.drop(*sums, *lasts)
-    # No key and no bound on the bucket count: two levels, so that the last,
-    # unpartitioned window sees one row per 4,096 buckets.
-    grouped = summary.withColumn("_group", F.shiftright(bucket, 12))
-    inner = Window.partitionBy("_group").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    totals = grouped.groupBy("_group").agg(*[F.sum(n).alias(n) for n in sums])
-    totals = totals.select("_group", *[F.coalesce(F.sum(n).over(outer), F.lit(0).cast("long")).alias(f"_g_{n}") for n in sums])
-    within = grouped.select(
-        "_part", "_group", *[F.coalesce(F.sum(n).over(inner), F.lit(0).cast("long")).alias(f"_w_{n}") for n in sums]
-    )
-    return within.join(totals, "_group").select(
-        "_part", *[(F.col(f"_w_{n}") + F.col(f"_g_{n}")).alias(f"_before_{n}") for n in sums]
+def _zero_if_none(total: Column) -> Column:
+    return F.coalesce(total, F.lit(0).cast("long"))
+
+
+def _edges(parted: DataFrame, facts: list[Column], keys: list[str], sums: list[str], lasts: list[str]) -> DataFrame:
+    """Per bucket: totals of all earlier buckets of its key, and the last row before it.
+
+    The window sees one row per bucket, never the rows themselves.
+    """
+    summary = parted.groupBy("_part").agg(*facts)
+    by_key = [F.col(f"_part.{k}").alias(f"_k{i}") for i, k in enumerate(keys)]
+    # The key parts become plain columns once, so all windows below share one exchange.
+    flat = summary.select("*", *by_key, F.col("_part._bucket").alias("_bucket"))
+    ordered = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_bucket")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    return flat.select(
+        "_part",
+        *[_zero_if_none(F.sum(n).over(earlier)).alias(f"_before_{n}") for n in sums],
+        *[F.lag(n).over(ordered).alias(f"_edge_{n}") for n in lasts],
     )
 
 
@@ -69,19 +63,16 @@ def bucketed_window(
     number: str | None = None,
     running: dict[str, str] | None = None,
     previous: dict[str, str] | None = None,
-    bounded: bool = False,
 ) -> DataFrame:
     """Window columns over ``keys`` ordered by ``order``, computed bucket by bucket.
 
     ``number``   0-based dense number of the row within its key
     ``running``  {new column: LONG column}: running sum up to and including the row
     ``previous`` {new column: column}: the column's value one row earlier, else NULL
-    ``bucket`` must never decrease along ``order`` within a key.  ``bounded`` says
-    that a keyless call has at most a few thousand buckets, whatever the data size.
+    ``bucket`` must never decrease along ``order`` within a key, and should hold
+    thousands of rows: one summary row per (key, bucket) is sorted per key.
     """
     running, previous = running or {}, previous or {}
-    if previous and not keys and not bounded:
-        raise ValueError("previous needs a key or a bounded number of buckets")
     # A struct is never NULL, so rows with NULL keys keep their group in the join.
     parted = df.withColumn("_part", F.struct(*keys, bucket.alias("_bucket")))
     inside = Window.partitionBy("_part").orderBy(*order)
@@ -94,16 +85,16 @@ def bucketed_window(
         facts.append(F.count(F.lit(1)).alias("_n"))
     for new, source in running.items():
         sums.append(f"_s_{new}")
-        facts.append(F.coalesce(F.sum(source), F.lit(0).cast("long")).alias(f"_s_{new}"))
+        facts.append(_zero_if_none(F.sum(source)).alias(f"_s_{new}"))
     lasts = [f"_l_{new}" for new in previous]
     facts += [F.max_by(source, F.struct(*order)).alias(f"_l_{new}") for new, source in previous.items()]
-    edges = _edges(parted.groupBy("_part").agg(*facts), keys, sums, lasts, bounded)
+    edges = _edges(parted, facts, keys, sums, lasts)
 
     local: dict[str, Column] = {}
     if number:
         local["_i"] = F.row_number().over(inside).cast("long") - 1
     for new, source in running.items():
-        local[f"_r_{new}"] = F.coalesce(F.sum(source).over(upto), F.lit(0).cast("long"))
+        local[f"_r_{new}"] = _zero_if_none(F.sum(source).over(upto))
     for new, source in previous.items():
         local[f"_p_{new}"] = F.lag(source).over(inside)
     if previous:
@@ -121,14 +112,18 @@ def bucketed_window(
 
 
 def number_by_id(df: DataFrame, ident: str, into: str = "__id__") -> DataFrame:
-    """Dense 0..N-1 numbers in the order of a unique integer column."""
+    """Dense 0..N-1 numbers in the order of a unique integer column.
+
+    One summary row stands for 2**18 consecutive ids (4 million rows for 10**12
+    samples).  Hash-like ids spread over 64 bits belong in ``number_by_hash``.
+    """
     return bucketed_window(df, [], id_bucket(ident), [ident], number=into)
 
 
 def number_by_hash(df: DataFrame, hashed: str, ident: str | list[str], into: str = "pos", keys: list[str] | None = None) -> DataFrame:
     """Dense numbers in the order of an md5 column, ties broken by ``ident``."""
     ident = [ident] if isinstance(ident, str) else ident
-    return bucketed_window(df, keys or [], hash_bucket(hashed), [hashed, *ident], number=into, bounded=True)
+    return bucketed_window(df, keys or [], hash_bucket(hashed), [hashed, *ident], number=into)
 
 
 def number_source_rows(df: DataFrame, into: str = "__id__") -> DataFrame:
@@ -148,6 +143,6 @@ def number_source_rows(df: DataFrame, into: str = "__id__") -> DataFrame:
     # Blocks number (input bytes / split size): under a million rows at 100 TB.
     earlier = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
-        "_path", "_start", (F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")) - F.col("_first")).alias("_shift")
+        "_path", "_start", (_zero_if_none(F.sum("_n").over(earlier)) - F.col("_first")).alias("_shift")
     )
     return placed.join(offsets, ["_path", "_start"]).select(*df.columns, (F.col("_place") + F.col("_shift")).alias(into))

@@ -29,17 +29,37 @@ def fixed_shards(df: DataFrame, ident: str, max_rows: int) -> DataFrame:
     return df.withColumn("shard_id", F.expr(f"{ident} div {int(max_rows)}"))
 
 
-def byte_shards(df: DataFrame, ident: str, size: str, limit: int) -> DataFrame:
-    """Byte sharding on a grid of ``limit`` bytes over the running total.
+def byte_manifest(sizes: DataFrame, ident: str, size: str, limit: int) -> DataFrame:
+    """Byte sharding on a grid of ``limit`` bytes over the running total, as a manifest.
 
     A shard ends with the row that crosses a grid line, so it may exceed the
     limit by that row.  A row longer than several limits leaves gaps in the
-    numbers; they are closed by numbering the shards that exist.
+    numbers; they are closed by numbering the shards that exist.  ``sizes``
+    (id, bytes) is scanned several times: hand in a settled table, not texts.
     """
-    running = bucketed_window(df.select(ident, size), [], id_bucket(ident), [ident], running={"_upto": size})
-    gridded = running.select(ident, size, F.expr(f"(_upto - {size}) div {int(limit)}").alias("_grid"))
-    numbered = number_by_id(gridded.groupBy("_grid").agg(F.count(F.lit(1)).alias("_rows")), "_grid", "shard_id")
-    return gridded.join(numbered.select("_grid", "shard_id"), "_grid").select(ident, size, "shard_id")
+    running = bucketed_window(sizes.select(ident, size), [], id_bucket(ident), [ident], running={"_upto": size})
+    gridded = running.withColumn("_grid", F.expr(f"(_upto - {size}) div {int(limit)}"))
+    shards = gridded.groupBy("_grid").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(size).alias("bytes"),
+        F.min(ident).alias("first_id"),
+        F.max(ident).alias("last_id"),
+    )
+    return number_by_id(shards, "_grid", "shard_id").select("shard_id", "n_rows", "bytes", "first_id", "last_id")
+
+
+def tag_shards(df: DataFrame, ident: str, shards: DataFrame, grain_bits: int = 14) -> DataFrame:
+    """Add ``shard_id`` to payload rows from a manifest of id ranges.
+
+    An equi-join on id >> grain_bits with the range as a further condition: the
+    planner broadcasts the manifest when it is small enough and shuffles
+    otherwise; either way each row meets only the shards that share its grain.
+    """
+    piece = F.explode(F.sequence(F.shiftright("first_id", grain_bits), F.shiftright("last_id", grain_bits)))
+    pieces = shards.select("shard_id", "first_id", "last_id", piece.alias("_piece"))
+    rows = df.withColumn("_grain", F.shiftright(ident, grain_bits))
+    inside = (F.col("_grain") == F.col("_piece")) & F.col(ident).between(F.col("first_id"), F.col("last_id"))
+    return rows.join(pieces, inside).select(*df.columns, "shard_id")
 
 
 def id_blocks(df: DataFrame, ident: str, blocks: int, into: str = "block") -> DataFrame:

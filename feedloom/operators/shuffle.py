@@ -129,7 +129,7 @@ def block_shuffle(df: DataFrame, block: str, ident: str, seed: int = 42, epoch:
     blocks = df.groupBy(block).agg(F.count(F.lit(1)).alias("_rows"), F.min(ident).alias("_first"))
     keyed = blocks.withColumn("_key", shuffle_key(block, seed, epoch))
     ranked = bucketed_window(
-        keyed, [], hash_bucket("_key"), ["_key", block], number="block_rank", running={"_upto": "_rows"}, bounded=True
+        keyed, [], hash_bucket("_key"), ["_key", block], number="block_rank", running={"_upto": "_rows"}
     )
     moved = ranked.select(block, "block_rank", (F.col("_upto") - F.col("_rows") - F.col("_first")).alias("_shift"))
     return df.join(moved, block).withColumn("pos", F.col(ident) + F.col("_shift")).drop("_shift")

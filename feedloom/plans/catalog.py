@@ -19,7 +19,7 @@ from feedloom.plans.views import (
     BATCH, BLOCKS, BUFFER, BYTE_LIMIT, DAY_US, EXTRA_LOADER, GAP_US, LOADERS, PARQUET_ROWS, SEED, STAGES, TAR_ROWS, WORKERS,
 )
 from feedloom.schemas import BATCH_SIZES, MEMORY_BANDS, ROW_CAP, SMOKE_BATCHES, UTIL_BANDS
-from feedloom.session import fresh_dir
+from feedloom.session import fresh_dir, settle
 from feedloom.sources import corpus, sinks
 from feedloom.sources.indexed import fetch_samples
 from feedloom.streaming import gauges as live
@@ -148,8 +148,8 @@ def shard_manifest(spark, d):
 
 
 def _byte_manifest(spark, d) -> DataFrame:
-    docs = views.samples(spark, d).select("__id__", text.utf8_bytes("text").alias("bytes"))
-    return sharding.manifest(sharding.byte_shards(docs, "__id__", "bytes", BYTE_LIMIT), "__id__", F.col("bytes"))
+    sizes = settle(views.samples(spark, d).select("__id__", text.utf8_bytes("text").alias("bytes")), "sizes")
+    return sharding.byte_manifest(sizes, "__id__", "bytes", BYTE_LIMIT)
 
 
 @query

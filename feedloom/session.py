@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -52,6 +52,17 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/feedloom/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table written under the shared folder.
+
+    Cuts lineage where a costly input (a scan of whole texts for their sizes) is
+    used more than once, and survives the loss of executors.
+    """
+    where = fresh_dir(df.sparkSession, label)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application."""
     context = spark.sparkContext

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.labels import parquet_shard_name, run_name
 from feedloom.functions.text import meta_text, utf8_bytes
-from feedloom.operators.sharding import byte_shards, count_shards, fixed_shards
+from feedloom.operators.sharding import byte_manifest, count_shards, fixed_shards, tag_shards
 from feedloom.schemas import (
     FORMAT_FOLDERS,
     INDEXED_BYTES_PER_SAMPLE,
@@ -18,6 +18,7 @@ from feedloom.schemas import (
     TAR_SHARD_ROWS,
     require,
 )
+from feedloom.session import settle
 from feedloom.sources.corpus import register_sources
 from feedloom.sources.indexed import spark_schema
 from feedloom.sources.shardfiles import SHARD_LIST
@@ -73,8 +74,9 @@ def write_indexed(df: DataFrame, path: str, limit: int, payload: str, greedy: bo
     if greedy:
         laid = fixed_shards(df, "__id__", range_rows)
     else:
-        sizes = df.select("__id__", F.octet_length(payload).cast("long").alias("_bytes"))
-        laid = df.join(byte_shards(sizes, "__id__", "_bytes", limit).select("__id__", "shard_id"), "__id__")
+        sizes = settle(df.select("__id__", F.octet_length(payload).cast("long").alias("_bytes")), "sizes")
+        shards = settle(byte_manifest(sizes, "__id__", "_bytes", limit), "shards")
+        laid = tag_shards(df, "__id__", shards)
     writer = by_shard(laid).write.format("indexed_shards").option("path", path).option("size_limit", limit)
     writer.option("greedy", str(greedy).lower()).mode("append").save()
 
