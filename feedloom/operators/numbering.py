@@ -45,7 +45,7 @@ def _edges(parted: DataFrame, facts: list[Column], keys: list[str], sums: list[s
     summary = parted.groupBy("_part").agg(*facts)
     by_key = [F.col(f"_part.{k}").alias(f"_k{i}") for i, k in enumerate(keys)]
     # The key parts become plain columns once, so all windows below share one exchange.
-    flat = summary.select("*", *by_key, F.col("_part._bucket").alias("_bucket"))
+    flat = summary.select("*", *by_key, F.col("_part._bucket" if keys else "_part").alias("_bucket"))
     ordered = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_bucket")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     return flat.select(
@@ -73,8 +73,8 @@ def bucketed_window(
     thousands of rows: one summary row per (key, bucket) is sorted per key.
     """
     running, previous = running or {}, previous or {}
-    # A struct is never NULL, so rows with NULL keys keep their group in the join.
-    parted = df.withColumn("_part", F.struct(*keys, bucket.alias("_bucket")))
+    # Neither a struct nor the filled bucket is ever NULL, so no row is lost in the join.
+    parted = df.withColumn("_part", F.struct(*keys, bucket.alias("_bucket")) if keys else F.coalesce(bucket, F.lit(-1)))
     inside = Window.partitionBy("_part").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
