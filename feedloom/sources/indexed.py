@@ -99,6 +99,8 @@ class IndexedReader(DataSourceReader):
     def read(self, partition):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if partition is None:  # no shards: Spark still asks once
+            return
         files, root = open_fs(self.path)
         with files.open_input_stream(f"{root}/{partition.name}") as stream:
             (count,) = struct.unpack("<I", stream.read(4))

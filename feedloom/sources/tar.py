@@ -30,6 +30,8 @@ class TarReader(DataSourceReader):
     def read(self, partition):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if partition is None:  # no shards: Spark still asks once
+            return
         fields = {f.name: f.dataType for f in self.schema if f.name not in _STEERING}
         keep_shard, keep_key = SHARD in self.schema.names, KEY in self.schema.names
         chunks = RowChunks(to_arrow_schema(self.schema))
