@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.schemas import IMAGE_SIDE, TENSOR
+from feedloom.session import ship_package
 
 try:
     from PIL import Image as _pillow
@@ -213,6 +214,7 @@ def _map_images(df: DataFrame, field: str, into: str, work, result: T.DataType,
             if values:
                 yield piece(batch, start, values, errors)
 
+    ship_package(df.sparkSession)
     spread = df.repartition(partitions) if partitions else df
     return spread.mapInArrow(run, schema)
 

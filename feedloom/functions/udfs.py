@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from feedloom.session import ship_package
+from feedloom.sources.shardfiles import SLICE_ROWS
+
 
 def map_samples(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType | str, partitions: int | None = None) -> DataFrame:
     """Apply a dict -> dict function to every sample, in Arrow batches.
@@ -23,7 +26,10 @@ def map_samples(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([fn(row) for row in batch.to_pylist()], schema=arrow)
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(start, SLICE_ROWS).to_pylist()
+                yield pa.RecordBatch.from_pylist([fn(row) for row in rows], schema=arrow)
 
+    ship_package(df.sparkSession)
     spread = df.repartition(partitions) if partitions else df
     return spread.mapInArrow(run, schema)

@@ -26,17 +26,17 @@ def full_batches(df: DataFrame, batch_size: int, pos: str = "pos") -> DataFrame:
     return global_batches(kept.drop("_total"), size, pos)
 
 
-def worker_batches(df: DataFrame, batch_size: int, shard_rank: str, place: str) -> DataFrame:
+def worker_batches(df: DataFrame, shards: DataFrame, batch_size: int, shard: str, place: str) -> DataFrame:
     """Batches formed inside each worker over its shards in rank order.
 
-    The worker's row number is (rows of its earlier shards) + place in shard, so
-    a worker's rows are never gathered in one task.
+    ``shards`` has (shard, rank, worker, n_rows).  A row's number within its
+    worker is (rows of the worker's earlier shards) + place in the shard, so only
+    the shard table is ordered and a worker's rows are never gathered.
     """
-    sizes = df.groupBy("worker", shard_rank).agg(F.count(F.lit(1)).alias("_rows"))
-    ranks = bucketed_window(sizes, ["worker"], F.shiftright(shard_rank, 12), [shard_rank], running={"_upto": "_rows"})
-    offsets = ranks.select("worker", shard_rank, (F.col("_upto") - F.col("_rows")).alias("_before"))
-    seated = df.join(offsets, ["worker", shard_rank]).withColumn("_seat", F.col("_before") + F.col(place))
-    return seated.withColumn("batch_id", F.expr(f"_seat div {int(batch_size)}")).drop("_before", "_seat")
+    upto = bucketed_window(shards, ["worker"], F.shiftright("rank", 12), ["rank"], running={"_upto": "n_rows"})
+    seats = upto.select(shard, "worker", "rank", (F.col("_upto") - F.col("n_rows")).alias("_before"))
+    seated = df.join(seats, shard).withColumn("seat", F.col("_before") + F.col(place))
+    return seated.withColumn("batch_id", F.expr(f"seat div {int(batch_size)}")).drop("_before")
 
 
 def block_batches(df: DataFrame, block: str, batch_size: int) -> DataFrame:

@@ -99,6 +99,11 @@ def epoch_average(results: DataFrame, keys: list[str], metrics: list[str]) -> Da
     return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("epochs"), *[exact_mean(m).alias(m) for m in metrics])
 
 
+def stamp_results(results: DataFrame, experiments: DataFrame, keys: list[str]) -> DataFrame:
+    """Result records with the settings of their experiment and the time of stamping."""
+    return results.join(experiments, keys, "left").withColumn("timestamp", F.current_timestamp())
+
+
 def comparison_pivot(averages: DataFrame, metrics: list[str], column: Column, values: list[str]) -> DataFrame:
     """Metric rows x (loader, batch size) columns; the column list is given, not scanned for."""
     long = averages.select(column.alias("_column"), *metrics).unpivot("_column", metrics, "metric", "value")

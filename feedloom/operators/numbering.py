@@ -126,6 +126,14 @@ def number_by_hash(df: DataFrame, hashed: str, ident: str | list[str], into: str
     return bucketed_window(df, keys or [], hash_bucket(hashed), [hashed, *ident], number=into)
 
 
+def number_shard_rows(df: DataFrame, shard: str = "__shard__", place: str = "__place__", into: str = "__id__") -> DataFrame:
+    """Dense numbers in (shard name, place in shard) order; only one row per shard is sorted."""
+    sizes = df.groupBy(shard).agg((F.max(place) + 1).alias("_n"))
+    earlier = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(shard, _zero_if_none(F.sum("_n").over(earlier)).alias("_before"))
+    return df.join(offsets, shard).withColumn(into, F.col("_before") + F.col(place)).drop("_before")
+
+
 def number_source_rows(df: DataFrame, into: str = "__id__") -> DataFrame:
     """Dense 0..N-1 numbers in file order for a DataFrame read straight from files.
 

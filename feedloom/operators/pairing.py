@@ -14,8 +14,9 @@ def pair(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def unpaired(left: DataFrame, right: DataFrame, key: str, left_name: str, right_name: str) -> DataFrame:
     """Samples with one member only, and which one is missing."""
     a, b = left.select(key), right.select(key)
-    lone_left = a.join(b, key, "left_anti").withColumn("missing", F.lit(right_name))
-    lone_right = b.join(a, key, "left_anti").withColumn("missing", F.lit(left_name))
+    # The side looked up is made distinct, so a key with many copies costs one row.
+    lone_left = a.join(b.distinct(), key, "left_anti").withColumn("missing", F.lit(right_name))
+    lone_right = b.join(a.distinct(), key, "left_anti").withColumn("missing", F.lit(left_name))
     return lone_left.unionByName(lone_right)
 
 

@@ -61,7 +61,8 @@ def window_shuffle(df: DataFrame, shard: Column, pos: str, ident: str, size: int
     """Shuffle inside consecutive windows of ``size`` rows of a shard.
 
     ``pos`` is the row's 0-based place inside its shard.  A group holds at most
-    ``size`` rows, so no task depends on how large a shard is.
+    ``size`` rows, so no task depends on how large a shard is.  The rows handed
+    in are moved: give ids, and fetch the payload afterwards.
     """
     keyed = df.withColumns(
         {"_shard": shard, "_window": F.floor(F.col(pos) / F.lit(size)).cast("long"), "_key": shuffle_key(ident, seed, epoch)}
@@ -120,16 +121,23 @@ def buffer_order(shards: DataFrame, size: int, seed: int = 42, epoch: int = 0) -
     return spread.mapInArrow(stream, "shard_id long, __id__ long, in_pos long, out_pos long")
 
 
-def block_shuffle(df: DataFrame, block: str, ident: str, seed: int = 42, epoch: int = 0) -> DataFrame:
+# A block table of this many rows (under 3 MB) is broadcast.
+BROADCAST_BLOCKS = 65_536
+
+
+def block_shuffle(df: DataFrame, block: str, ident: str, seed: int = 42, epoch: int = 0, blocks: int | None = None) -> DataFrame:
     """Reorder whole blocks; rows inside a block keep their order.
 
     Needs dense ids and blocks of consecutive ids.  Only one row per block is
-    ordered; data rows get their new position by arithmetic.
+    ordered; data rows get their new position by arithmetic.  Given the number of
+    ``blocks``, a small enough block table is broadcast and no data row moves.
     """
-    blocks = df.groupBy(block).agg(F.count(F.lit(1)).alias("_rows"), F.min(ident).alias("_first"))
-    keyed = blocks.withColumn("_key", shuffle_key(block, seed, epoch))
+    sizes = df.groupBy(block).agg(F.count(F.lit(1)).alias("_rows"), F.min(ident).alias("_first"))
+    keyed = sizes.withColumn("_key", shuffle_key(block, seed, epoch))
     ranked = bucketed_window(
         keyed, [], hash_bucket("_key"), ["_key", block], number="block_rank", running={"_upto": "_rows"}
     )
     moved = ranked.select(block, "block_rank", (F.col("_upto") - F.col("_rows") - F.col("_first")).alias("_shift"))
+    if blocks is not None and blocks <= BROADCAST_BLOCKS:
+        moved = F.broadcast(moved)
     return df.join(moved, block).withColumn("pos", F.col(ident) + F.col("_shift")).drop("_shift")

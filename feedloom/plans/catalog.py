@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from feedloom.functions import fields, images, labels, text
 from feedloom.operators import batching, metrics, numbering, pairing, quality, sharding, shuffle
-from feedloom.plans import views
+from feedloom.plans import feeds, views
 from feedloom.plans.views import (
     BATCH, BLOCKS, BUFFER, BYTE_LIMIT, DAY_US, EXTRA_LOADER, GAP_US, LOADERS, PARQUET_ROWS, SEED, STAGES, TAR_ROWS, WORKERS,
 )
@@ -318,11 +318,14 @@ def run_names(spark, d):
 @query
 def stamped_results(spark, d):
     """Result records completed with the settings of their experiment."""
-    results = views.epoch_results(spark, d)
-    return results.select(
-        "loader", "dataset", "batch_size", "epoch", "samples_per_sec",
+    datasets = views.table(spark, d, "events").select(F.col("event_type").alias("dataset")).distinct()
+    grid = pairing.experiment_matrix(datasets, loader=[*LOADERS, EXTRA_LOADER], batch_size=BATCH_SIZES)
+    settings = grid.select(
+        "dataset", "loader", F.col("batch_size").cast("long").alias("batch_size"),
         F.lit(WORKERS).cast("long").alias("num_workers"), F.lit("cpu").alias("gpu_name"), F.lit("local").alias("hostname"),
     )
+    results = views.epoch_results(spark, d).select("loader", "dataset", "batch_size", "epoch", "samples_per_sec")
+    return metrics.stamp_results(results, settings, ["dataset", "loader", "batch_size"]).drop("timestamp")
 
 
 # ---- filters and validation --------------------------------------------------
@@ -449,7 +452,7 @@ def index_shuffle_fetch(spark, d):
 @query
 def block_shuffle(spark, d):
     blocks = sharding.id_blocks(views.ids(spark, d), "__id__", BLOCKS)
-    return shuffle.block_shuffle(blocks, "block", "__id__", SEED).withColumnRenamed("__id__", "doc_id")
+    return shuffle.block_shuffle(blocks, "block", "__id__", SEED, blocks=BLOCKS).withColumnRenamed("__id__", "doc_id")
 
 
 @query
@@ -461,7 +464,7 @@ def materialised_epochs(spark, d):
     blocks = sharding.id_blocks(stored, "place", BLOCKS)
     out = None
     for epoch in (1, 2):
-        turn = shuffle.block_shuffle(blocks, "block", "place", SEED, epoch)
+        turn = shuffle.block_shuffle(blocks, "block", "place", SEED, epoch, BLOCKS)
         part = turn.select(F.lit(epoch).cast("long").alias("epoch"), F.col("__id__").alias("doc_id"), "pos")
         out = part if out is None else out.unionByName(part)
     return out
@@ -476,7 +479,7 @@ def epoch_orders(spark, d):
 def shuffle_quality(spark, d):
     base = views.ids(spark, d)
     everywhere = shuffle.global_shuffle(base, "__id__", SEED)
-    blocks = shuffle.block_shuffle(sharding.id_blocks(base, "__id__", BLOCKS), "block", "__id__", SEED)
+    blocks = shuffle.block_shuffle(sharding.id_blocks(base, "__id__", BLOCKS), "block", "__id__", SEED, blocks=BLOCKS)
     shards = shuffle.block_shuffle(sharding.fixed_shards(base, "__id__", TAR_ROWS), "shard_id", "__id__", SEED)
     placed = base.withColumn("in_pos", F.col("__id__") % TAR_ROWS)
     windows = shuffle.window_shuffle(placed, F.expr(f"__id__ div {TAR_ROWS}"), "in_pos", "__id__", BUFFER, SEED)
@@ -494,10 +497,11 @@ def shuffle_quality(spark, d):
 @query
 def batches_partial(spark, d):
     """Batches inside each worker over its shuffled shards; short last batches stay."""
-    ranked = sharding.assign_workers(shuffle.shard_order(_shard_ids(spark, d), "shard_id", SEED), "rank", WORKERS)
     docs = sharding.fixed_shards(views.samples(spark, d).select("__id__", "n_chars"), "__id__", TAR_ROWS)
-    seated = docs.join(ranked, "shard_id").withColumn("place", F.col("__id__") % TAR_ROWS)
-    batches = batching.worker_batches(seated, BATCH, "rank", "place")
+    sizes = docs.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    ranked = sharding.assign_workers(shuffle.shard_order(sizes, "shard_id", SEED), "rank", WORKERS)
+    placed = docs.withColumn("place", F.col("__id__") % TAR_ROWS)
+    batches = batching.worker_batches(placed, ranked, BATCH, "shard_id", "place")
     return batches.groupBy("worker", "batch_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("__id__").alias("min_id"), F.max("__id__").alias("max_id"), F.sum("n_chars").alias("n_chars")
     )
@@ -546,6 +550,43 @@ def inflight_bytes(spark, d):
     return batching.inflight_bytes(blocks)
 
 
+@query
+def feed_tar(spark, d):
+    """The tar feed from written shards: two workers, 100-row windows, partial batches."""
+    feed = feeds.tar_feed(spark, _tar_written(spark, d), "text", BATCH, 2, SEED, buffer=BUFFER)
+    return feed.select(F.col("__key__").alias("sample_key"), "worker", "seat", "batch_id", text.token_count("txt").alias("n_tokens"))
+
+
+@query
+def feed_indexed(spark, d):
+    """The indexed feed from written shards: two workers, samples fetched by seek, full batches only."""
+    feed = feeds.indexed_feed(spark, _indexed_written(spark, d), "text", BATCH, 2, SEED)
+    return feed.select(F.col("__id__").alias("doc_id"), "worker", "seat", "batch_id", text.token_count("text").alias("n_tokens"))
+
+
+@query
+def feed_parquet(spark, d):
+    """The Parquet feed from written shards: one stream of batches over the full shuffle."""
+    where = fresh_dir(spark, "parquet")
+    sinks.write_parquet_shards(views.samples(spark, d).select("__id__", "text"), where, PARQUET_ROWS, "text")
+    feed = feeds.parquet_feed(spark, where, "text", BATCH, seed=SEED)
+    return feed.select(F.col("__id__").alias("doc_id"), "worker", "seat", "batch_id", text.token_count("text").alias("n_tokens"))
+
+
+@query
+def prepare_corpus(spark, d):
+    """JSONL files to layouts; ids follow the file order."""
+    source = fresh_dir(spark, "source")
+    docs = views.samples(spark, d).select("__id__", "text", F.struct("lang", "source").alias("meta"))
+    docs.repartitionByRange(4, "__id__").sortWithinPartitions("__id__").drop("__id__").write.json(source)
+    paths = feeds.prepare(spark, "text", source, fresh_dir(spark, "prepared"), ("parquet", "indexed"), parquet_rows=PARQUET_ROWS, limit=BYTE_LIMIT)
+    stored, indexed = corpus.read_layout(spark, "parquet", paths["parquet"]), corpus.read_layout(spark, "indexed", paths["indexed"])
+    rows = stored.select(F.lit("parquet").alias("format"), "__id__", "text", "meta").unionByName(
+        indexed.select(F.lit("indexed").alias("format"), "__id__", "text", "meta")
+    )
+    return rows.select("format", F.col("__id__").alias("doc_id"), "meta", F.md5(text.to_utf8("text")).alias("text_md5"))
+
+
 # ---- joins and grids ---------------------------------------------------------
 
 

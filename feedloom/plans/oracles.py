@@ -195,6 +195,18 @@ ORACLES: dict[str, str] = {
         round(1 - sum(least(length(text), 128))::DOUBLE / (128 * count(*)), 4) AS pad_share FROM placed GROUP BY ALL"""),
     "inflight_bytes": _with("blocks", body=""", s AS (SELECT block, count(*) AS n_rows, count(*) * 150528 AS decoded_bytes FROM blocks GROUP BY block)
         SELECT *, (SELECT CAST(sum(decoded_bytes) AS BIGINT) FROM (SELECT decoded_bytes FROM s ORDER BY decoded_bytes DESC LIMIT 3)) AS peak_bytes FROM s"""),
+    "feed_tar": f"""WITH d AS (SELECT printf('%08d', doc_id) AS sample_key, printf('shard-%06d.tar', doc_id // {TAR_ROWS}) AS shard, doc_id % {TAR_ROWS} // {BUFFER} AS w,
+            least(length(text), 128) AS n_tokens FROM documents),
+        o AS (SELECT *, w * {BUFFER} + row_number() OVER (PARTITION BY shard, w ORDER BY md5('{SEED}:0:' || sample_key), sample_key) - 1 AS out_pos FROM d),
+        s AS (SELECT shard, n, row_number() OVER (ORDER BY md5('{SEED}:0:' || shard), shard) - 1 AS rank FROM (SELECT shard, count(*) AS n FROM d GROUP BY shard)),
+        b AS (SELECT shard, rank % 2 AS worker, CAST(sum(n) OVER (PARTITION BY rank % 2 ORDER BY rank) - n AS BIGINT) AS before FROM s)
+        SELECT sample_key, worker, before + out_pos AS seat, (before + out_pos) // {BATCH} AS batch_id, n_tokens FROM o JOIN b USING (shard)""",
+    "feed_indexed": _with("placed", body=f""", w AS (SELECT doc_id, pos * 2 // total AS worker, pos, least(length(text), 128) AS n_tokens FROM placed),
+        s AS (SELECT *, pos - min(pos) OVER (PARTITION BY worker) AS seat, count(*) OVER (PARTITION BY worker) AS n FROM w)
+        SELECT doc_id, worker, seat, seat // {BATCH} AS batch_id, n_tokens FROM s WHERE seat < n // {BATCH} * {BATCH}"""),
+    "feed_parquet": _with("placed", body=f"""SELECT doc_id, CAST(0 AS BIGINT) AS worker, pos AS seat, pos // {BATCH} AS batch_id, least(length(text), 128) AS n_tokens FROM placed"""),
+    "prepare_corpus": """SELECT unnest(['parquet', 'indexed']) AS format, doc_id, CAST(to_json({'lang': lang, 'source': source}) AS VARCHAR) AS meta,
+        md5(text) AS text_md5 FROM documents""",
     # ---- joins and grids
     "pair_samples": "SELECT printf('%08d', doc_id) AS sample_key, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)",
     "unpaired_samples": """SELECT doc_id, 'label' AS missing FROM documents ANTI JOIN labels USING (doc_id)

@@ -105,5 +105,13 @@ def require(value: str, allowed, what: str) -> str:
     return value
 
 
+def check_run(loader: str, dataset: str, batch_size: int, workers: int = 1) -> None:
+    """Reject a run that cannot be built, before any job starts."""
+    require(loader, FORMAT_FOLDERS, "loader")
+    require(dataset, MODALITIES, "dataset")
+    if batch_size < 1 or workers < 1:
+        raise ValueError("batch size and workers must be at least 1")
+
+
 def modality_schema(modality: str) -> T.StructType:
     return MODALITIES[require(modality, MODALITIES, "modality")]

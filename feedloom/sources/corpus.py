@@ -21,16 +21,16 @@ def register_sources(spark: SparkSession) -> None:
     spark.dataSource.register(IndexedShards)
 
 
-def read_text_corpus(spark: SparkSession, path: str, meta: T.DataType | None = None) -> DataFrame:
-    """Line-delimited JSON with ``text`` and ``meta``; broken lines land in ``_corrupt_record``."""
-    schema = T.StructType(
-        [
-            T.StructField("text", T.StringType()),
-            T.StructField("meta", meta or TEXT_SOURCE["meta"].dataType),
-            T.StructField("_corrupt_record", T.StringType()),
-        ]
-    )
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+def read_text_corpus(spark: SparkSession, path: str, meta: T.DataType | None = None, strict: bool = False) -> DataFrame:
+    """Line-delimited JSON with ``text`` and ``meta`` (JSON text unless a type is given).
+
+    Broken lines land in ``_corrupt_record``, or fail the job when ``strict``.
+    """
+    fields = [T.StructField("text", T.StringType()), T.StructField("meta", meta or TEXT_SOURCE["meta"].dataType)]
+    if strict:
+        return spark.read.schema(T.StructType(fields)).option("mode", "FAILFAST").json(path)
+    fields.append(T.StructField("_corrupt_record", T.StringType()))
+    return spark.read.schema(T.StructType(fields)).option("mode", "PERMISSIVE").json(path)
 
 
 def read_labelled_images(spark: SparkSession, path: str) -> DataFrame:
@@ -46,9 +46,9 @@ def read_image_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tar(spark: SparkSession, path: str, fields: str = "txt string", shard: bool = False) -> DataFrame:
-    """Tar shards as rows: ``__key__``, the fields asked for, optionally the shard name."""
+    """Tar shards as rows: ``__key__``, the fields asked for, optionally shard name and place in it."""
     register_sources(spark)
-    extra = "`__shard__` string, " if shard else ""
+    extra = "`__shard__` string, `__place__` long, " if shard else ""
     return spark.read.format("tar_shards").schema(f"`__key__` string, {extra}{fields}").option("path", path).load()
 
 

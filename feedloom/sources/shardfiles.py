@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSourceArrowWriter, InputPartition, Writer
 
 SHARD_LIST = "shards.jsonl"
 READ_ROWS = 1024
+SLICE_ROWS = 256
 READ_BYTES = 32 << 20
 
 
@@ -58,6 +59,12 @@ class WrittenShards(WriterCommitMessage):
     shards: list[dict] = field(default_factory=list)
 
 
+def rows_of(batch):
+    """Rows of an Arrow batch as dicts, a few hundred held at a time."""
+    for start in range(0, batch.num_rows, SLICE_ROWS):
+        yield from batch.slice(start, SLICE_ROWS).to_pylist()
+
+
 class RowChunks:
     """Gathers rows into Arrow batches of bounded rows and bytes."""
 
@@ -134,7 +141,7 @@ class RollingWriter(DataSourceArrowWriter):
             done.append(now)
 
         for batch in iterator:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 shard, ident = row.pop("shard_id"), row["__id__"]
                 turned = now is None or shard != now["range"]
                 full = self.limit and not turned and filled + self.room(row) > self.limit

@@ -30,18 +30,25 @@ def layout_path(out: str, modality: str, fmt: str) -> str:
     return f"{out.rstrip('/')}/{modality}/{FORMAT_FOLDERS[require(fmt, FORMAT_FOLDERS, 'format')]}"
 
 
-def by_shard(df: DataFrame) -> DataFrame:
-    """Whole shards per task, samples in id order inside each."""
-    return df.repartition("shard_id").sortWithinPartitions("shard_id", "__id__")
+def by_shard(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Whole shards per task, samples in id order inside each.
+
+    ``tasks`` defaults to the session's shuffle partitions; size it so that a
+    task sorts a few GB (100 TB wants tens of thousands).
+    """
+    spread = [tasks] if tasks else []
+    return df.repartition(*spread, "shard_id").sortWithinPartitions("shard_id", "__id__")
 
 
-def write_parquet_shards(df: DataFrame, path: str, shard_rows: int = PARQUET_SHARD_ROWS, size: str | None = None) -> None:
+def write_parquet_shards(
+    df: DataFrame, path: str, shard_rows: int = PARQUET_SHARD_ROWS, size: str | None = None, tasks: int | None = None
+) -> None:
     """Row-count shards, one file in each ``shard_id=`` folder, and their manifest.
 
     Spark picks the file names; the manifest carries the logical shard names.
     """
     laid = count_shards(df, "__id__", shard_rows)
-    by_shard(laid.drop("n_shards")).write.partitionBy("shard_id").parquet(f"{path}/data")
+    by_shard(laid.drop("n_shards"), tasks).write.partitionBy("shard_id").parquet(f"{path}/data")
     payload = F.sum(utf8_bytes(size)) if size else F.lit(0).cast("long")
     rows = laid.groupBy("shard_id", "n_shards").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -53,17 +60,19 @@ def write_parquet_shards(df: DataFrame, path: str, shard_rows: int = PARQUET_SHA
     named.select("shard_id", "file", "n_rows", "bytes", "first_id", "last_id").write.json(f"{path}/{SHARD_LIST}")
 
 
-def write_tar(df: DataFrame, path: str, fields: list[str], shard_rows: int = TAR_SHARD_ROWS) -> None:
+def write_tar(df: DataFrame, path: str, fields: list[str], shard_rows: int = TAR_SHARD_ROWS, tasks: int | None = None) -> None:
     """Tar shards of a fixed sample count with ``manifest.txt``.
 
     Further columns become further entries of the sample, e.g. a ``json`` column.
     """
     register_sources(df.sparkSession)
     laid = fixed_shards(df.select("__id__", *fields), "__id__", shard_rows)
-    by_shard(laid).write.format("tar_shards").option("path", path).mode("append").save()
+    by_shard(laid, tasks).write.format("tar_shards").option("path", path).mode("append").save()
 
 
-def write_indexed(df: DataFrame, path: str, limit: int, payload: str, greedy: bool = False, range_rows: int = 100_000) -> None:
+def write_indexed(
+    df: DataFrame, path: str, limit: int, payload: str, greedy: bool = False, range_rows: int = 100_000, tasks: int | None = None
+) -> None:
     """Byte-bounded indexed shards.
 
     ``greedy=False`` cuts the running byte total on a grid (a shard may exceed the
@@ -77,7 +86,7 @@ def write_indexed(df: DataFrame, path: str, limit: int, payload: str, greedy: bo
         sizes = settle(df.select("__id__", F.octet_length(payload).cast("long").alias("_bytes")), "sizes")
         shards = settle(byte_manifest(sizes, "__id__", "_bytes", limit), "shards")
         laid = tag_shards(df, "__id__", shards)
-    writer = by_shard(laid).write.format("indexed_shards").option("path", path).option("size_limit", limit)
+    writer = by_shard(laid, tasks).write.format("indexed_shards").option("path", path).option("size_limit", limit)
     writer.option("greedy", str(greedy).lower()).mode("append").save()
 
 
@@ -100,6 +109,7 @@ def write_formats(
     parquet_rows: int = PARQUET_SHARD_ROWS,
     tar_rows: int = TAR_SHARD_ROWS,
     limit: int = TAR_SHARD_ROWS * INDEXED_BYTES_PER_SAMPLE,
+    tasks: int | None = None,
 ) -> dict[str, str]:
     """Any subset of the three layouts from one read of an id-stamped source.
 
@@ -110,16 +120,16 @@ def write_formats(
     stamped = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if "parquet" in paths:
-            write_parquet_shards(stamped, paths["parquet"], parquet_rows, "text" if modality == "text" else None)
+            write_parquet_shards(stamped, paths["parquet"], parquet_rows, "text" if modality == "text" else None, tasks)
         if "tar" in paths:
             if modality == "text":
-                write_tar(stamped.withColumnRenamed("text", "txt"), paths["tar"], ["txt"], tar_rows)
+                write_tar(stamped.withColumnRenamed("text", "txt"), paths["tar"], ["txt"], tar_rows, tasks)
             elif modality == "images":
-                write_tar(stamped.withColumnRenamed("image", "jpg"), paths["tar"], ["jpg"], tar_rows)
+                write_tar(stamped.withColumnRenamed("image", "jpg"), paths["tar"], ["jpg"], tar_rows, tasks)
             else:
-                write_tar(stamped, paths["tar"], ["jpg", "txt"], tar_rows)
+                write_tar(stamped, paths["tar"], ["jpg", "txt"], tar_rows, tasks)
         if "indexed" in paths:
-            write_indexed(indexed_rows(stamped, modality), paths["indexed"], limit, payload)
+            write_indexed(indexed_rows(stamped, modality), paths["indexed"], limit, payload, tasks=tasks)
     finally:
         stamped.unpersist()
     return paths

@@ -1,7 +1,8 @@
 """Key-matched tar shards as a Spark data source (``tar_shards``).
 
 One tar is one task.  Entries ``<key>.<field>`` of one key form a row; a field
-the sample lacks is NULL.
+the sample lacks is NULL.  A schema may also ask for the shard's name
+(``__shard__``) and the sample's 0-based place in it (``__place__``).
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from feedloom.sources.shardfiles import RollingWriter, RowChunks, ShardFile, ope
 
 KEY = "__key__"
 SHARD = "__shard__"
-_STEERING = {"shard_id", "__id__", KEY, SHARD}
+PLACE = "__place__"
+_STEERING = {"shard_id", "__id__", KEY, SHARD, PLACE}
 
 
 class TarReader(DataSourceReader):
@@ -33,19 +35,15 @@ class TarReader(DataSourceReader):
         if partition is None:  # no shards: Spark still asks once
             return
         fields = {f.name: f.dataType for f in self.schema if f.name not in _STEERING}
-        keep_shard, keep_key = SHARD in self.schema.names, KEY in self.schema.names
         chunks = RowChunks(to_arrow_schema(self.schema))
         files, root = open_fs(self.path)
 
-        def sample(key):
+        def sample(key, place):
             row = dict.fromkeys(self.schema.names)
-            if keep_key:
-                row[KEY] = key
-            if keep_shard:
-                row[SHARD] = partition.name
+            row.update((k, v) for k, v in {KEY: key, SHARD: partition.name, PLACE: place}.items() if k in row)
             return row
 
-        current, row, size = None, None, 0
+        current, row, size, place = None, None, 0, -1
         with files.open_input_stream(f"{root}/{partition.name}") as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
             for entry in tar:
                 if not entry.isfile():
@@ -56,7 +54,8 @@ class TarReader(DataSourceReader):
                 if key != current:
                     if row is not None and (batch := chunks.add(row, size)):
                         yield batch
-                    current, row, size = key, sample(key), 0
+                    place += 1
+                    current, row, size = key, sample(key, place), 0
                 if ext in fields:
                     body = tar.extractfile(entry).read()
                     row[ext] = body if isinstance(fields[ext], T.BinaryType) else _parse(body, fields[ext])

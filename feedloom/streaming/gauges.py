@@ -73,26 +73,36 @@ class Snapshots:
 
     Every micro-batch writes ``v=<batch id>`` from the snapshot before it, so a
     micro-batch that is replayed writes the same version again.  The table has
-    one row per key, whatever the length of the stream.
+    one row per key, whatever the length of the stream; the last few versions stay.
     """
 
+    KEPT = 5
+
     def __init__(self, path: str):
         self.path = path
 
-    def _version(self, spark: SparkSession, before: int | None = None) -> int | None:
-        from feedloom.sources.shardfiles import open_fs
+    def _versions(self) -> list[int]:
         from pyarrow import fs
 
+        from feedloom.sources.shardfiles import exists, open_fs
+
         files, root = open_fs(self.path)
         listed = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        found = [
-            int(f.base_name[2:]) for f in listed
-            if f.base_name.startswith("v=") and files.get_file_info(f"{f.path}/_SUCCESS").type != fs.FileType.NotFound
-        ]
-        return max((v for v in found if before is None or v < before), default=None)
+        names = [f.base_name for f in listed if f.base_name.startswith("v=")]
+        return sorted(int(n[2:]) for n in names if exists(files, f"{root}/{n}/_SUCCESS"))
+
+    def _version(self, before: int | None = None) -> int | None:
+        return max((v for v in self._versions() if before is None or v < before), default=None)
+
+    def _forget_old(self) -> None:
+        from feedloom.sources.shardfiles import open_fs
+
+        files, root = open_fs(self.path)
+        for version in self._versions()[: -self.KEPT]:
+            files.delete_dir(f"{root}/v={version}")
 
     def read(self, spark: SparkSession) -> DataFrame | None:
-        version = self._version(spark)
+        version = self._version()
         return None if version is None else spark.read.parquet(f"{self.path}/v={version}")
 
     def upsert(self, merge):
@@ -100,11 +110,12 @@ class Snapshots:
 
         def apply(batch: DataFrame, batch_id: int) -> None:
             spark = batch.sparkSession
-            old = self._version(spark, before=batch_id)
+            old = self._version(before=batch_id)
             rows = batch.withColumn("_batch", F.lit(batch_id))
             if old is not None:
                 rows = rows.unionByName(spark.read.parquet(f"{self.path}/v={old}").withColumn("_batch", F.lit(old)))
             merge(rows).drop("_batch").write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+            self._forget_old()
 
         return apply
 
