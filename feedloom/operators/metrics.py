@@ -142,12 +142,16 @@ def nonnull_series(readings: DataFrame, keys: list[str], value: str) -> DataFram
     return readings.join(live, keys, "left_semi")
 
 
-def append_series(grid: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
-    """Add a series that has points at some batch sizes only; the others are NULL.
+def append_series(points: DataFrame, extra: Column, keys: list[str], size: str, sizes: list[int], value: str) -> DataFrame:
+    """Chart points where an extra series exists at some batch sizes only.
 
-    ``grid`` holds the extra series' cells, ``extra`` its known points.
+    Rows that satisfy ``extra`` get a point at every size, NULL where they have
+    no value; the other rows stay as they are.
     """
-    return grid.join(extra, keys, "left")
+    every = F.array(*[F.lit(s).cast("long") for s in sizes])
+    cells = points.withColumn("_cell", F.explode(F.when(extra, every).otherwise(F.array(F.col(size)))))
+    shown = cells.withColumn("_shown", F.when(F.col("_cell") == F.col(size), F.col(value)))
+    return shown.groupBy(*keys, F.col("_cell").alias(size)).agg(F.max("_shown").alias(value))
 
 
 def running_rate(timeline: DataFrame) -> DataFrame:
@@ -176,16 +180,21 @@ def first_batch_latency(timeline: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def run_spans(readings: DataFrame, keys: list[str], micros: str, ident: str, gap_us: int) -> DataFrame:
+def run_spans(readings: DataFrame, keys: list[str], micros: str, gap_us: int) -> DataFrame:
     """Stretches of readings with no silence of ``gap_us`` or more between them.
 
-    Session windows would merge a series in one task; here the gap flags and
-    their running sum are bucketed, and a span is a plain group.
+    Readings in one cell of ``gap_us`` are never a gap apart, so they are first
+    combined per cell (map-side, whatever a series' share of the rows).  A series
+    then has at most (time span / gap) cells, and only those are ordered.
     """
-    order = [micros, ident]
-    lagged = bucketed_window(readings, keys, time_bucket(micros), order, previous={"_prev": micros})
-    flagged = lagged.withColumn("_starts", (F.col(micros) - F.col("_prev") >= gap_us).cast("long")).fillna(0, ["_starts"])
-    spans = bucketed_window(flagged, keys, time_bucket(micros), order, running={"_span": "_starts"})
+    cells = readings.groupBy(*keys, F.floor(F.col(micros) / F.lit(gap_us)).cast("long").alias("_cell")).agg(
+        F.min(micros).alias("_from"), F.max(micros).alias("_to"), F.count(F.lit(1)).alias("_n")
+    )
+    series = Window.partitionBy(*keys).orderBy("_cell")
+    opens = F.coalesce((F.col("_from") - F.lag("_to").over(series) >= gap_us).cast("long"), F.lit(0).cast("long"))
+    spans = cells.withColumn("_opens", opens)
+    upto = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = spans.withColumn("_span", F.sum("_opens").over(upto))
     return spans.groupBy(*keys, "_span").agg(
-        F.min(micros).alias("start_us"), F.max(micros).alias("last_us"), F.count(F.lit(1)).alias("readings")
+        F.min("_from").alias("start_us"), F.max("_to").alias("last_us"), F.sum("_n").alias("readings")
     ).drop("_span")

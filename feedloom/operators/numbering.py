@@ -87,7 +87,9 @@ def bucketed_window(
         sums.append(f"_s_{new}")
         facts.append(_zero_if_none(F.sum(source)).alias(f"_s_{new}"))
     lasts = [f"_l_{new}" for new in previous]
-    facts += [F.max_by(source, F.struct(*order)).alias(f"_l_{new}") for new, source in previous.items()]
+    # One plain order column keeps this a hash aggregate; several need a struct and a sort.
+    latest = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    facts += [F.max_by(source, latest).alias(f"_l_{new}") for new, source in previous.items()]
     edges = _edges(parted, facts, keys, sums, lasts)
 
     local: dict[str, Column] = {}

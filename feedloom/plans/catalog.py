@@ -627,9 +627,8 @@ def _averages(spark, d) -> DataFrame:
 def _chart_points(spark, d) -> DataFrame:
     """Averages of the regular loaders, and the extra series at every batch size."""
     known = _averages(spark, d).select("loader", "dataset", "batch_size", "samples_per_sec")
-    regular, extra = known.where(F.col("loader") != EXTRA_LOADER), known.where(F.col("loader") == EXTRA_LOADER)
-    cells = extra.select("loader", "dataset").distinct().withColumn("batch_size", F.explode(F.array(*[F.lit(b).cast("long") for b in BATCH_SIZES])))
-    return regular.unionByName(metrics.append_series(cells, extra, ["loader", "dataset", "batch_size"]))
+    extra = F.col("loader") == EXTRA_LOADER
+    return metrics.append_series(known, extra, ["loader", "dataset"], "batch_size", BATCH_SIZES, "samples_per_sec")
 
 
 @query
@@ -764,7 +763,7 @@ def gauge_latest(spark, d):
 
 @query
 def run_spans(spark, d):
-    return metrics.run_spans(views.batch_log(spark, d), ["run"], "got_us", "event_id", GAP_US)
+    return metrics.run_spans(views.batch_log(spark, d), ["run"], "got_us", GAP_US)
 
 
 def _event_stream(spark, d) -> DataFrame:

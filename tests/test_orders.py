@@ -177,7 +177,7 @@ def test_spans_over_a_hot_series(spark):
     minute = 60_000_000
     times = [0, minute, 2 * minute, 30 * minute, 31 * minute, 41 * minute, 100 * minute]
     df = spark.createDataFrame([("hot", t, i) for i, t in enumerate(times)] + [("b", 5, 99)], "run string, us long, e long")
-    got = metrics.run_spans(df, ["run"], "us", "e", 10 * minute).collect()
+    got = metrics.run_spans(df, ["run"], "us", 10 * minute).collect()
     spans = sorted((r.run, r.start_us // minute, r.last_us // minute, r.readings) for r in got)
     assert spans == [("b", 0, 0, 1), ("hot", 0, 2, 3), ("hot", 30, 31, 2), ("hot", 41, 41, 1), ("hot", 100, 100, 1)]
 
