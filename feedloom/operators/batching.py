@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.numbering import bucketed_window
+from feedloom.operators.shuffle import BROADCAST_BLOCKS
 from feedloom.schemas import IMAGE_SIDE, SEQUENCE_LENGTH
 
 
@@ -26,15 +27,18 @@ def full_batches(df: DataFrame, batch_size: int, pos: str = "pos") -> DataFrame:
     return global_batches(kept.drop("_total"), size, pos)
 
 
-def worker_batches(df: DataFrame, shards: DataFrame, batch_size: int, shard: str, place: str) -> DataFrame:
+def worker_batches(df: DataFrame, shards: DataFrame, batch_size: int, shard: str, place: str, n_shards: int | None = None) -> DataFrame:
     """Batches formed inside each worker over its shards in rank order.
 
     ``shards`` has (shard, rank, worker, n_rows).  A row's number within its
     worker is (rows of the worker's earlier shards) + place in the shard, so only
-    the shard table is ordered and a worker's rows are never gathered.
+    the shard table is ordered and a worker's rows are never gathered.  When the
+    caller knows ``n_shards`` and it is small enough, no row moves either.
     """
     upto = bucketed_window(shards, ["worker"], F.shiftright("rank", 12), ["rank"], running={"_upto": "n_rows"})
     seats = upto.select(shard, "worker", "rank", (F.col("_upto") - F.col("n_rows")).alias("_before"))
+    if n_shards is not None and n_shards <= BROADCAST_BLOCKS:
+        seats = F.broadcast(seats)
     seated = df.join(seats, shard).withColumn("seat", F.col("_before") + F.col(place))
     return seated.withColumn("batch_id", F.expr(f"seat div {int(batch_size)}")).drop("_before")
 

@@ -29,7 +29,8 @@ def batch_timeline(batches: DataFrame, keys: list[str]) -> DataFrame:
 
     In: keys, ``event_id``, ``got_us``, ``done_us``, ``start_us`` (loop start),
     ``n``.  The wait is counted from the end of the previous batch, the first
-    one from the loop start.
+    one from the loop start.  A run is one sequential loop, so a minute of it (the
+    bucket) holds a bounded number of batches however many the run has.
     """
     seen = bucketed_window(
         batches, keys, time_bucket("got_us"), ["got_us", "event_id"],
@@ -54,11 +55,21 @@ def epoch_metrics(batches: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def data_stall(timeline: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of the epoch spent waiting for data."""
+def _total_wait() -> Column:
+    """Sum of all waits of a run without ordering it.
+
+    Each batch's end is the next one's wait start, so the waits telescope:
+    sum(got - done) + (end of the last batch) - (loop start).
+    """
+    last_done = F.max_by("done_us", F.struct("got_us", "event_id"))
+    return F.sum(F.col("got_us") - F.col("done_us")) + last_done - F.min("start_us")
+
+
+def data_stall(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of the epoch spent waiting for data; a plain aggregate, so a busy run is combined map-side."""
     return (
-        timeline.groupBy(*keys)
-        .agg(F.sum("wait_us").alias("wait_us"), (F.max("done_us") - F.min("start_us")).alias("elapsed_us"))
+        batches.groupBy(*keys)
+        .agg(_total_wait().alias("wait_us"), (F.max("done_us") - F.min("start_us")).alias("elapsed_us"))
         .withColumn("compute_us", F.col("elapsed_us") - F.col("wait_us"))
         .withColumn("data_stall_pct", percent(F.col("wait_us"), F.col("elapsed_us")))
     )
@@ -171,13 +182,13 @@ def capture_phase(i: Column, phases: dict[str, int] = CAPTURE_PHASES) -> Column:
     return out.otherwise(F.lit("done"))
 
 
-def first_batch_latency(timeline: DataFrame, keys: list[str]) -> DataFrame:
-    """Wait for the first batch against the mean wait of the rest."""
-    first = F.col("i") == 0
-    return timeline.groupBy(*keys).agg(
-        F.max(F.when(first, F.col("wait_us"))).alias("first_wait_us"),
-        F.round(F.avg(F.when(~first, F.col("wait_us"))), 2).alias("later_wait_us"),
+def first_batch_latency(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """Wait for the first batch against the mean wait of the rest, again without ordering the run."""
+    whole = batches.groupBy(*keys).agg(
+        _total_wait().alias("_wait"), (F.min("got_us") - F.min("start_us")).alias("first_wait_us"), F.count(F.lit(1)).alias("_n")
     )
+    later = F.when(F.col("_n") > 1, F.round((F.col("_wait") - F.col("first_wait_us")) / (F.col("_n") - 1), 2))
+    return whole.select(*keys, "first_wait_us", later.alias("later_wait_us"))
 
 
 def run_spans(readings: DataFrame, keys: list[str], micros: str, gap_us: int) -> DataFrame:

@@ -155,11 +155,12 @@ def starved_workers(shards: DataFrame, worker_counts: list[int]) -> DataFrame:
     return grid.where("worker >= n_shards").select("num_workers", "worker", "n_shards")
 
 
-def require_feasible(shards: DataFrame, workers: int) -> None:
-    """Fail when there are more workers than shards."""
+def require_feasible(shards: DataFrame, workers: int) -> int:
+    """Fail when there are more workers than shards; returns the number of shards."""
     found = shards.select("shard_id").distinct().count()
     if workers > found:
         raise ValueError(f"{workers} workers but only {found} shards")
+    return found
 
 
 def balance(shards: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from feedloom.operators.numbering import bucketed_window, hash_bucket, number_by_hash
 
+# A block or shard table of up to this many rows (a few MB) is broadcast.
+BROADCAST_BLOCKS = 65_536
+
 
 def shuffle_key(ident: Column | str, seed: int, epoch: Column | int = 0) -> Column:
     ident = F.col(ident) if isinstance(ident, str) else ident
@@ -72,6 +75,21 @@ def window_shuffle(df: DataFrame, shard: Column, pos: str, ident: str, size: int
     return keyed.withColumn("out_pos", out).drop("_shard", "_window", "_key")
 
 
+def window_shuffle_in_place(
+    df: DataFrame, shard: str, place: str, ident: str, size: int, seed: int = 42, epoch: int = 0, into: str = "out_pos"
+) -> DataFrame:
+    """``window_shuffle`` for rows scanned one shard per partition: sorted where they are, no exchange.
+
+    A tar scan is such a source.  The new place is the row's place in its sorted
+    partition, the low 33 bits of Spark's increasing id.
+    """
+    window = F.floor(F.col(place) / F.lit(size)).cast("long")
+    keyed = df.withColumns({"_window": window, "_key": shuffle_key(ident, seed, epoch)})
+    ordered = keyed.sortWithinPartitions(shard, "_window", "_key", ident)
+    seat = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.withColumn(into, seat).drop("_window", "_key")
+
+
 def buffer_order(shards: DataFrame, size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
     """Bounded-buffer order: each shard is streamed through a buffer of ``size`` rows.
 
@@ -121,10 +139,6 @@ def buffer_order(shards: DataFrame, size: int, seed: int = 42, epoch: int = 0) -
     return spread.mapInArrow(stream, "shard_id long, __id__ long, in_pos long, out_pos long")
 
 
-# A block table of this many rows (under 3 MB) is broadcast.
-BROADCAST_BLOCKS = 65_536
-
-
 def block_shuffle(df: DataFrame, block: str, ident: str, seed: int = 42, epoch: int = 0, blocks: int | None = None) -> DataFrame:
     """Reorder whole blocks; rows inside a block keep their order.
 

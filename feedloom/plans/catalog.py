@@ -652,7 +652,7 @@ def epoch_metrics(spark, d):
 
 @query
 def data_stall(spark, d):
-    return metrics.data_stall(_timeline(spark, d), RUN)
+    return metrics.data_stall(views.batch_log(spark, d), RUN)
 
 
 @query
@@ -736,7 +736,7 @@ def active_batches(spark, d):
 
 @query
 def first_batch_latency(spark, d):
-    return metrics.first_batch_latency(_timeline(spark, d), RUN)
+    return metrics.first_batch_latency(views.batch_log(spark, d), RUN)
 
 
 # ---- telemetry ---------------------------------------------------------------

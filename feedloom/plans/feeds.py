@@ -50,10 +50,10 @@ def tar_feed(
     fields = {"text": "txt string", "images": "jpg binary", "image+text": "jpg binary, txt string"}[modality]
     rows = corpus.read_tar(spark, path, fields, shard=True)
     sizes = corpus.read_manifest(spark, path).select(F.col("file").alias("__shard__"), "n_rows")
-    require_feasible(sizes.withColumnRenamed("__shard__", "shard_id"), workers)
+    n_shards = require_feasible(sizes.withColumnRenamed("__shard__", "shard_id"), workers)
     ranked = assign_workers(shuffle.shard_order(sizes, "__shard__", seed, epoch), "rank", workers)
-    moved = shuffle.window_shuffle(rows, F.col("__shard__"), "__place__", "__key__", buffer or BUFFER_ROWS[modality], seed, epoch)
-    seated = batching.worker_batches(moved, ranked, batch_size, "__shard__", "out_pos")
+    mixed = shuffle.window_shuffle_in_place(rows, "__shard__", "__place__", "__key__", buffer or BUFFER_ROWS[modality], seed, epoch)
+    seated = batching.worker_batches(mixed, ranked, batch_size, "__shard__", "out_pos", n_shards)
     return _decoded(_capped(seated.drop("__shard__", "__place__", "out_pos", "rank"), max_batches, workers))
 
 
@@ -74,7 +74,7 @@ def indexed_feed(
     )
     seated = bounds.selectExpr("__id__", "worker", "pos - _first AS seat", f"(pos - _first) div {size} AS batch_id", f"(_end - _first) div {size} AS _full")
     seated = _capped(seated.where("batch_id < _full").drop("_full"), max_batches, workers)
-    return _decoded(shuffle.fetch(seated, fetch_samples(spark, path, seated.select("__id__")), "__id__"))
+    return _decoded(fetch_samples(spark, path, seated, carry=["worker", "seat", "batch_id"]))
 
 
 def parquet_feed(

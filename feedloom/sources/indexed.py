@@ -193,12 +193,17 @@ class IndexedShards(DataSource):
         return IndexedWriter(self.options["path"], columns_of(schema), int(limit) if limit else None, greedy)
 
 
-def fetch_samples(spark: SparkSession, path: str, ids: DataFrame, ident: str = "__id__", transform=None, schema: T.StructType | None = None) -> DataFrame:
+def fetch_samples(
+    spark: SparkSession, path: str, ids: DataFrame, ident: str = "__id__", transform=None, schema: T.StructType | None = None,
+    carry: list[str] | None = None,
+) -> DataFrame:
     """Random access: the samples with the given ids, by seeking in their shards.
 
     Ids are placed through the manifest, gathered by shard, and each task reads
     only the offsets and records it needs.  ``transform`` (dict -> dict) runs on
     every sample as it is fetched and then ``schema`` describes its result.
+    Repeated ids come back once; with ``carry`` the ids must be unique and those
+    columns of ``ids`` travel along, so that no payload has to be joined later.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -211,15 +216,19 @@ def fetch_samples(spark: SparkSession, path: str, ids: DataFrame, ident: str = "
     schema = schema or spark_schema(dict(columns))
     shards = spark.read.schema(MANIFEST).json(f"{path}/{SHARD_LIST}")
     placed = locate(ids, ident, shards)
+    carry = carry or []
+    if carry:
+        placed = placed.join(ids.select(ident, *carry), ident)
+        schema = T.StructType([*schema.fields, *[ids.schema[c] for c in carry]])
     # The name of the file travels with the id; a manifest row is joined, not collected.
-    named = placed.join(shards.select("shard_id", "file"), "shard_id").select("file", "place")
+    named = placed.join(shards.select("shard_id", "file"), "shard_id").select("file", "place", *carry)
     arrow = to_arrow_schema(schema)
 
     def seek(batches):
         handles, name, source, offsets = open_fs(path), None, None, None
         chunks = RowChunks(arrow)
         for batch in batches:
-            for file, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for file, place, *extras in zip(*(column.to_pylist() for column in batch.columns)):
                 if file != name:
                     if source is not None:
                         source.close()
@@ -228,7 +237,8 @@ def fetch_samples(spark: SparkSession, path: str, ids: DataFrame, ident: str = "
                 offsets = struct.unpack("<2I", source.read(8))
                 source.seek(offsets[0])
                 row = decode_record(source.read(offsets[1] - offsets[0]), columns)
-                if out := chunks.add(transform(row) if transform else row, offsets[1] - offsets[0]):
+                row = {**(transform(row) if transform else row), **dict(zip(carry, extras))}
+                if out := chunks.add(row, offsets[1] - offsets[0]):
                     yield out
         if source is not None:
             source.close()

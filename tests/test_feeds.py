@@ -111,3 +111,18 @@ def test_text_from_jsonl_keeps_file_order_and_fails_on_broken_lines(spark, tmp_p
     (tmp_path / "c.jsonl").write_text("{broken")
     with pytest.raises(Exception):
         feeds.prepare(spark, "text", str(tmp_path), fresh_dir(spark, "txt"), ("tar",))
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line and "Reused" not in line]
+
+
+def test_tar_and_indexed_feeds_shuffle_no_payload(spark, layouts):
+    tar = feeds.tar_feed(spark, layouts["tar"], "text", 16, 2)._jdf.queryExecution().executedPlan().toString()
+    scan_branch = tar.splitlines()
+    scan = next(i for i, line in enumerate(scan_branch) if "tar_shards" in line.lower() or "BatchScan" in line)
+    join = next(i for i, line in enumerate(scan_branch) if "BroadcastHashJoin" in line)
+    assert join < scan and not any("Exchange hashpartitioning" in line for line in scan_branch[join:scan])
+    plan = feeds.indexed_feed(spark, layouts["indexed"], "text", 16, 2)._jdf.queryExecution().executedPlan().toString().splitlines()
+    fetch = next(i for i, line in enumerate(plan) if "MapInArrow" in line)
+    assert not any("Exchange" in line for line in plan[:fetch])
