@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.numbering import bucketed_window, hash_bucket, number_by_hash
+from feedloom.session import ship_package, spread
 
 # A block or shard table of up to this many rows (a few MB) is broadcast.
 BROADCAST_BLOCKS = 65_536
@@ -135,8 +136,9 @@ def buffer_order(shards: DataFrame, size: int, seed: int = 42, epoch: int = 0) -
                     )
                     given += len(taken)
 
-    spread = shards.select("shard_id", "first_id", "n_rows").repartition("shard_id")
-    return spread.mapInArrow(stream, "shard_id long, __id__ long, in_pos long, out_pos long")
+    ship_package(shards.sparkSession)
+    rows = spread(shards.select("shard_id", "first_id", "n_rows"), "shard_id")
+    return rows.mapInArrow(stream, "shard_id long, __id__ long, in_pos long, out_pos long")
 
 
 def block_shuffle(df: DataFrame, block: str, ident: str, seed: int = 42, epoch: int = 0, blocks: int | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from feedloom.operators import batching, shuffle
 from feedloom.operators.numbering import number_shard_rows, number_source_rows
 from feedloom.operators.sharding import assign_workers, require_feasible
 from feedloom.schemas import BUFFER_ROWS, EPOCH_RECORD, FORMAT_FOLDERS, TAR_IMAGE_FIELDS, check_run
+from feedloom.session import spread
 from feedloom.sources import corpus, sinks
 from feedloom.sources.indexed import fetch_samples
 
@@ -64,7 +65,7 @@ def indexed_feed(
     """Ids shuffled and cut evenly to workers, samples fetched by seeking, incomplete batches dropped."""
     check_run("indexed", modality, batch_size, workers)
     shards = corpus.read_manifest(spark, path)
-    ids = shards.select(F.explode(F.sequence("first_id", "last_id")).alias("__id__"))
+    ids = spread(shards.where("n_rows > 0"), "shard_id").select(F.explode(F.sequence("first_id", "last_id")).alias("__id__"))
     order = shuffle.index_shuffle(ids, "__id__", workers, seed, epoch)
     total = shards.agg(F.sum("n_rows").alias("n")).scalar()
     size, w = int(batch_size), int(workers)

@@ -63,6 +63,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """A small table over many tasks, for rows that grow into many.
+
+    The fixed count keeps the adaptive planner, which sees only the small input,
+    from putting all the work into one task.
+    """
+    session = df.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *columns)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application."""
     context = spark.sparkContext

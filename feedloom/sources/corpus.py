@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.schemas import EPOCH_RECORD, FORMAT_FOLDERS, MANIFEST, TEXT_SOURCE, modality_schema, require
 from feedloom.session import ship_package
-from feedloom.sources.shardfiles import SHARD_LIST
+from feedloom.sources.shardfiles import SHARD_LIST, exists, open_fs
 
 
 def register_sources(spark: SparkSession) -> None:
@@ -49,7 +49,8 @@ def read_tar(spark: SparkSession, path: str, fields: str = "txt string", shard:
     """Tar shards as rows: ``__key__``, the fields asked for, optionally shard name and place in it."""
     register_sources(spark)
     extra = "`__shard__` string, `__place__` long, " if shard else ""
-    return spark.read.format("tar_shards").schema(f"`__key__` string, {extra}{fields}").option("path", path).load()
+    schema = f"`__key__` string, {extra}{fields}".rstrip(", ")
+    return spark.read.format("tar_shards").schema(schema).option("path", path).load()
 
 
 def read_indexed(spark: SparkSession, path: str) -> DataFrame:
@@ -91,8 +92,34 @@ def list_shards(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per shard of any layout written by this library."""
-    return spark.read.schema(MANIFEST).json(f"{path}/{SHARD_LIST}")
+    """One row per shard: rows, bytes, first and last sample id.
+
+    Layouts written elsewhere lack our shard list; it is then derived from
+    ``index.json`` (indexed) or by counting the tars' samples.
+    """
+    files, root = open_fs(path)
+    if exists(files, f"{root}/{SHARD_LIST}"):
+        return spark.read.schema(MANIFEST).json(f"{path}/{SHARD_LIST}")
+    if exists(files, f"{root}/index.json"):
+        shard = "struct<raw_data: struct<basename: string, bytes: bigint>, samples: bigint>"
+        index = spark.read.schema(f"shards array<{shard}>").option("multiLine", "true").json(f"{path}/index.json")
+        listed = index.select(F.posexplode("shards").alias("at", "s"))
+        listed = listed.select(
+            F.col("at").cast("long").alias("shard_id"), F.col("s.raw_data.basename").alias("file"),
+            F.col("s.samples").alias("n_rows"), F.col("s.raw_data.bytes").alias("bytes"),
+        )
+    else:
+        counted = read_tar(spark, path, "", shard=True).groupBy(F.col("__shard__").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+        number = F.row_number().over(Window.orderBy("file")).cast("long") - 1
+        listed = counted.select(number.alias("shard_id"), "file", "n_rows", F.lit(None).cast("long").alias("bytes"))
+    # One row per shard file is ordered here.
+    upto = F.sum("n_rows").over(Window.orderBy("shard_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return listed.withColumn("last_id", upto - 1).withColumn("first_id", F.col("last_id") - F.col("n_rows") + 1).select(*MANIFEST.names)
+
+
+def read_shard_list(spark: SparkSession, path: str) -> DataFrame:
+    """Shard names in order from a tar layout's ``manifest.txt``."""
+    return spark.read.text(f"{path}/manifest.txt").select(F.col("value").alias("file")).orderBy("file")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from feedloom.operators.sharding import locate
-from feedloom.schemas import INDEXED_SHARD_FORMAT, MANIFEST
+from feedloom.schemas import INDEXED_SHARD_FORMAT
 from feedloom.session import ship_package
-from feedloom.sources.shardfiles import RollingWriter, RowChunks, SHARD_LIST, ShardFile, open_fs, read_text, write_text
+from feedloom.sources.shardfiles import RollingWriter, RowChunks, ShardFile, open_fs, read_text, write_text
 
 INDEX = "index.json"
 _TYPES = {"int": T.LongType(), "str": T.StringType(), "bytes": T.BinaryType()}
@@ -214,7 +214,9 @@ def fetch_samples(
     kinds = index.get("columns") or dict(zip(index["shards"][0]["column_names"], index["shards"][0]["column_encodings"]))
     columns = [(name, kinds[name]) for name in sorted(kinds)]
     schema = schema or spark_schema(dict(columns))
-    shards = spark.read.schema(MANIFEST).json(f"{path}/{SHARD_LIST}")
+    from feedloom.sources.corpus import read_manifest
+
+    shards = read_manifest(spark, path).where("n_rows > 0")
     placed = locate(ids, ident, shards)
     carry = carry or []
     if carry:

@@ -110,14 +110,18 @@ def write_formats(
     tar_rows: int = TAR_SHARD_ROWS,
     limit: int = TAR_SHARD_ROWS * INDEXED_BYTES_PER_SAMPLE,
     tasks: int | None = None,
+    persist: bool = True,
 ) -> dict[str, str]:
     """Any subset of the three layouts from one read of an id-stamped source.
 
-    The persisted rows spill to disk and are recomputed if an executor is lost.
+    With several formats the rows are persisted: they spill to disk and are
+    recomputed if an executor is lost.  ``persist=False`` reads the source once
+    per format instead, where local disks are too small for the corpus.
     """
     paths = {fmt: layout_path(out, modality, fmt) for fmt in formats}
     payload = {"text": "text", "images": "image", "image+text": "jpg"}[modality]
-    stamped = df.persist(StorageLevel.MEMORY_AND_DISK)
+    persist = persist and len(paths) > 1
+    stamped = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     try:
         if "parquet" in paths:
             write_parquet_shards(stamped, paths["parquet"], parquet_rows, "text" if modality == "text" else None, tasks)
@@ -131,7 +135,8 @@ def write_formats(
         if "indexed" in paths:
             write_indexed(indexed_rows(stamped, modality), paths["indexed"], limit, payload, tasks=tasks)
     finally:
-        stamped.unpersist()
+        if persist:
+            stamped.unpersist()
     return paths
 
 

@@ -2,6 +2,8 @@
 
 import io
 import json
+import os
+import shutil
 import struct
 import tarfile
 
@@ -195,3 +197,51 @@ def test_ids_for_a_multi_file_corpus(spark, tmp_path):
     df = spark.read.schema("text string").json(str(tmp_path))
     got = [r.text for r in number_source_rows(df).orderBy("__id__").collect()]
     assert got == ["a0", "a1", "a2", "b0", "b1", "b2", "b3", "c0", "c1"]
+
+
+def test_layouts_without_our_shard_list(spark, edge, tmp_path):
+    """Tars and indexed shards as another writer would leave them: no shard list."""
+    from feedloom.plans import feeds
+
+    where = fresh_dir(spark, "t")
+    paths = sinks.write_formats(edge, where, "text", ("tar", "indexed"), tar_rows=2, limit=3000)
+    for fmt, suffix in (("tar", ".tar"), ("indexed", ".mds")):
+        bare = tmp_path / fmt
+        bare.mkdir()
+        for name in os.listdir(paths[fmt]):
+            if name.endswith(suffix) or name == "index.json":
+                shutil.copy(f"{paths[fmt]}/{name}", bare / name)
+        ours = corpus.read_manifest(spark, paths[fmt]).orderBy("shard_id").collect()
+        derived = corpus.read_manifest(spark, str(bare)).orderBy("shard_id").collect()
+        pick = lambda rows: [(r.shard_id, r.file, r.n_rows, r.first_id, r.last_id) for r in rows]
+        assert pick(derived) == pick(ours)
+        assert feeds.FEEDS[fmt](spark, str(bare), "text", 1, 1).count() == 6
+    assert as_pairs(fetch_samples(spark, str(tmp_path / "indexed"), edge.select("__id__"))) == list(enumerate(EDGE_TEXTS))
+    assert [r.file for r in corpus.read_shard_list(spark, paths["tar"]).collect()] == [f"shard-{i:06d}.tar" for i in range(3)]
+
+
+def test_a_retried_task_writes_the_same_bytes(tmp_path):
+    """Both attempts of a task leave one identical shard and one manifest row."""
+    import pyarrow as pa
+
+    from feedloom.sources.tar import TarWriter
+
+    batch = pa.RecordBatch.from_pylist([{"shard_id": 3, "__id__": i, "txt": f"t{i}"} for i in range(6, 8)])
+    writer = TarWriter(str(tmp_path / "w"), ["txt"])
+    lost = writer.write(iter([batch]))
+    first = (tmp_path / "w" / "shard-000003.tar").read_bytes()
+    kept = writer.write(iter([batch]))
+    assert lost == kept and (tmp_path / "w" / "shard-000003.tar").read_bytes() == first
+    writer.commit([kept])
+    assert sorted(os.listdir(tmp_path / "w")) == ["manifest.txt", "shard-000003.tar", "shards.jsonl"]
+
+
+def test_a_split_shard_is_refused_at_commit(tmp_path):
+    import pyarrow as pa
+
+    from feedloom.sources.tar import TarWriter
+
+    writer = TarWriter(str(tmp_path / "w"), ["txt"])
+    parts = [writer.write(iter([pa.RecordBatch.from_pylist([{"shard_id": 0, "__id__": i, "txt": "x"}])])) for i in range(2)]
+    with pytest.raises(ValueError, match="two tasks"):
+        writer.commit(parts)
