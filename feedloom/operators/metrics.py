@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.labels import band
-from feedloom.operators.numbering import bucketed_window, time_bucket
+from feedloom.operators.numbering import HOT_BUCKET_ROWS, bucketed_window, time_bucket
 from feedloom.schemas import CAPTURE_PHASES
 
 
@@ -24,17 +24,18 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def batch_timeline(batches: DataFrame, keys: list[str]) -> DataFrame:
+def batch_timeline(batches: DataFrame, keys: list[str], hot_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """Number, running samples and wait of every batch of a run.
 
     In: keys, ``event_id``, ``got_us``, ``done_us``, ``start_us`` (loop start),
     ``n``.  The wait is counted from the end of the previous batch, the first
-    one from the loop start.  A run is one sequential loop, so a minute of it (the
-    bucket) holds a bounded number of batches however many the run has.
+    one from the loop start.  A run is spread over its minutes, and a minute that
+    holds too many batches over its milliseconds.
     """
     seen = bucketed_window(
         batches, keys, time_bucket("got_us"), ["got_us", "event_id"],
         number="i", running={"samples": "n"}, previous={"_prev_done": "done_us"},
+        fine=F.expr("got_us div 1000"), hot_rows=hot_rows,
     )
     wait = F.col("got_us") - F.coalesce("_prev_done", "start_us")
     return seen.withColumn("wait_us", wait).drop("_prev_done")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ID_BUCKET_BITS = 18
 # Hex digits of the md5 key that form a bucket: 16**3 = 4,096 buckets at most.
 HASH_BUCKET_DIGITS = 3
+# A bucket beyond this many rows is cut further where a finer order is given.
+HOT_BUCKET_ROWS = 5_000_000
 
 
 def id_bucket(ident: Column | str, bits: int = ID_BUCKET_BITS) -> Column:
@@ -45,8 +47,9 @@ def _edges(parted: DataFrame, facts: list[Column], keys: list[str], sums: list[s
     summary = parted.groupBy("_part").agg(*facts)
     by_key = [F.col(f"_part.{k}").alias(f"_k{i}") for i, k in enumerate(keys)]
     # The key parts become plain columns once, so all windows below share one exchange.
-    flat = summary.select("*", *by_key, F.col("_part._bucket" if keys else "_part").alias("_bucket"))
-    ordered = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_bucket")
+    place = [F.col("_part._bucket").alias("_bucket"), F.col("_part._fine").alias("_fine")] if keys else [F.col("_part").alias("_bucket")]
+    flat = summary.select("*", *by_key, *place)
+    ordered = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(*(["_bucket", "_fine"] if keys else ["_bucket"]))
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     return flat.select(
         "_part",
@@ -63,6 +66,8 @@ def bucketed_window(
     number: str | None = None,
     running: dict[str, str] | None = None,
     previous: dict[str, str] | None = None,
+    fine: Column | None = None,
+    hot_rows: int = HOT_BUCKET_ROWS,
 ) -> DataFrame:
     """Window columns over ``keys`` ordered by ``order``, computed bucket by bucket.
 
@@ -71,10 +76,23 @@ def bucketed_window(
     ``previous`` {new column: column}: the column's value one row earlier, else NULL
     ``bucket`` must never decrease along ``order`` within a key, and should hold
     thousands of rows: one summary row per (key, bucket) is sorted per key.
+    ``fine`` orders rows inside a bucket; buckets of more than ``hot_rows`` rows are
+    cut by it.  At most (rows / hot_rows) buckets are hot, so their list is broadcast.
     """
     running, previous = running or {}, previous or {}
+    if fine is not None and not keys:
+        raise ValueError("a finer cut needs a key")
     # Neither a struct nor the filled bucket is ever NULL, so no row is lost in the join.
-    parted = df.withColumn("_part", F.struct(*keys, bucket.alias("_bucket")) if keys else F.coalesce(bucket, F.lit(-1)))
+    if keys:
+        whole = F.struct(*keys, bucket.alias("_bucket"), F.lit(0).cast("long").alias("_fine"))
+        parted = df.withColumn("_part", whole)
+        if fine is not None:
+            hot = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+            marked = parted.join(F.broadcast(hot.select("_part", F.lit(True).alias("_hot"))), "_part", "left")
+            cut = F.when(F.col("_hot"), fine.cast("long")).otherwise(F.lit(0).cast("long"))
+            parted = marked.select(*df.columns, F.struct(*keys, bucket.alias("_bucket"), cut.alias("_fine")).alias("_part"))
+    else:
+        parted = df.withColumn("_part", F.coalesce(bucket, F.lit(-1)))
     inside = Window.partitionBy("_part").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 

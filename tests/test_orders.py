@@ -193,3 +193,21 @@ def test_gauge_summary_of_absent_readings(spark):
 def test_capture_schedule(spark):
     rows = ids(spark, 10).select("__id__", metrics.capture_phase(F.col("__id__")).alias("p")).orderBy("__id__").collect()
     assert [r.p for r in rows] == ["wait"] * 2 + ["warmup"] + ["active"] * 5 + ["done"] * 2
+
+
+def test_hot_buckets_are_cut_and_nothing_changes(spark):
+    """Most batches of one run fall into one minute, some into one instant."""
+    data = ids(spark, 4000).select(
+        F.when(F.col("__id__") % 8 == 0, "quiet").otherwise("busy").alias("run"), F.col("__id__").alias("event_id"),
+        F.when(F.col("__id__") % 4 == 3, F.lit(7_000_000)).when(F.col("__id__") % 4 == 2, F.col("__id__") * 50_000).otherwise(F.col("__id__") * 1_000).cast("long").alias("got_us"),
+        F.lit(0).cast("long").alias("start_us"), (F.col("__id__") % 5 + 1).alias("n"),
+    ).withColumn("done_us", F.col("got_us") + 300)
+    w = Window.partitionBy("run").orderBy("got_us", "event_id")
+    want = data.select(
+        "run", "event_id", (F.row_number().over(w).cast("long") - 1).alias("i"),
+        F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("samples"),
+        (F.col("got_us") - F.coalesce(F.lag("done_us").over(w), "start_us")).alias("wait_us"),
+    )
+    for hot_rows in (10, 1_000_000):
+        got = metrics.batch_timeline(data, ["run"], hot_rows).select("run", "event_id", "i", "samples", "wait_us")
+        assert got.count() == 4000 and got.exceptAll(want).count() == 0
