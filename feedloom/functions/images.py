@@ -43,16 +43,17 @@ def _unfilter(raw: np.ndarray, height: int, stride: int, step: int) -> np.ndarra
         elif kind == 2:
             out[y] = line + above
         elif kind in (3, 4):
-            done, up, src = out[y], above.astype(int), line.astype(int)
-            for x in range(stride):
-                left = int(done[x - step]) if x >= step else 0
+            # These two depend on the pixel to the left; plain ints beat NumPy scalars here.
+            up, done = [0] * step + above.tolist(), [0] * step
+            for x, byte in enumerate(line.tolist()):
+                left, high, corner = done[x], up[x + step], up[x]
                 if kind == 3:
-                    guess = (left + up[x]) // 2
+                    guess = (left + high) >> 1
                 else:
-                    corner = up[x - step] if x >= step else 0
-                    base = left + up[x] - corner
-                    guess = min((abs(base - left), 0, left), (abs(base - up[x]), 1, up[x]), (abs(base - corner), 2, corner))[2]
-                done[x] = (src[x] + guess) & 255
+                    by_left, by_high, by_corner = abs(high - corner), abs(left - corner), abs(left + high - 2 * corner)
+                    guess = left if by_left <= by_high and by_left <= by_corner else high if by_high <= by_corner else corner
+                done.append((byte + guess) & 255)
+            out[y] = done[step:]
         else:
             raise ValueError(f"unknown PNG filter {kind}")
         above = out[y]

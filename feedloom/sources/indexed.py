@@ -14,7 +14,6 @@ import struct
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -205,7 +204,6 @@ def fetch_samples(
     Repeated ids come back once; with ``carry`` the ids must be unique and those
     columns of ``ids`` travel along, so that no payload has to be joined later.
     """
-    import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship_package(spark)

@@ -3,7 +3,6 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from feedloom.functions import fields, images, labels, text
 from feedloom.sources import corpus, sinks
