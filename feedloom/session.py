@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN_DIRS: dict[str, str] = {}
 
 
 def build_session(app: str = "feedloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="feedloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_DIRS:
+        _OWN_DIRS[application] = tempfile.mkdtemp(prefix="feedloom-")
+    return _OWN_DIRS[application]
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

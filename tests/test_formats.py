@@ -245,3 +245,18 @@ def test_a_split_shard_is_refused_at_commit(tmp_path):
     parts = [writer.write(iter([pa.RecordBatch.from_pylist([{"shard_id": 0, "__id__": i, "txt": "x"}])])) for i in range(2)]
     with pytest.raises(ValueError, match="two tasks"):
         writer.commit(parts)
+
+
+class _Session:
+    """A session without the setting, on a given master."""
+
+    def __init__(self, master):
+        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})()
+        self.conf = type("F", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+
+def test_own_folder_only_in_local_mode():
+    local = _Session("local[2]")
+    assert shared_dir(local) == shared_dir(local) and os.path.isdir(shared_dir(local))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("spark://host:7077"))
