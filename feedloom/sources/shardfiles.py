@@ -10,6 +10,7 @@ which is written last, so a half-finished write is never read.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass, field
 
@@ -22,9 +23,10 @@ READ_BYTES = 32 << 20
 
 
 def open_fs(path: str):
+    """(filesystem, path on it); a bare relative path is local to the working folder."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path if ":" in path else os.path.abspath(path))
 
 
 def exists(files, path: str) -> bool:

@@ -260,3 +260,11 @@ def test_own_folder_only_in_local_mode():
     assert shared_dir(local) == shared_dir(local) and os.path.isdir(shared_dir(local))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(_Session("spark://host:7077"))
+
+
+def test_relative_and_file_paths(tmp_path, monkeypatch):
+    from feedloom.sources.shardfiles import open_fs
+
+    monkeypatch.chdir(tmp_path)
+    assert open_fs("out/text")[1] == str(tmp_path / "out" / "text")
+    assert open_fs(f"file:{tmp_path}")[1] == open_fs(str(tmp_path))[1] == str(tmp_path)
