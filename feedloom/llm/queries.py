@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, simhash, token_counts, urls
+from feedloom.llm import chat, decontaminate, lattice, simhash, substring, token_counts, urls
 
+PIECES = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 
@@ -49,6 +50,12 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(more)))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that fifty-word windows of earlier documents hold."""
+    cut = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their components within two bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -60,12 +67,25 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
 
+def held_out(modulus: int):
+    """Rows whose id's CRC-32 leaves two."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == 2, F.lit(False))
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the subword lattice and under whole-word counts."""
+    scored = lattice.text_scores(_table(spark, sf_dir, "documents"), ~held_out(7), vocabulary_path(PIECES), F.col("lang"))
+    return scored.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_substring_dedup": op4_substring_dedup,
     "op7_simhash": op7_simhash,
     "op8_url_filters": op8_url_filters,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLES: dict[str, str] = {

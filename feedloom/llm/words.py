@@ -41,6 +41,7 @@ _VALUES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _LOWER_VALUES = _VALUES[_LOWER]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_SIZE = np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -141,7 +142,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
         np.cumsum(values[data[origin:last]] * up[: last - origin], out=sums[1:])
         s, e = start[at:to] - origin, end[at:to] - origin
         h = (sums[e] - sums[s]) * down[s]
-        out[at:to] = mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out[at:to] = mix(h + (e - s).astype(np.uint64) * _SIZE)
         at = to
         if at < len(start) and end[at] - start[at] > _BLOCK:
             word = data[start[at] : end[at]].tobytes()
@@ -150,6 +151,29 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
     return out
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums over bytes from which ``between`` reads the hash of any span."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * powers(_BASE, max(len(data), 1))[: len(data)], out=sums[1:])
+    return sums
+
+
+def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash that ``span_hash`` gives the spans."""
+    h = (sums[end] - sums[start]) * powers(_INVERSE, len(sums))[start]
+    return mix(h + (end - start).astype(np.uint64) * _SIZE)
+
+
+def gather(words: Words, which: np.ndarray) -> pa.Array:
+    """The bytes of some of the words as an Arrow column."""
+    size = words.end[which] - words.start[which]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(words.start[which] - offsets[:-1], size) + np.arange(offsets[-1])
+    data = words.data[at]
+    data = _LOWER[data] if words.lower else data
+    return pa.Array.from_buffers(pa.large_binary(), len(which), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
     """A hash of every run of ``k`` consecutive entries of ``h`` (one row less ``k - 1``)."""
     n = len(h) - k + 1
