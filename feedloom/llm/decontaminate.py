@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.words import NOT_WORD, Table, Words, map_texts, once
+from feedloom.llm.words import LETTERS, Table, Words, map_texts, once
 
 #: Words in a window.
 WINDOW = 10
@@ -44,7 +44,7 @@ FIELDS = [
 
 def windows_of(items: list[tuple[str, str]], window: int = WINDOW) -> tuple[np.ndarray, list[tuple[str, list[str]]]]:
     """The hashes of the items' distinct words, and every distinct window in codes with the ids of its items."""
-    words = Words(pa.array([text for _, text in items], pa.large_string()), NOT_WORD, lower=True)
+    words = Words(pa.array([text for _, text in items], pa.large_string()), LETTERS, lower=True)
     vocabulary, codes = np.unique(words.hash, return_inverse=True)
     found: dict[str, set[str]] = defaultdict(set)
     for i, (item, _) in enumerate(items):
@@ -84,7 +84,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     shared = _blocks(items, window)
 
     def work(texts: pa.Array) -> list[pa.Array]:
-        words = Words(texts, NOT_WORD, lower=True)
+        words = Words(texts, LETTERS, lower=True)
         hit_edges = np.zeros(len(words) + 1, np.int32)
         items_of: list[set[str]] = [set() for _ in range(len(texts))]
         for key, block in shared:

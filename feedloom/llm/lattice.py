@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.words import SPACES, Table, Words, between, gather, once, pieces, prefix_sums, quoted, span_hash, sums_by
+from feedloom.llm.words import UNSPACED, Table, Words, between, gather, once, pieces, prefix_sums, quoted, span_hash, sums_by
 from feedloom.session import settle, ship_package
 
 FREQUENT = 131_072
@@ -140,7 +140,7 @@ def word_counts(docs: DataFrame, group: Column, groups: int, text: str = "text")
     def run(batches):
         for batch in batches:
             for part, texts in pieces(batch, batch.column(0)):
-                words = Words(texts, SPACES, lower=True)
+                words = Words(texts, UNSPACED, lower=True)
                 if not len(words):
                     continue
                 of = np.repeat(part.column(1).to_numpy().astype(np.int64), words.counts)
@@ -246,7 +246,7 @@ def text_scores(
         base, scores = np.append(np.log10(c + 1.0), 0.0), [np.append(s, 0.0) for s in scores]
         for batch in batches:
             for part, texts in pieces(batch, batch.column(2)):
-                some = Words(texts, SPACES, lower=True)
+                some = Words(texts, UNSPACED, lower=True)
                 at, rows = table.find(some.hash), len(texts)
                 per_text = [
                     some.counts.astype(np.int64) + 1,

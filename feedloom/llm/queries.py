@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, lattice, simhash, substring, token_counts, urls
+from feedloom.llm import ann, chat, decontaminate, lattice, packing, quality, simhash, substring, token_counts, urls
 
 PIECES = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+QUALITY_LINE = 0.7
 
 
 def vocabulary_path(name: str) -> str:
@@ -56,6 +57,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels of three quarters of them."""
+    docs = _table(spark, sf_dir, "documents")
+    weights = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out(4))
+    scored = quality.quality_scores(docs, weights)
+    return scored.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= QUALITY_LINE).cast("int").alias("predicted"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their components within two bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -67,6 +81,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed by their token counts."""
+    return packing.pack(token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary_path(WORD_BPE)))
+
+
 def held_out(modulus: int):
     """Rows whose id's CRC-32 leaves two."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == 2, F.lit(False))
@@ -83,12 +102,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality": op5_quality,
+    "op6_nearest": op6_nearest,
     "op7_simhash": op7_simhash,
     "op8_url_filters": op8_url_filters,
+    "op9_packing": op9_packing,
     "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontamination": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), items AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE item_id IS NOT NULL
+        ), windows AS (
+            SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS key
+            FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0)
+        ), sizes AS (SELECT DISTINCT n FROM windows), met AS (
+            SELECT r, i, windows.n, item_id
+            FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs CROSS JOIN sizes WHERE len(w) >= n) d
+            JOIN windows ON windows.n = d.n AND windows.key = array_to_string(d.w[d.i : d.i + d.n - 1], ' ')
+        ), hits AS (
+            SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM met) GROUP BY r
+        ), names AS (
+            SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM met) GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hits USING (r) LEFT JOIN names USING (r)
+    """,
+    "op4_substring_dedup": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), windows AS (
+            SELECT r, doc_id, i, array_to_string(w[i : i + 49], ' ') AS key FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)
+        ), late AS (
+            SELECT r, i FROM (SELECT r, doc_id, i, min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY key) AS low FROM windows) WHERE coalesce(doc_id, 9223372036854775807) > low
+        ), gone AS (
+            SELECT r, list(DISTINCT p) AS p FROM (SELECT r, unnest(range(i, i + 50)) AS p FROM late) GROUP BY r
+        ), places AS (
+            SELECT r, list(w[p] ORDER BY p) AS kept, count(*) AS n FROM (
+                SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM docs
+            ) WHERE (r, p) NOT IN (SELECT r, unnest(p) FROM gone) GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+        FROM docs LEFT JOIN places USING (r)
+    """,
     "op3_chat_formatting": r"""
         WITH every AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.llm.components import connected, spanning_forest
-from feedloom.llm.words import LOWER_BYTES, SPACES, Words, map_texts
+from feedloom.llm.words import LOWER_BYTES, UNSPACED, Words, map_texts
 from feedloom.session import settle, ship_package
 
 SHINGLE = 3
@@ -36,7 +36,7 @@ _PARTS, _PART_BITS = 4, 16
 
 
 def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
-    words = Words(texts, SPACES, lower=True)
+    words = Words(texts, UNSPACED, lower=True)
     out = np.zeros(len(texts), np.uint64)
     digest = xxhash.xxh64_intdigest
     for t in range(len(texts)):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.words import SPACES, Words, mix, pieces, powers, quoted, rolling
+from feedloom.llm.words import UNSPACED, Words, mix, pieces, powers, quoted, rolling
 from feedloom.session import settle, ship_package
 
 #: Words in a window, and in a seed.
@@ -69,7 +69,7 @@ _FOUND = "anchor long, class long, doc long, print long, first int, n int"
 def _find(batches):
     for batch in batches:
         for part, texts in pieces(batch, batch.column(2)):
-            anchor, class_, first, n, text = stretches(Words(texts, SPACES))
+            anchor, class_, first, n, text = stretches(Words(texts, UNSPACED))
             if len(anchor):
                 doc, print_ = (part.column(i).take(pa.array(text)) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
@@ -82,7 +82,7 @@ def _extend(batches):
     """The hash of every window of the listed stretches."""
     for batch in batches:
         for part, texts in pieces(batch, batch.column(0)):
-            words = Words(texts, SPACES)
+            words = Words(texts, UNSPACED)
             windows = rolling(words.hash, LENGTH, _WINDOW_BASE)
             listed = part.column(1)
             row = np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy(zero_copy_only=False))

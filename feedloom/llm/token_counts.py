@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from feedloom.llm.words import SPACES, Table, Words, map_texts, once, pieces, sums_by
+from feedloom.llm.words import UNSPACED, Table, Words, map_texts, once, pieces, sums_by
 
 FREQUENT = 65_536
 SAMPLE_ROWS = 2_000
@@ -48,7 +48,7 @@ def frequent(docs: DataFrame, vocabulary: str, rows: int = SAMPLE_ROWS, entries:
         tokenizer = _tokenizer(vocabulary)
         for batch in batches:
             for _, texts in pieces(batch, batch.column(0)):
-                words = Words(texts, SPACES)
+                words = Words(texts, UNSPACED)
                 hashes, at, n = np.unique(words.hash, return_index=True, return_counts=True)
                 top = np.argsort(-n, kind="stable")[:entries]
                 lengths = _lengths(tokenizer, [words.bytes_of(i).decode() for i in at[top]])
@@ -75,7 +75,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, keep: list[str] | None =
 
     def work(texts: pa.Array) -> list[pa.Array]:
         tokenizer, table, lengths, cache = once(key, lambda: _tiers(*shared.value))
-        words = Words(texts, SPACES)
+        words = Words(texts, UNSPACED)
         at = table.find(words.hash)
         tokens = lengths[at]
         missed = np.flatnonzero(at < 0)

@@ -21,16 +21,14 @@ from feedloom.session import ship_package
 PIECE_BYTES = 1 << 20
 _BLOCK = 1 << 19
 
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
-_NOT_WORD = np.zeros(256, bool)
-_NOT_WORD[:128] = True
-_NOT_WORD[ord("0") : ord("9") + 1] = False
-_NOT_WORD[ord("A") : ord("Z") + 1] = False
-_NOT_WORD[ord("a") : ord("z") + 1] = False
-
-#: Separator tables: ASCII white space; everything in ASCII but letters and digits.
-SPACES, NOT_WORD = _SPACES, _NOT_WORD
+#: Kinds of bytes: what stands between ASCII white space; letters, digits and all beyond ASCII; both of these with signs as a third kind.
+UNSPACED = np.ones(256, bool)
+UNSPACED[[9, 10, 11, 12, 13, 32]] = False
+LETTERS = np.zeros(256, bool)
+LETTERS[128:] = True
+for _a, _z in ("09", "AZ", "az"):
+    LETTERS[ord(_a) : ord(_z) + 1] = True
+WORDS_AND_SIGNS = np.where(LETTERS, 1, np.where(UNSPACED, 2, 0)).astype(np.uint8)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -63,15 +61,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: word w is ``data[start[w]:end[w]]``, text t has words ``first[t]`` to ``first[t + 1]``."""
+    """The words of some texts. A byte of kind 0 (or false) separates, and a word is a run of bytes of one kind: word w is ``data[start[w]:end[w]]``, text t has words ``first[t]`` to ``first[t + 1]``."""
 
-    def __init__(self, texts: pa.Array, separators: np.ndarray, lower: bool = False) -> None:
+    def __init__(self, texts: pa.Array, kinds: np.ndarray, lower: bool = False) -> None:
         data, offsets = utf8(texts)
         self.data, self.offsets, self.lower = data, offsets, lower
-        inside = ~separators[data] if len(data) else np.zeros(0, bool)
+        kind = kinds[data] if len(data) else np.zeros(0, kinds.dtype)
+        inside = kind != 0
         begin, stop = inside.copy(), inside.copy()
-        begin[1:] &= ~inside[:-1]
-        stop[:-1] &= ~inside[1:]
+        begin[1:] &= kind[1:] != kind[:-1]
+        stop[:-1] &= kind[1:] != kind[:-1]
         edges = offsets[1:-1]
         edges = edges[(edges > 0) & (edges < len(data))]
         begin[edges] = inside[edges]

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from feedloom.llm import chat, decontaminate, queries, token_counts, urls
-from feedloom.llm.words import NOT_WORD, SPACES, Table, Words, span_hash
+from feedloom.llm.words import LETTERS, UNSPACED, Table, Words, span_hash
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -19,7 +19,7 @@ SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aB é\n\t-1\u00a0𝄞", max_size=12)), max_size=8))
 def test_words_are_those_of_the_patterns(texts):
-    for table, pattern in ((NOT_WORD, WORD), (SPACES, SPACED)):
+    for table, pattern in ((LETTERS, WORD), (UNSPACED, SPACED)):
         words = Words(pa.array(texts, pa.string()), table, lower=True)
         got = [[words.bytes_of(w).decode() for w in range(words.first[t], words.first[t + 1])] for t in range(len(texts))]
         assert got == [pattern.findall((t or "").translate(LOW)) for t in texts]
@@ -31,7 +31,7 @@ def test_words_are_those_of_the_patterns(texts):
 
 def test_hash_does_not_depend_on_the_place():
     long = "x" * 1_200_000
-    words = Words(pa.array([f"a {long} b", f"b {long}", "a"]), SPACES)
+    words = Words(pa.array([f"a {long} b", f"b {long}", "a"]), UNSPACED)
     assert words.hash[0] == words.hash[5] and words.hash[1] == words.hash[4] and words.hash[2] == words.hash[3]
     table = Table(words.hash[:3])
     assert table.find(words.hash).tolist() == [0, 1, 2, 2, 1, 0]
