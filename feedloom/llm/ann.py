@@ -142,7 +142,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
     if n < 2:
         return session.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     take = max(1, SAMPLE_NUMBERS // size)
-    sample = _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(take).select("v").toArrow()["v"].combine_chunks(), size)
+    # Most of what can't be among the smallest hashes goes before rows are ordered.
+    draw, share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)), min(1.0, (1.2 * take + 200) / n)
+    sample = rows.where(draw < int(share * (1 << 30))).orderBy(draw, "id").limit(take).select("v").toArrow()["v"].combine_chunks()
+    sample = _matrix(sample, size)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     centroids = balanced_centroids(sample, max(1, min(MAX_LISTS, n // LIST_SIZE, len(sample) // 4)))
     key, shared = uuid.uuid4().hex, context.broadcast(centroids)

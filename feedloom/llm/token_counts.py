@@ -2,7 +2,7 @@
 
 A pre-token is what stands between ASCII white space. The tokenizer drops white space
 and works inside pre-tokens only, so a text has as many tokens as its pre-tokens have
-together. Lengths of frequent pre-tokens (from a sample of ``SAMPLE_ROWS`` rows; they
+together. Lengths of frequent pre-tokens (from the first rows of a few partitions; they
 only decide what is fast) are broadcast as two arrays of at most ``FREQUENT`` entries;
 each worker looks all pre-tokens of a batch up at once, encodes the distinct misses with
 the library itself, and remembers up to ``CACHED`` of them.
@@ -16,6 +16,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,8 @@ from tokenizers import Tokenizer
 from feedloom.llm.words import UNSPACED, Table, Words, map_texts, once, pieces, sums_by
 
 FREQUENT = 65_536
-SAMPLE_ROWS = 2_000
+#: Tasks that look at texts for the table, and texts that each looks at.
+SAMPLE_TASKS, SAMPLE_ROWS = 8, 256
 CACHED = 300_000
 
 FIELDS = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
@@ -41,13 +43,15 @@ def _tokenizer(vocabulary: str) -> Tokenizer:
     return tokenizer
 
 
-def frequent(docs: DataFrame, vocabulary: str, rows: int = SAMPLE_ROWS, entries: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and token counts of pre-tokens that a sample of the texts repeats."""
+def frequent(docs: DataFrame, vocabulary: str, entries: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and token counts of the pre-tokens that a sample of the texts repeats most."""
 
     def count(batches):
-        tokenizer = _tokenizer(vocabulary)
+        if TaskContext.get().partitionId() >= SAMPLE_TASKS:
+            return
+        tokenizer, left = _tokenizer(vocabulary), SAMPLE_ROWS
         for batch in batches:
-            for _, texts in pieces(batch, batch.column(0)):
+            for _, texts in pieces(batch.slice(0, left), batch.column(0).slice(0, left)):
                 words = Words(texts, UNSPACED)
                 hashes, at, n = np.unique(words.hash, return_index=True, return_counts=True)
                 top = np.argsort(-n, kind="stable")[:entries]
@@ -55,9 +59,12 @@ def frequent(docs: DataFrame, vocabulary: str, rows: int = SAMPLE_ROWS, entries:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes[top].view(np.int64)), pa.array(lengths, pa.int32()), pa.array(n[top])], names=["hash", "tokens", "n"]
                 )
+            left -= batch.num_rows
+            if left <= 0:
+                return
 
-    sample = docs.select("text").where("text IS NOT NULL").limit(rows)
-    counted = sample.mapInArrow(count, "hash long, tokens int, n long").groupBy("hash", "tokens").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(count, "hash long, tokens int, n long").groupBy("hash", "tokens").agg(F.sum("n").alias("n"))
+    # At most SAMPLE_TASKS tasks have rows, so the table is bounded before it is cut.
     table = counted.orderBy(F.desc("n"), "hash").limit(entries).toArrow()
     return table["hash"].to_numpy().view(np.uint64), table["tokens"].to_numpy()
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.words import quoted
+from feedloom.session import settle
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules over this number meet the expressions by a shuffle.
@@ -63,7 +64,8 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str] | None = None, def
     known = F.broadcast(known) if shape["n"] <= BROADCAST_RULES else known
     met = expanded.join(known, (F.substring("whole", 1, 8) == F.col("short")) & (F.col("whole") == F.col("full")))
     won = met.groupBy("_url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("won"))
-    judged = rows.join(won, "_url", "left")
+    # As a table of its own, the verdicts leave the planner free to split a URL that many pages share.
+    judged = rows.join(settle(won, "verdicts"), "_url", "left")
     return judged.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"),
