@@ -145,11 +145,14 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
     texts = docs.select(doc.alias("doc"), print_.alias("print"), F.col(quoted(text)).alias("text"))
     found = texts.mapInArrow(_find, _FOUND)
     ends = found.select("anchor", "doc").groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    shared = settle(found.join(ends.where("low < high").select("anchor"), "anchor"), "shared-anchors")
+    # Written tables on the aggregated side of the joins leave the planner free to split anchors that many rows share.
+    ends = settle(ends.where("low < high").select("anchor"), "anchors")
+    shared = settle(found.join(ends, "anchor"), "shared-anchors")
 
     one = F.struct("doc", "print", "first", "n")
     classes = settle(shared.groupBy("anchor", "class").agg(F.min(one).alias("one")), "classes")
     several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1").select("anchor")
+    several = settle(several, "several")
     listed = classes.join(several, "anchor").select(
         F.col("one.doc").alias("doc"), F.col("one.print").alias("print"),
         F.struct("anchor", "class", F.col("one.doc").alias("lead"), F.col("one.first").alias("first"), F.col("one.n").alias("n")).alias("stretch"),
@@ -159,10 +162,11 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
     windows = texts.join(listed, ["doc", "print"]).select("text", "stretches")
     windows = settle(windows.mapInArrow(_extend, "anchor long, class long, lead long, index int, window long"), "windows")
     lowest = windows.groupBy("anchor", "window").agg(F.min("lead").alias("lowest"), F.max("lead").alias("highest"))
-    late = windows.join(lowest.where("lowest < highest").select("anchor", "window", "lowest"), ["anchor", "window"]).where("lowest < lead")
+    lowest = settle(lowest.where("lowest < highest").select("anchor", "window", "lowest"), "lowest")
+    late = windows.join(lowest, ["anchor", "window"]).where("lowest < lead")
     masks = late.groupBy("anchor", "class").agg(F.bit_or(F.expr("shiftleft(1L, index)")).alias("mask"))
 
-    leads = classes.select("anchor", "class", F.col("one.doc").alias("lead")).join(masks, ["anchor", "class"], "left")
+    leads = settle(classes.select("anchor", "class", F.col("one.doc").alias("lead")).join(masks, ["anchor", "class"], "left"), "leads")
     hit = shared.join(leads, ["anchor", "class"]).select(
         "doc", "print", "first", "n", F.when(F.col("doc") > F.col("lead"), F.lit(-1).cast("long")).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")
     )
