@@ -198,6 +198,19 @@ def _groups(docs: DataFrame, train: Column, group: Column | None) -> tuple[Colum
     return F.when(trained, number).otherwise(-1), [*[n for _, n in named], rest]
 
 
+def _most_frequent(values: DataFrame) -> DataFrame:
+    """The words whose counts lie in the highest classes that hold ``FREQUENT`` words together at most."""
+    # Counts fall into 32 classes per doubling, so about 2,000 at most come to the driver.
+    values = values.withColumn("height", F.floor(F.log2("n") * 32).cast("int"))
+    least, held = 1 << 30, 0
+    for height, size in sorted(((r["height"], r["count"]) for r in values.groupBy("height").count().collect()), reverse=True):
+        held += size
+        if held > FREQUENT:
+            break
+        least = height
+    return values.where(F.col("height") >= least).drop("height")
+
+
 def text_scores(
     docs: DataFrame, train: Column, model_path: str, group: Column | None = None, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -234,7 +247,7 @@ def text_scores(
 
     listed = words.select("hash", "word", "c", "n", *columns)
     values = settle(listed.mapInArrow(measure, "hash long, c long, n long, " + ", ".join(f"{s} double" for s in shares)), "word-values")
-    top = values.orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
+    top = _most_frequent(values).toArrow()
     at_end = whole(np.array(ends, np.float64)) + left * np.exp(end_log)
     common = (*(top[c].to_numpy() for c in ("hash", "c")), np.stack([top[s].to_numpy() for s in shares]))
     common_key, held = uuid.uuid4().hex, context.broadcast((*common, all_ends, np.log10(at_end)))

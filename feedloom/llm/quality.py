@@ -99,7 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
     # One task, one row: the sample's bound is the bound of both.
-    return np.frombuffer(rows.mapInArrow(train_on, "weights binary").first()["weights"])
+    fitted = rows.mapInArrow(train_on, "weights binary").first()
+    return np.frombuffer(fitted["weights"]) if fitted else np.zeros((1 << BITS) + 1)
 
 
 def quality_scores(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
