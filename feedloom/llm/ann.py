@@ -28,9 +28,10 @@ from feedloom.session import settle, ship_package
 #: Numbers in the sample that places centroids, vectors in a list, and lists at most.
 SAMPLE_NUMBERS = 2_000_000
 LIST_SIZE, MAX_LISTS = 200, 16_384
-#: Lists that a vector or query may go to, and the distance over the nearest list's within which they lie.
+#: Lists that a vector may go to, and the distance over the nearest list's within which they lie.
 COPIES, COPY_RATIO = 4, 1.10
-PROBES, PROBE_RATIO = 64, 1.35
+#: The same for queries, which may go to this share of all lists where that is more.
+PROBES, PROBE_SHARE, PROBE_RATIO = 96, 0.25, 1.50
 _NEAR, _FAR, _ENTRIES, _EXPAND, _HOPS = 14, 2, 24, 6, 40
 _FALLBACK = 256
 
@@ -167,7 +168,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
 
     kind = "list int, id long, v array<double>"
     postings = settle(rows.mapInArrow(lists_of(COPIES, COPY_RATIO), kind), "postings")
-    probes = asked.mapInArrow(lists_of(PROBES, PROBE_RATIO), kind)
+    probes = asked.mapInArrow(lists_of(max(PROBES, int(PROBE_SHARE * len(centroids))), PROBE_RATIO), kind)
     # One row per list: at most MAX_LISTS.
     per_cut = max(512, 2 * -(-postings.count() // len(centroids)))
     cuts = postings.groupBy("list").agg(F.ceil(F.count("*") / per_cut).cast("int").alias("cuts"))
