@@ -61,7 +61,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts. A byte of kind 0 (or false) separates, and a word is a run of bytes of one kind: word w is ``data[start[w]:end[w]]``, text t has words ``first[t]`` to ``first[t + 1]``."""
+    """The words of some texts. A byte of kind 0 (or false) separates, kinds 1 and 2 part where they meet, kind 3 goes with both. Word w is ``data[start[w]:end[w]]``, text t has words ``first[t]`` to ``first[t + 1]``."""
 
     def __init__(self, texts: pa.Array, kinds: np.ndarray, lower: bool = False) -> None:
         data, offsets = utf8(texts)
@@ -69,8 +69,9 @@ class Words:
         kind = kinds[data] if len(data) else np.zeros(0, kinds.dtype)
         inside = kind != 0
         begin, stop = inside.copy(), inside.copy()
-        begin[1:] &= kind[1:] != kind[:-1]
-        stop[:-1] &= kind[1:] != kind[:-1]
+        turn = kind[1:] + kind[:-1] == 3 if kind.dtype != bool else np.zeros(max(0, len(kind) - 1), bool)
+        begin[1:] &= turn | ~inside[:-1]
+        stop[:-1] &= turn | ~inside[1:]
         edges = offsets[1:-1]
         edges = edges[(edges > 0) & (edges < len(data))]
         begin[edges] = inside[edges]

@@ -1,5 +1,6 @@
 """Operators 1, 2, 3 and 8 against plain Python."""
 
+import functools
 import hashlib
 import re
 
@@ -79,7 +80,7 @@ def test_contamination(spark, docs_of, monkeypatch):
     assert {r.n_hit for r in decontaminate.contamination(docs_of(HITS), items.where("false")).collect()} == {0}
 
 
-TOKENS = [(1, "Hello, world it's"), (2, None), (3, ""), (4, "  \n "), (5, "<|endoftext|>a<|startoftext|> b<|endoftext|>"), (6, "e\u0301 É\u00a0x ΑΣ 123 don't"), (6, "𝄞 \x00 x"), (None, "word " * 5000 + "y" * 30000)]
+TOKENS = [(1, "Hello, world it's"), (2, None), (3, ""), (4, "  \n "), (5, "<|endoftext|>a<|startoftext|> b<|endoftext|> <|ENDOFTEXT|>"), (6, "e\u0301 É\u00a0x ΑΣ 123 don't"), (6, "𝄞 \x00 x"), (None, "word " * 5000 + "y" * 30000)]
 
 
 def test_token_counts(docs_of, monkeypatch):
@@ -95,6 +96,23 @@ def test_token_counts(docs_of, monkeypatch):
     assert token_counts.token_counts(docs_of([]), path).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "B", "re", "'", "'s", "1", "!", "=", "\u0338", "é", "e\u0301", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "|", ">", "—", " ", "\u00a0", "\x1c", "\x00", "ß", "Σ", "İ", "½"]), max_size=9).map("".join), max_size=4))
+def test_pre_tokens_have_the_texts_tokens(texts):
+    tokenizer = library()
+    words, _ = token_counts._pre_tokens(pa.array(texts, pa.string()))
+    spelled = token_counts._spelled(words, slice(None))
+    got = [sum(token_counts._lengths(tokenizer, spelled[words.first[t] : words.first[t + 1]])) for t in range(len(texts))]
+    assert got == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+@functools.cache
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.vocabulary_path(queries.WORD_BPE))
+
+
 def test_token_counts_of_the_tables(spark, sf):
     from tokenizers import Tokenizer
 
