@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,23 +44,31 @@ def meta_text(column: Column | str, dtype: T.DataType) -> Column:
     return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
 
 
-def char_tokens(text: Column | str, width: int = SEQUENCE_LENGTH) -> Column:
-    """Code points of the first ``width`` characters, folded into the vocabulary.
+def char_tokens(text: Column | str) -> Column:
+    """Code points of all characters, folded into the vocabulary.
 
     Splitting once keeps the cost linear; indexing by position would rescan the
     text for every character.
     """
     text = _col(text)
-    letters = F.split(F.left(text, F.lit(width)), "")
+    letters = F.split(text, "")
     folded = F.transform(letters, lambda c: F.ascii(c) % F.lit(VOCABULARY))
     return F.when(F.length(text) > 0, folded).otherwise(F.array().cast("array<int>"))
 
 
-def pad_tokens(tokens: Column | str, width: int = SEQUENCE_LENGTH) -> Column:
-    """Exactly ``width`` tokens: cut on the right or filled with zeros."""
-    return F.slice(F.concat(_col(tokens), F.array_repeat(F.lit(0), width)), 1, width)
+def token_sequences(df: DataFrame, tokens: str, width: int = SEQUENCE_LENGTH) -> DataFrame:
+    """A row for every ``width`` tokens, numbered by ``chunk``; the last is filled with zeros, an empty list gives one of zeros."""
+    last = F.greatest(F.expr(f"(size({tokens}) - 1) div {int(width)}"), F.lit(0).cast("long")).cast("int")
+    cut = lambda i: F.slice(F.concat(F.slice(tokens, i * width + 1, width), F.array_repeat(F.lit(0), width)), 1, width)
+    names = [c for c in df.columns if c != tokens]
+    return df.select(*names, F.posexplode(F.transform(F.sequence(F.lit(0), last), cut)).alias("chunk", tokens))
 
 
-def token_count(text: Column | str, width: int = SEQUENCE_LENGTH) -> Column:
-    """Real (unpadded) tokens of a text, without building them."""
-    return F.least(F.length(_col(text)), F.lit(width)).cast("long")
+def token_count(text: Column | str) -> Column:
+    """Tokens of a whole text, without building them."""
+    return F.length(_col(text)).cast("long")
+
+
+def sequence_count(text: Column | str, width: int = SEQUENCE_LENGTH) -> Column:
+    """Sequences of ``width`` tokens that a text fills, one at least."""
+    return F.greatest(F.ceil(F.length(_col(text)) / width), F.lit(1)).cast("long")

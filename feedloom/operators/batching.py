@@ -16,15 +16,14 @@ def global_batches(df: DataFrame, batch_size: int, pos: str = "pos") -> DataFram
 
 
 def full_batches(df: DataFrame, batch_size: int, pos: str = "pos") -> DataFrame:
-    """As ``global_batches`` but without a short last batch.
+    """As ``global_batches``, with ``full`` false for the rows of a short last batch.
 
-    Positions are dense, so the rows to keep follow from the total alone and no
-    grouping is needed to drop the remainder.
+    Positions are dense, so which rows these are follows from the total alone and no
+    grouping is needed to tell them.
     """
     size = int(batch_size)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    kept = df.withColumn("_total", total).where(F.expr(f"{pos} < _total div {size} * {size}"))
-    return global_batches(kept.drop("_total"), size, pos)
+    total = df.agg(F.max(pos).alias("n")).scalar()
+    return global_batches(df, size, pos).withColumn("_end", (total + 1).cast("long")).withColumn("full", F.expr(f"{pos} < _end div {size} * {size}")).drop("_end")
 
 
 def worker_batches(df: DataFrame, shards: DataFrame, batch_size: int, shard: str, place: str, n_shards: int | None = None) -> DataFrame:
@@ -54,8 +53,9 @@ def block_batches(df: DataFrame, block: str, batch_size: int) -> DataFrame:
     )
 
 
-def batch_cap(df: DataFrame, max_batches: int) -> DataFrame:
-    return df.where(F.col("batch_id") < max_batches)
+def smoke_runs(df: DataFrame, max_batches: int) -> DataFrame:
+    """Each batch's smoke run: runs of ``max_batches`` batches that together are the whole epoch."""
+    return df.withColumn("smoke_run", F.expr(f"batch_id div {int(max_batches)}"))
 
 
 def collate(df: DataFrame, keys: list[str], pos: str, fields: list[str]) -> DataFrame:
@@ -69,14 +69,14 @@ def collate(df: DataFrame, keys: list[str], pos: str, fields: list[str]) -> Data
     )
 
 
-def batch_tokens(df: DataFrame, tokens: Column, width: int = SEQUENCE_LENGTH) -> DataFrame:
-    """Rows, real tokens and padding share per batch at a fixed width.
+def batch_tokens(df: DataFrame, tokens: Column, sequences: Column, width: int = SEQUENCE_LENGTH) -> DataFrame:
+    """Rows, sequences, real tokens and padding share per batch at a fixed width.
 
-    ``tokens`` is the real token count of a sample; take it before a shuffle, so
-    that a number travels and not the text.
+    ``tokens`` and ``sequences`` are counts of a sample; take them before a shuffle, so
+    that numbers travel and not the text.
     """
-    counted = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(tokens).alias("n_tokens"))
-    share = 1 - F.col("n_tokens") / (F.lit(width) * F.col("n_rows"))
+    counted = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(sequences).alias("n_sequences"), F.sum(tokens).alias("n_tokens"))
+    share = 1 - F.col("n_tokens") / (F.lit(width) * F.col("n_sequences"))
     return counted.withColumn("pad_share", F.round(share, 4))
 
 

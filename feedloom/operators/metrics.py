@@ -101,14 +101,9 @@ def gauge_summary(readings: DataFrame, keys: list[str], util: Column, memory: Co
     )
 
 
-def exact_mean(value: str) -> Column:
-    """Mean from an exact sum, so that no task order changes its last digits."""
-    return F.sum(F.col(value).cast("decimal(28,6)")).cast("double") / F.count(value)
-
-
 def epoch_average(results: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Mean over epochs."""
-    return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("epochs"), *[exact_mean(m).alias(m) for m in metrics])
+    return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("epochs"), *[F.avg(m).alias(m) for m in metrics])
 
 
 def stamp_results(results: DataFrame, experiments: DataFrame, keys: list[str]) -> DataFrame:

@@ -83,9 +83,9 @@ def slices(df: DataFrame, ident: str, width: int) -> DataFrame:
     )
 
 
-def row_cap(df: DataFrame, ident: str, cap: int) -> DataFrame:
-    """At most ``cap`` rows in source order, as a filter on the dense id."""
-    return df.where(F.col(ident) < cap)
+def row_caps(df: DataFrame, ident: str, cap: int) -> DataFrame:
+    """Which portion of ``cap`` rows in source order every row is in, from its dense id."""
+    return df.withColumn("portion", F.expr(f"{ident} div {int(cap)}"))
 
 
 def manifest(df: DataFrame, ident: str, size: Column) -> DataFrame:

@@ -250,10 +250,12 @@ def char_tokens(spark, d):
 
 @query
 def padded_tokens(spark, d):
-    docs = views.samples(spark, d).select(F.col("__id__").alias("doc_id"), text.pad_tokens(text.char_tokens("text")).alias("ids"))
+    """Whole texts as sequences of equal width."""
+    docs = views.samples(spark, d).select(F.col("__id__").alias("doc_id"), text.char_tokens("text").alias("ids"))
+    docs = text.token_sequences(docs, "ids")
     weighted = F.zip_with("ids", F.sequence(F.lit(1), F.size("ids")), lambda t, i: t.cast("long") * i)
     return docs.select(
-        "doc_id", F.size("ids").cast("long").alias("width"),
+        "doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("ids").cast("long").alias("width"),
         F.aggregate(weighted, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"),
     )
 
@@ -333,19 +335,19 @@ def stamped_results(spark, d):
 
 @query
 def row_cap(spark, d):
-    """At most 10,000 samples in source order."""
+    """The portion of 10,000 samples, in source order, that each sample is in."""
     orders = views.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     numbered = numbering.number_by_id(orders, "o_orderkey", "__id__")
-    return sharding.row_cap(numbered, "__id__", ROW_CAP).select(F.col("__id__").alias("sample_id"), "o_orderkey", "o_totalprice")
+    return sharding.row_caps(numbered, "__id__", ROW_CAP).select(F.col("__id__").alias("sample_id"), "portion", "o_orderkey", "o_totalprice")
 
 
 @query
 def batch_cap(spark, d):
-    """The smoke run: the first 20 batches of the epoch, capped before any payload is fetched."""
+    """The smoke run of 20 batches that each batch of the epoch is in."""
     order = shuffle.global_shuffle(views.ids(spark, d), "__id__", SEED)
-    capped = batching.batch_cap(batching.global_batches(order, BATCH), SMOKE_BATCHES)
-    chars = shuffle.fetch(capped, views.samples(spark, d).select("__id__", "n_chars"), "__id__")
-    return chars.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"))
+    runs = batching.smoke_runs(batching.global_batches(order, BATCH), SMOKE_BATCHES)
+    chars = shuffle.fetch(runs, views.samples(spark, d).select("__id__", "n_chars"), "__id__")
+    return chars.groupBy("smoke_run", "batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"))
 
 
 @query
@@ -513,8 +515,9 @@ def _ordered(spark, d, *columns: str) -> DataFrame:
 
 @query
 def batches_drop_last(spark, d):
+    """Batches over the whole order; the short last one is told apart."""
     batches = batching.full_batches(_ordered(spark, d, "n_chars"), BATCH)
-    return batches.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("__id__").alias("id_sum"), F.sum("n_chars").alias("n_chars"))
+    return batches.groupBy("batch_id", "full").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("__id__").alias("id_sum"), F.sum("n_chars").alias("n_chars"))
 
 
 @query
@@ -539,9 +542,9 @@ def collate_text(spark, d):
 @query
 def batch_tokens(spark, d):
     """The flagship: corpus, epoch order, batches, character tokens, padding."""
-    counted = views.samples(spark, d).select("__id__", text.token_count("text").alias("tokens"))
+    counted = views.samples(spark, d).select("__id__", text.token_count("text").alias("tokens"), text.sequence_count("text").alias("sequences"))
     order = shuffle.global_shuffle(counted, "__id__", SEED)
-    return batching.batch_tokens(batching.global_batches(order, BATCH), F.col("tokens"))
+    return batching.batch_tokens(batching.global_batches(order, BATCH), F.col("tokens"), F.col("sequences"))
 
 
 @query
@@ -559,9 +562,9 @@ def feed_tar(spark, d):
 
 @query
 def feed_indexed(spark, d):
-    """The indexed feed from written shards: two workers, samples fetched by seek, full batches only."""
+    """The indexed feed from written shards: two workers, samples fetched by seek, short batches told apart."""
     feed = feeds.indexed_feed(spark, _indexed_written(spark, d), "text", BATCH, 2, SEED)
-    return feed.select(F.col("__id__").alias("doc_id"), "worker", "seat", "batch_id", text.token_count("text").alias("n_tokens"))
+    return feed.select(F.col("__id__").alias("doc_id"), "worker", "seat", "batch_id", "full", text.token_count("text").alias("n_tokens"))
 
 
 @query
@@ -621,7 +624,13 @@ def experiment_matrix(spark, d):
 
 
 def _averages(spark, d) -> DataFrame:
-    return metrics.epoch_average(views.epoch_results(spark, d), ["loader", "dataset", "batch_size"], ["samples_per_sec", "peak_value"])
+    averages = metrics.epoch_average(views.epoch_results(spark, d), ["loader", "dataset", "batch_size"], ["samples_per_sec", "peak_value"])
+    return _shown(averages)
+
+
+def _shown(averages: DataFrame) -> DataFrame:
+    """Means to six digits behind the point: their last digits depend on the order of summation."""
+    return averages.withColumns({m: F.round(m, 6) for m in ("samples_per_sec", "peak_value")})
 
 
 def _chart_points(spark, d) -> DataFrame:
@@ -678,7 +687,7 @@ def epoch_average(spark, d):
 def comparison_pivot(spark, d):
     """Metric rows against loader/batch-size columns, per dataset-free average."""
     results = views.epoch_results(spark, d)
-    averages = metrics.epoch_average(results, ["loader", "batch_size"], ["samples_per_sec", "peak_value"])
+    averages = _shown(metrics.epoch_average(results, ["loader", "batch_size"], ["samples_per_sec", "peak_value"]))
     names = [f"{loader}_{size}" for loader in LOADERS for size in BATCH_SIZES] + [f"{EXTRA_LOADER}_128"]
     return metrics.comparison_pivot(averages, ["samples_per_sec", "peak_value"], F.format_string("%s_%d", "loader", "batch_size"), names)
 
@@ -772,23 +781,33 @@ def _event_stream(spark, d) -> DataFrame:
     return events.withColumn("at", F.timestamp_micros(views.micros()))
 
 
+def _ending_event_stream(spark, d) -> tuple[DataFrame, live.End]:
+    """The events as a stream that has an end."""
+    schema = views.table(spark, d, "events").schema
+    events, end = live.with_end(live.read_stream(spark, d, schema, "events.parquet"), "ts")
+    return events.withColumn("at", F.timestamp_micros(views.micros())), end
+
+
 @query
 def gauge_windows_stream(spark, d):
-    """As gauge_windows, as a stream: the windows closed by the watermark."""
-    readings = views.label_sets(_event_stream(spark, d)).select("at", *SERIES, "value")
-    return live.append_table(spark, live.window_stats(readings, SERIES, F.col("value"), 1, "at"), "windows")
+    """As gauge_windows, as a stream, to its last window."""
+    events, end = _ending_event_stream(spark, d)
+    readings = views.label_sets(events).select("at", *SERIES, "value")
+    return live.append_table(spark, live.window_stats(readings, SERIES, F.col("value"), 1, "at"), "windows", end)
 
 
 @query
 def gauge_latest_stream(spark, d):
-    readings = views.label_sets(_event_stream(spark, d)).select("at", "event_id", *SERIES, "value")
-    return live.append_table(spark, live.window_latest(readings, SERIES, "value", "event_id", 5, "at"), "latest")
+    events, end = _ending_event_stream(spark, d)
+    readings = views.label_sets(events).select("at", "event_id", *SERIES, "value")
+    return live.append_table(spark, live.window_latest(readings, SERIES, "value", "event_id", 5, "at"), "latest", end)
 
 
 @query
 def run_spans_stream(spark, d):
-    readings = _event_stream(spark, d).select("at", F.col("event_type").alias("run"))
-    return live.append_table(spark, live.session_spans(readings, ["run"], "10 minutes", "at"), "spans")
+    events, end = _ending_event_stream(spark, d)
+    readings = events.select("at", F.col("event_type").alias("run"))
+    return live.append_table(spark, live.session_spans(readings, ["run"], "10 minutes", "at"), "spans", end)
 
 
 @query

@@ -27,12 +27,12 @@ FEED_IMAGES = ["jpeg_bytes", "image", "img", *TAR_IMAGE_FIELDS]
 
 
 def _decoded(df: DataFrame) -> DataFrame:
-    """Image field decoded, resized and channels first; failed samples are dropped, as they cannot be stacked."""
+    """Image field decoded, resized and channels first; a failed sample stays, with a null picture and its ``decode_error``."""
     field = first_field(df, FEED_IMAGES, lambda t: isinstance(t, T.BinaryType))
     if field is None:
         return df
     out = decode_resize_images(df, field, "_picture")
-    return out.where("_picture_error IS NULL").drop(field, "_picture_error").withColumnRenamed("_picture", field)
+    return out.drop(field).withColumnRenamed("_picture_error", "decode_error").withColumnRenamed("_picture", field)
 
 
 def _capped(df: DataFrame, max_batches: int | None, workers: int) -> DataFrame:
@@ -62,7 +62,7 @@ def indexed_feed(
     spark: SparkSession, path: str, modality: str, batch_size: int, workers: int, seed: int = 42, epoch: int = 0,
     max_batches: int | None = None,
 ) -> DataFrame:
-    """Ids shuffled and cut evenly to workers, samples fetched by seeking, incomplete batches dropped."""
+    """Ids shuffled and cut evenly to workers, samples fetched by seeking; ``full`` is false in a worker's short last batch."""
     check_run("indexed", modality, batch_size, workers)
     shards = corpus.read_manifest(spark, path)
     ids = spread(shards.where("n_rows > 0"), "shard_id").select(F.explode(F.sequence("first_id", "last_id")).alias("__id__"))
@@ -74,8 +74,8 @@ def indexed_feed(
         "*", f"(worker * _total + {w - 1}) div {w} AS _first", f"((worker + 1) * _total + {w - 1}) div {w} AS _end"
     )
     seated = bounds.selectExpr("__id__", "worker", "pos - _first AS seat", f"(pos - _first) div {size} AS batch_id", f"(_end - _first) div {size} AS _full")
-    seated = _capped(seated.where("batch_id < _full").drop("_full"), max_batches, workers)
-    return _decoded(fetch_samples(spark, path, seated, carry=["worker", "seat", "batch_id"]))
+    seated = _capped(seated.withColumn("full", F.col("batch_id") < F.col("_full")).drop("_full"), max_batches, workers)
+    return _decoded(fetch_samples(spark, path, seated, carry=["worker", "seat", "batch_id", "full"]))
 
 
 def parquet_feed(

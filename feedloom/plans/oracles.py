@@ -12,7 +12,7 @@ _KEY = f"md5('{SEED}:0:' || doc_id)"
 
 
 def _mean(metric: str) -> str:
-    return f"CAST(sum(CAST({metric} AS DECIMAL(28, 6))) AS DOUBLE) / count({metric})"
+    return f"round(avg({metric}), 6)"
 
 
 _VIEWS = {
@@ -60,7 +60,7 @@ _AVERAGES = (*_RESULTS, "averages")
 _TIMELINE = ("batch_log", "timeline")
 _BYTES = ("bytes", "byte_shards")
 
-_TOKENS = "list_transform(string_split(left(text, 128), ''), lambda c: unicode(c) % 50257)"
+_TOKENS = "list_transform(string_split(text, ''), lambda c: unicode(c) % 50257)"
 
 
 def _band(steps: list[int]) -> str:
@@ -114,9 +114,9 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT 'documents', 'text', text FROM documents UNION ALL SELECT 'pages', 'html', html FROM pages)
         SELECT corpus, field, count(*) AS n_rows, CAST(sum(length(coalesce(nullif(body, ''), corpus))) AS BIGINT) AS n_chars FROM t GROUP BY ALL""",
     "char_tokens": f"SELECT doc_id, CASE WHEN length(text) = 0 THEN '' ELSE array_to_string({_TOKENS}, ',') END AS tokens FROM documents",
-    "padded_tokens": f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token, unnest(range(1, length(left(text, 128)) + 1)) AS i FROM documents WHERE length(text) > 0)
-        SELECT d.doc_id, CAST(128 AS BIGINT) AS width, CAST(coalesce(sum(token * i), 0) AS BIGINT) AS checksum
-        FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "padded_tokens": f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token, unnest(range(0, length(text))) AS i FROM documents WHERE length(text) > 0)
+        SELECT d.doc_id, coalesce(i // 128, 0) AS chunk, CAST(128 AS BIGINT) AS width, CAST(coalesce(sum(token * (i % 128 + 1)), 0) AS BIGINT) AS checksum
+        FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY ALL""",
     "normalise_vectors": "SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(list_transform(embedding, lambda x: x::DOUBLE / 255)) AS x FROM embeddings",
     "stack_vectors": f"""WITH t AS (SELECT vec_id // {BATCH} AS batch_id, (vec_id % {BATCH}) * 64 + i AS place, embedding[i]::DOUBLE AS x
             FROM embeddings, unnest(range(1, 65)) AS u(i))
@@ -137,9 +137,10 @@ ORACLES: dict[str, str] = {
     "stamped_results": _with(*_RESULTS, body=f"""SELECT loader, dataset, batch_size, epoch, samples_per_sec, CAST({WORKERS} AS BIGINT) AS num_workers,
         'cpu' AS gpu_name, 'local' AS hostname FROM results"""),
     # ---- filters and validation
-    "row_cap": f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_id, o_orderkey, o_totalprice FROM orders) WHERE sample_id < {ROW_CAP}""",
-    "batch_cap": _with("placed", body=f"""SELECT pos // {BATCH} AS batch_id, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM placed
-        WHERE pos // {BATCH} < {SMOKE_BATCHES} GROUP BY ALL"""),
+    "row_cap": f"""SELECT sample_id, sample_id // {ROW_CAP} AS portion, o_orderkey, o_totalprice
+        FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_id, o_orderkey, o_totalprice FROM orders)""",
+    "batch_cap": _with("placed", body=f"""SELECT pos // {BATCH} // {SMOKE_BATCHES} AS smoke_run, pos // {BATCH} AS batch_id, count(*) AS n_rows,
+        CAST(sum(n_chars) AS BIGINT) AS n_chars FROM placed GROUP BY ALL"""),
     "nonempty_samples": _with("batch_log", body=f"""SELECT g.run, g.epoch, g.hour, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS samples
         FROM (SELECT DISTINCT run, epoch, unnest(range(0, 24)) AS hour FROM batch_log) g
         LEFT JOIN batch_log b ON b.run = g.run AND b.epoch = g.epoch AND b.got_us % {DAY_US} // 3600000000 = g.hour GROUP BY ALL"""),
@@ -183,28 +184,28 @@ ORACLES: dict[str, str] = {
             row_number() OVER (PARTITION BY rank % {WORKERS} ORDER BY rank, doc_id) - 1 AS seat FROM documents JOIN ranked ON shard_id = doc_id // {TAR_ROWS})
         SELECT worker, seat // {BATCH} AS batch_id, count(*) AS n_rows, min(doc_id) AS min_id, max(doc_id) AS max_id, CAST(sum(n_chars) AS BIGINT) AS n_chars
         FROM s GROUP BY ALL"""),
-    "batches_drop_last": _with("placed", body=f"""SELECT pos // {BATCH} AS batch_id, count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS id_sum,
-        CAST(sum(n_chars) AS BIGINT) AS n_chars FROM placed GROUP BY ALL HAVING count(*) = {BATCH}"""),
+    "batches_drop_last": _with("placed", body=f"""SELECT pos // {BATCH} AS batch_id, count(*) = {BATCH} AS "full", count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS id_sum,
+        CAST(sum(n_chars) AS BIGINT) AS n_chars FROM placed GROUP BY pos // {BATCH}"""),
     "batches_global": _with("placed", body=f"""SELECT pos // {BATCH} AS batch_id, count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS id_sum,
         CAST(sum(n_chars) AS BIGINT) AS n_chars FROM placed GROUP BY ALL"""),
     "block_batches": _with("blocks", body=f"""SELECT block, count(*) AS n_rows, (count(*) + {BATCH - 1}) // {BATCH} AS n_batches,
         count(*) - ((count(*) + {BATCH - 1}) // {BATCH} - 1) * {BATCH} AS last_rows FROM blocks GROUP BY block"""),
     "collate_text": _with("placed", body=f"""SELECT pos // {BATCH} AS batch_id, count(*) AS n_rows, string_agg(doc_id::VARCHAR, ',' ORDER BY pos) AS doc_ids,
         md5(string_agg(text, '|' ORDER BY pos)) AS texts_md5 FROM placed GROUP BY ALL"""),
-    "batch_tokens": _with("placed", body=f"""SELECT pos // {BATCH} AS batch_id, count(*) AS n_rows, CAST(sum(least(length(text), 128)) AS BIGINT) AS n_tokens,
-        round(1 - sum(least(length(text), 128))::DOUBLE / (128 * count(*)), 4) AS pad_share FROM placed GROUP BY ALL"""),
+    "batch_tokens": _with("placed", body=f"""SELECT pos // {BATCH} AS batch_id, count(*) AS n_rows, CAST(sum(greatest(1, (length(text) + 127) // 128)) AS BIGINT) AS n_sequences,
+        CAST(sum(length(text)) AS BIGINT) AS n_tokens, round(1 - sum(length(text))::DOUBLE / (128 * sum(greatest(1, (length(text) + 127) // 128))), 4) AS pad_share FROM placed GROUP BY ALL"""),
     "inflight_bytes": _with("blocks", body=""", s AS (SELECT block, count(*) AS n_rows, count(*) * 150528 AS decoded_bytes FROM blocks GROUP BY block)
         SELECT *, (SELECT CAST(sum(decoded_bytes) AS BIGINT) FROM (SELECT decoded_bytes FROM s ORDER BY decoded_bytes DESC LIMIT 3)) AS peak_bytes FROM s"""),
     "feed_tar": f"""WITH d AS (SELECT printf('%08d', doc_id) AS sample_key, printf('shard-%06d.tar', doc_id // {TAR_ROWS}) AS shard, doc_id % {TAR_ROWS} // {BUFFER} AS w,
-            least(length(text), 128) AS n_tokens FROM documents),
+            length(text) AS n_tokens FROM documents),
         o AS (SELECT *, w * {BUFFER} + row_number() OVER (PARTITION BY shard, w ORDER BY md5('{SEED}:0:' || sample_key), sample_key) - 1 AS out_pos FROM d),
         s AS (SELECT shard, n, row_number() OVER (ORDER BY md5('{SEED}:0:' || shard), shard) - 1 AS rank FROM (SELECT shard, count(*) AS n FROM d GROUP BY shard)),
         b AS (SELECT shard, rank % 2 AS worker, CAST(sum(n) OVER (PARTITION BY rank % 2 ORDER BY rank) - n AS BIGINT) AS before FROM s)
         SELECT sample_key, worker, before + out_pos AS seat, (before + out_pos) // {BATCH} AS batch_id, n_tokens FROM o JOIN b USING (shard)""",
-    "feed_indexed": _with("placed", body=f""", w AS (SELECT doc_id, pos * 2 // total AS worker, pos, least(length(text), 128) AS n_tokens FROM placed),
+    "feed_indexed": _with("placed", body=f""", w AS (SELECT doc_id, pos * 2 // total AS worker, pos, length(text) AS n_tokens FROM placed),
         s AS (SELECT *, pos - min(pos) OVER (PARTITION BY worker) AS seat, count(*) OVER (PARTITION BY worker) AS n FROM w)
-        SELECT doc_id, worker, seat, seat // {BATCH} AS batch_id, n_tokens FROM s WHERE seat < n // {BATCH} * {BATCH}"""),
-    "feed_parquet": _with("placed", body=f"""SELECT doc_id, CAST(0 AS BIGINT) AS worker, pos AS seat, pos // {BATCH} AS batch_id, least(length(text), 128) AS n_tokens FROM placed"""),
+        SELECT doc_id, worker, seat, seat // {BATCH} AS batch_id, seat < n // {BATCH} * {BATCH} AS "full", n_tokens FROM s"""),
+    "feed_parquet": _with("placed", body=f"""SELECT doc_id, CAST(0 AS BIGINT) AS worker, pos AS seat, pos // {BATCH} AS batch_id, length(text) AS n_tokens FROM placed"""),
     "prepare_corpus": """SELECT unnest(['parquet', 'indexed']) AS format, doc_id, CAST(to_json({'lang': lang, 'source': source}) AS VARCHAR) AS meta,
         md5(text) AS text_md5 FROM documents""",
     # ---- joins and grids
@@ -264,14 +265,13 @@ ORACLES: dict[str, str] = {
         g AS (SELECT *, sum(starts) OVER (PARTITION BY run ORDER BY got_us, event_id) AS span FROM f)
         SELECT run, min(got_us) AS start_us, max(got_us) AS last_us, count(*) AS readings FROM g GROUP BY run, span"""),
     "gauge_windows_stream": _with("gauges", body="""SELECT loader, dataset, batch_size, us // 1000000 * 1000000 AS window_us, avg(value) AS mean_value, max(value) AS max_value,
-        count(value) AS readings FROM gauges GROUP BY ALL HAVING any_value(us // 1000000 * 1000000 + 1000000) <= (SELECT max(us) FROM gauges) // 1000 * 1000 - 10000000"""),
+        count(value) AS readings FROM gauges GROUP BY ALL"""),
     "gauge_latest_stream": _with("gauges", body="""SELECT loader, dataset, batch_size, us // 5000000 * 5000000 AS window_us, arg_max(value, (ts, event_id)) AS last_value
-        FROM gauges GROUP BY ALL HAVING any_value(us // 5000000 * 5000000 + 5000000) <= (SELECT max(us) FROM gauges) // 1000 * 1000 - 10000000"""),
+        FROM gauges GROUP BY ALL"""),
     "run_spans_stream": _with("batch_log", body=f""", f AS (SELECT run, event_id, got_us, coalesce(got_us - lag(got_us) OVER w >= {GAP_US}, false)::BIGINT AS starts
             FROM batch_log WINDOW w AS (PARTITION BY run ORDER BY got_us, event_id)),
         g AS (SELECT *, sum(starts) OVER (PARTITION BY run ORDER BY got_us, event_id) AS span FROM f)
-        SELECT run, min(got_us) AS start_us, max(got_us) AS last_us, count(*) AS readings FROM g GROUP BY run, span
-        HAVING max(got_us) + {GAP_US} <= (SELECT max(got_us) FROM batch_log) // 1000 * 1000 - 10000000"""),
+        SELECT run, min(got_us) AS start_us, max(got_us) AS last_us, count(*) AS readings FROM g GROUP BY run, span"""),
     "gauge_upserts": _with("gauges", body="""SELECT loader, dataset, batch_size, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value
         FROM gauges GROUP BY ALL"""),
     "live_counters": _with("batch_log", body="""SELECT run, epoch, count(*) AS batches, CAST(sum(n) AS BIGINT) AS total_samples, min(start_us) AS start_us,

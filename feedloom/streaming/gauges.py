@@ -20,6 +20,30 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: s
     return reader.parquet(path)
 
 
+class End:
+    """The end of a finite stream: one row, far in the future, that closes every window before it."""
+
+    TIME = "9999-01-01 00:00:00"
+
+    def __init__(self, spark: SparkSession, schema: T.StructType, ts: str) -> None:
+        self.spark, self.schema, self.ts = spark, schema, ts
+        self.path = fresh_dir(spark, "end")
+        spark.createDataFrame([], schema).write.parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).parquet(self.path)
+
+    def come(self) -> None:
+        columns = [F.lit(self.TIME if f.name == self.ts else None).cast(f.dataType).alias(f.name) for f in self.schema]
+        self.spark.range(1, numPartitions=1).select(*columns).write.mode("append").parquet(self.path)
+
+
+def with_end(stream: DataFrame, ts: str) -> tuple[DataFrame, End]:
+    """A stream and its end; the end's own window never closes, so it adds no row to a windowed result."""
+    end = End(stream.sparkSession, T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema]), ts)
+    return stream.unionByName(end.stream()), end
+
+
 def window_stats(readings: DataFrame, keys: list[str], value: Column, seconds: int, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
     """Mean, peak and count per label set and tumbling window; batch or stream."""
     value = finite(value)
@@ -158,10 +182,16 @@ def finish_upserts(stream: DataFrame, snapshots: Snapshots, merge, checkpoint: s
     query.awaitTermination()
 
 
-def append_table(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
-    """The finished table of an append stream, under the shared folder."""
+def append_table(spark: SparkSession, stream: DataFrame, label: str, end: End | None = None) -> DataFrame:
+    """The finished table of an append stream, under the shared folder.
+
+    Without an end, windows that the watermark hasn't passed stay open and are not in the table.
+    """
     where = fresh_dir(spark, label)
     finish(stream, f"{where}/table", f"{where}/checkpoint")
+    if end is not None:
+        end.come()
+        finish(stream, f"{where}/table", f"{where}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{where}/table")
 
 

@@ -161,11 +161,17 @@ def test_decode_stays_above_the_shuffle(spark):
 def test_char_tokens(spark):
     rows = [(0, ""), (1, "abc"), (2, "😀é"), (3, "z" * 200)]
     df = spark.createDataFrame(rows, "id long, text string").select(
-        "id", text.char_tokens("text").alias("t"), text.pad_tokens(text.char_tokens("text")).alias("p"), text.token_count("text").alias("n")
+        "id", text.char_tokens("text").alias("t"), text.token_count("text").alias("n"), text.sequence_count("text").alias("s")
     )
+    whole = {i: [ord(c) % 50257 for c in t] for i, t in rows}
     for row in df.collect():
-        want = [ord(c) % 50257 for c in rows[row.id][1][:128]]
-        assert row.t == want and row.n == len(want) and row.p == want + [0] * (128 - len(want))
+        assert row.t == whole[row.id] and row.n == len(row.t) and row.s == max(1, -(-len(row.t) // 128))
+    cut = {}
+    for row in text.token_sequences(df, "t").orderBy("id", "chunk").collect():
+        assert len(row.t) == 128
+        cut.setdefault(row.id, []).extend(row.t)
+    for i, tokens in whole.items():
+        assert cut[i] == tokens + [0] * (128 * max(1, -(-len(tokens) // 128)) - len(tokens))
 
 
 def test_keys_keep_long_ids(spark):

@@ -108,8 +108,10 @@ def test_every_id_once_per_epoch(spark):
 def test_batch_counts(spark):
     df = ids(spark, 1000).withColumn("pos", F.col("__id__"))
     assert batching.global_batches(df, 64).select("batch_id").distinct().count() == 16
-    full = batching.full_batches(df, 64).groupBy("batch_id").count().collect()
-    assert len(full) == 15 and {r["count"] for r in full} == {64}
+    full = batching.full_batches(df, 64).groupBy("batch_id", "full").count().collect()
+    assert sorted((r["full"], r["count"]) for r in full) == [(False, 40)] + [(True, 64)] * 15
+    runs = batching.smoke_runs(batching.global_batches(df, 64), 6).groupBy("smoke_run").count().collect()
+    assert sorted((r.smoke_run, r["count"]) for r in runs) == [(0, 384), (1, 384), (2, 232)]
 
 
 def test_block_of_2000_rows_makes_32_batches(spark):

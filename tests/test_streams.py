@@ -92,3 +92,21 @@ def test_counters_over_many_micro_batches(spark, sf, tmp_path):
     table = live.snapshot_table(spark, live.live_counters(views.as_batches(parts), ["run"]), live.newest_batch(["run"]), "c")
     want = views.as_batches(events).groupBy("run").agg(F.count("*").alias("b"), F.sum("n").alias("n")).collect()
     assert {(r.run, r.batches, r.total_samples) for r in table.collect()} == {(r.run, r.b, r.n) for r in want}
+
+
+def test_a_stream_with_an_end_closes_every_window(spark, feed):
+    readings, end = live.with_end(stream(spark, feed).where("id <> 200"), "ts")
+    table = live.append_table(spark, live.window_stats(readings, ["k"], F.col("v"), 5), "e", end)
+    rows = {(r.k, second_of(r)): r.readings for r in table.collect()}
+    assert rows[("a", 215)] == 5 and max(s for _, s in rows) == 215 and sum(n for (k, _), n in rows.items() if k == "a") == 59
+    readings, end = live.with_end(stream(spark, feed).where("v IS NOT NULL AND id <> 200"), "ts")
+    table = live.append_table(spark, live.session_spans(readings, ["k"], "30 seconds"), "f", end)
+    assert sorted((r.k, r.readings) for r in table.collect()) == [("a", 19), ("a", 20), ("a", 20), ("b", 1)]
+
+
+def test_means_of_very_small_and_large_values(spark):
+    from feedloom.operators import metrics
+
+    rows = spark.createDataFrame([("s", 1e-7), ("s", 3e-7), ("l", 1e23), ("l", 3e23)], "k string, v double")
+    got = {r.k: r.v for r in metrics.epoch_average(rows, ["k"], ["v"]).collect()}
+    assert got["s"] == pytest.approx(2e-7) and got["l"] == pytest.approx(2e23)
