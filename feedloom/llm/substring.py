@@ -144,16 +144,18 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
     print_ = F.xxhash64(F.col(quoted(text)))
     texts = docs.select(doc.alias("doc"), print_.alias("print"), F.col(quoted(text)).alias("text"))
     found = texts.mapInArrow(_find, _FOUND)
-    ends = found.select("anchor", "doc").groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    ends = found.select("anchor", "class", "doc").groupBy("anchor").agg(
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("class").alias("one"), F.max("class").alias("other")
+    )
     # Written tables on the aggregated side of the joins leave the planner free to split anchors that many rows share.
-    ends = settle(ends.where("low < high").select("anchor"), "anchors")
+    ends = settle(ends.where("low < high").select("anchor", "low", (F.col("one") != F.col("other")).alias("several")), "anchors")
     shared = settle(found.join(ends, "anchor"), "shared-anchors")
+    # With one class the anchor's smallest document is the class's, and nothing more is to be found out.
+    alone = shared.where("NOT several AND doc > low").select("doc", "print", "first", "n", F.lit(-1).cast("long").alias("mask"))
 
-    one = F.struct("doc", "print", "first", "n")
-    classes = settle(shared.groupBy("anchor", "class").agg(F.min(one).alias("one")), "classes")
-    several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1").select("anchor")
-    several = settle(several, "several")
-    listed = classes.join(several, "anchor").select(
+    mixed = shared.where("several")
+    classes = settle(mixed.groupBy("anchor", "class").agg(F.min(F.struct("doc", "print", "first", "n")).alias("one")), "classes")
+    listed = classes.select(
         F.col("one.doc").alias("doc"), F.col("one.print").alias("print"),
         F.struct("anchor", "class", F.col("one.doc").alias("lead"), F.col("one.first").alias("first"), F.col("one.n").alias("n")).alias("stretch"),
     )
@@ -167,10 +169,10 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
     masks = late.groupBy("anchor", "class").agg(F.bit_or(F.expr("shiftleft(1L, index)")).alias("mask"))
 
     leads = settle(classes.select("anchor", "class", F.col("one.doc").alias("lead")).join(masks, ["anchor", "class"], "left"), "leads")
-    hit = shared.join(leads, ["anchor", "class"]).select(
+    hit = mixed.join(leads, ["anchor", "class"]).select(
         "doc", "print", "first", "n", F.when(F.col("doc") > F.col("lead"), F.lit(-1).cast("long")).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")
     )
-    hit = hit.where("mask != 0").groupBy("doc", "print").agg(F.collect_set(F.struct("first", "n", "mask")).alias("_hit"))
+    hit = hit.where("mask != 0").unionByName(alone).groupBy("doc", "print").agg(F.collect_set(F.struct("first", "n", "mask")).alias("_hit"))
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in keep], F.lit(1).alias("_one")).alias("_row"), F.col(quoted(text)).alias("_text"), doc.alias("doc"), print_.alias("print"))
     held = rows.join(hit, ["doc", "print"], "left").select("_row", "_text", "_hit")
     schema = T.StructType([held.schema["_row"], *[T.StructField("_" + f.name, f.dataType) for f in _KEPT]])
