@@ -24,6 +24,11 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def time_order(micros: Column, ident: Column) -> Column:
+    """Time, then id, as one number: aggregates that pick by it hash their keys, those that pick by a struct sort all rows."""
+    return micros.cast("decimal(18,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)") + ident.cast("decimal(20,0)")
+
+
 def batch_timeline(batches: DataFrame, keys: list[str], hot_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """Number, running samples and wait of every batch of a run.
 
@@ -62,7 +67,7 @@ def _total_wait() -> Column:
     Each batch's end is the next one's wait start, so the waits telescope:
     sum(got - done) + (end of the last batch) - (loop start).
     """
-    last_done = F.max_by("done_us", F.struct("got_us", "event_id"))
+    last_done = F.max_by("done_us", time_order(F.col("got_us"), F.col("event_id")))
     return F.sum(F.col("got_us") - F.col("done_us")) + last_done - F.min("start_us")
 
 

@@ -708,7 +708,6 @@ def threshold_bands(spark, d):
 @query
 def corpus_profile(spark, d):
     docs = views.samples(spark, d)
-    first = docs.groupBy().agg(F.min_by(F.length("text"), "__id__")).scalar()
     return docs.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.lit(len(docs.columns)).cast("long").alias("n_columns"),
@@ -716,7 +715,8 @@ def corpus_profile(spark, d):
         F.max(F.length("text")).cast("long").alias("max_chars"),
         F.round(F.avg(F.length("text")), 4).alias("avg_chars"),
         F.sum(text.utf8_bytes("text")).alias("n_bytes"),
-    ).withColumn("first_chars", first.cast("long"))
+        F.min_by(F.length("text"), "__id__").cast("long").alias("first_chars"),
+    )
 
 
 @query
@@ -767,7 +767,7 @@ def gauge_windows(spark, d):
 def gauge_latest(spark, d):
     """Last value per label set at each five-second refresh."""
     readings = views.gauges(spark, d).withColumn("refresh", F.floor(views.micros() / 5_000_000).cast("long"))
-    return readings.groupBy(*SERIES, "refresh").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
+    return readings.groupBy(*SERIES, "refresh").agg(F.max_by("value", metrics.time_order(views.micros(), F.col("event_id"))).alias("last_value"))
 
 
 @query

@@ -201,8 +201,8 @@ def fetch_samples(
     Ids are placed through the manifest, gathered by shard, and each task reads
     only the offsets and records it needs.  ``transform`` (dict -> dict) runs on
     every sample as it is fetched and then ``schema`` describes its result.
-    Repeated ids come back once; with ``carry`` the ids must be unique and those
-    columns of ``ids`` travel along, so that no payload has to be joined later.
+    Repeated ids come back as often as they are asked for, ids that no shard holds not at all.
+    The columns of ``ids`` in ``carry`` travel along, so that no payload has to be joined later.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -217,8 +217,8 @@ def fetch_samples(
     shards = read_manifest(spark, path).where("n_rows > 0")
     placed = locate(ids, ident, shards)
     carry = carry or []
+    placed = placed.join(ids.select(ident, *carry), ident)
     if carry:
-        placed = placed.join(ids.select(ident, *carry), ident)
         schema = T.StructType([*schema.fields, *[ids.schema[c] for c in carry]])
     # The name of the file travels with the id; a manifest row is joined, not collected.
     named = placed.join(shards.select("shard_id", "file"), "shard_id").select("file", "place", *carry)

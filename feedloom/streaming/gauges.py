@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.operators.metrics import finite
+from feedloom.operators.metrics import finite, time_order
 from feedloom.session import fresh_dir
 
 LATENESS = "10 seconds"
@@ -56,7 +56,7 @@ def window_stats(readings: DataFrame, keys: list[str], value: Column, seconds: i
 def window_latest(readings: DataFrame, keys: list[str], value: str, ident: str, seconds: int, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
     """Last value per label set and refresh window; equal times go by id."""
     last = readings.withWatermark(ts, lateness).groupBy(F.window(ts, f"{seconds} seconds"), *keys).agg(
-        F.max_by(value, F.struct(ts, ident)).alias("last_value")
+        F.max_by(value, time_order(F.unix_micros(ts), F.col(ident))).alias("last_value")
     )
     return last.select(F.unix_micros("window.start").alias("window_us"), *keys, "last_value")
 

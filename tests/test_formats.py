@@ -98,10 +98,10 @@ def test_random_access_with_repeated_and_missing_ids(spark, edge):
     where = fresh_dir(spark, "t")
     sinks.write_indexed(edge, where, 600, "text")
     wanted = spark.createDataFrame([(3,), (2,), (2,), (99,)], "__id__ long")
-    assert as_pairs(fetch_samples(spark, where, wanted)) == [(2, EDGE_TEXTS[2]), (3, EDGE_TEXTS[3])]
+    assert as_pairs(fetch_samples(spark, where, wanted)) == [(2, EDGE_TEXTS[2]), (2, EDGE_TEXTS[2]), (3, EDGE_TEXTS[3])]
     schema = T.StructType([T.StructField("__id__", T.LongType()), T.StructField("n", T.LongType())])
     hooked = fetch_samples(spark, where, wanted, transform=lambda s: {"__id__": s["__id__"], "n": len(s["text"])}, schema=schema)
-    assert sorted((r["__id__"], r.n) for r in hooked.collect()) == [(2, len(EDGE_TEXTS[2])), (3, 5000)]
+    assert sorted((r["__id__"], r.n) for r in hooked.collect()) == [(2, len(EDGE_TEXTS[2])), (2, len(EDGE_TEXTS[2])), (3, 5000)]
 
 
 def test_foreign_tars_with_a_missing_field(spark, tmp_path):
