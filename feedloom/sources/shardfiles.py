@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from dataclasses import dataclass, field
 
@@ -23,9 +24,17 @@ READ_BYTES = 32 << 20
 
 
 def open_fs(path: str):
-    """(filesystem, path on it); a bare relative path is local to the working folder."""
+    """(filesystem, path on it).
+
+    A bare path is a folder of this machine, so only a local session takes one; on a
+    cluster name the scheme, ``file://`` for a folder mounted everywhere.
+    """
     from pyarrow import fs
+    from pyspark import SparkContext
 
+    context = SparkContext._active_spark_context
+    if ":" not in path and context is not None and not re.match(r"local($|\[)", context.master):
+        raise ValueError(f"on a cluster {path} would be another folder on every machine: give it with its scheme")
     return fs.FileSystem.from_uri(path if ":" in path else os.path.abspath(path))
 
 

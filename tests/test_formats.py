@@ -268,3 +268,17 @@ def test_relative_and_file_paths(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     assert open_fs("out/text")[1] == str(tmp_path / "out" / "text")
     assert open_fs(f"file:{tmp_path}")[1] == open_fs(str(tmp_path))[1] == str(tmp_path)
+
+
+def test_bare_paths_are_refused_on_a_cluster(monkeypatch):
+    from pyspark import SparkContext
+
+    from feedloom.sources.shardfiles import open_fs
+
+    class Cluster:
+        master = "spark://somewhere:7077"
+
+    monkeypatch.setattr(SparkContext, "_active_spark_context", Cluster())
+    with pytest.raises(ValueError, match="scheme"):
+        open_fs("/data/out")
+    assert open_fs("file:///data/out")[1] == "/data/out"

@@ -21,10 +21,34 @@ def test_no_cross_join(spark, sf, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("name", ["batch_tokens", "global_shuffle", "index_shuffle", "batches_global", "epoch_orders"])
+def exchanged_columns(df):
+    """The columns that each exchange of a plan carries."""
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        if "Exchange" in node.nodeName():
+            yield {node.output().apply(i).name() for i in range(node.output().size())}
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.mark.parametrize("name", ["batch_tokens", "global_shuffle", "index_shuffle", "batches_global", "epoch_orders", "batch_cap", "block_shuffle"])
 def test_texts_are_not_shuffled(spark, sf, name):
-    exchanged = [line for line in plan_of(spark, sf, name).splitlines() if "Exchange" in line]
-    assert exchanged and not any("text#" in line for line in exchanged)
+    exchanged = exchanged_columns(QUERIES[name](spark, sf))
+    assert exchanged and not any("text" in columns for columns in exchanged)
+
+
+def test_texts_that_are_shuffled_are_seen(spark, sf):
+    assert any("text" in columns for columns in exchanged_columns(QUERIES["collate_text"](spark, sf)))
+
+
+@pytest.mark.parametrize("name", ["data_stall", "first_batch_latency", "gauge_latest", "epoch_average", "corpus_profile"])
+def test_aggregates_hash(spark, sf, name):
+    plan = plan_of(spark, sf, name)
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 @pytest.mark.parametrize("name,columns", [("epoch_metrics", "event_type"), ("sample_keys", "doc_id"), ("shape_check", "n_chars")])
