@@ -145,13 +145,13 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
     texts = docs.select(doc.alias("doc"), print_.alias("print"), F.col(quoted(text)).alias("text"))
     found = texts.mapInArrow(_find, _FOUND)
     ends = found.select("anchor", "class", "doc").groupBy("anchor").agg(
-        F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("class").alias("one"), F.max("class").alias("other")
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.min_by("class", "doc").alias("first_class"), F.min("class").alias("one"), F.max("class").alias("other")
     )
     # Written tables on the aggregated side of the joins leave the planner free to split anchors that many rows share.
-    ends = settle(ends.where("low < high").select("anchor", "low", (F.col("one") != F.col("other")).alias("several")), "anchors")
+    ends = settle(ends.where("low < high").select("anchor", "low", "first_class", (F.col("one") != F.col("other")).alias("several")), "anchors")
     shared = settle(found.join(ends, "anchor"), "shared-anchors")
-    # With one class the anchor's smallest document is the class's, and nothing more is to be found out.
-    alone = shared.where("NOT several AND doc > low").select("doc", "print", "first", "n", F.lit(-1).cast("long").alias("mask"))
+    # What has the same words as the anchor's smallest document is repeated from end to end, and that document itself isn't.
+    alone = shared.where("class = first_class AND doc > low").select("doc", "print", "first", "n", F.lit(-1).cast("long").alias("mask"))
 
     mixed = shared.where("several")
     classes = settle(mixed.groupBy("anchor", "class").agg(F.min(F.struct("doc", "print", "first", "n")).alias("one")), "classes")
@@ -169,7 +169,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
     masks = late.groupBy("anchor", "class").agg(F.bit_or(F.expr("shiftleft(1L, index)")).alias("mask"))
 
     leads = settle(classes.select("anchor", "class", F.col("one.doc").alias("lead")).join(masks, ["anchor", "class"], "left"), "leads")
-    hit = mixed.join(leads, ["anchor", "class"]).select(
+    hit = mixed.where("class != first_class AND doc > low").join(leads, ["anchor", "class"]).select(
         "doc", "print", "first", "n", F.when(F.col("doc") > F.col("lead"), F.lit(-1).cast("long")).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")
     )
     hit = hit.where("mask != 0").unionByName(alone).groupBy("doc", "print").agg(F.collect_set(F.struct("first", "n", "mask")).alias("_hit"))
