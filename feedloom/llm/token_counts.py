@@ -15,7 +15,7 @@ Null and empty texts have no bytes and no tokens. Repeated rows each get their r
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -125,7 +125,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, keep: list[str] | None =
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = file.read()
     context = docs.sparkSession.sparkContext
-    key, shared = uuid.uuid4().hex, context.broadcast((vocabulary, *frequent(docs, vocabulary)))
+    # Lengths depend on the vocabulary alone, so a worker keeps one cache for it whatever the table.
+    key, shared = hashlib.sha256(vocabulary.encode()).hexdigest(), context.broadcast((vocabulary, *frequent(docs, vocabulary)))
 
     def work(texts: pa.Array) -> list[pa.Array]:
         tokenizer, known = once(key, lambda: (_tokenizer(shared.value[0]), Lengths(*shared.value[1:])))
