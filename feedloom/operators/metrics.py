@@ -40,7 +40,7 @@ def batch_timeline(batches: DataFrame, keys: list[str], hot_rows: int = HOT_BUCK
     seen = bucketed_window(
         batches, keys, time_bucket("got_us"), ["got_us", "event_id"],
         number="i", running={"samples": "n"}, previous={"_prev_done": "done_us"},
-        fine=F.expr("got_us div 1000"), hot_rows=hot_rows,
+        fine=F.expr("got_us div 1000"), hot_rows=hot_rows, latest=time_order(F.col("got_us"), F.col("event_id")),
     )
     wait = F.col("got_us") - F.coalesce("_prev_done", "start_us")
     return seen.withColumn("wait_us", wait).drop("_prev_done")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 # One summary row stands for this many consecutive ids.
 ID_BUCKET_BITS = 18
-# Hex digits of the md5 key that form a bucket: 16**3 = 4,096 buckets at most.
-HASH_BUCKET_DIGITS = 3
+# A bucket of md5 keys holds about this many rows, so their number grows with the rows.
+HASH_BUCKET_ROWS = 1 << 18
 # A bucket beyond this many rows is cut further where a finer order is given.
 HOT_BUCKET_ROWS = 5_000_000
 
@@ -25,9 +25,16 @@ def id_bucket(ident: Column | str, bits: int = ID_BUCKET_BITS) -> Column:
     return F.shiftright(ident.cast("long"), bits)
 
 
-def hash_bucket(key: Column | str, digits: int = HASH_BUCKET_DIGITS) -> Column:
+def hash_bucket(df: DataFrame, key: Column | str, rows: int = HASH_BUCKET_ROWS) -> Column:
+    """Buckets in the order of an md5 key, about ``rows`` rows of ``df`` in each.
+
+    The rows are counted by a scalar subquery inside the job itself; md5 keys are even, so
+    equal stretches of the key's first 32 bits make even buckets.
+    """
     key = F.col(key) if isinstance(key, str) else key
-    return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
+    buckets = F.ceil(df.agg(F.count(F.lit(1)).alias("n")).scalar() / F.lit(rows)).cast("long")
+    first = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+    return F.shiftright(first * buckets, 32)
 
 
 def time_bucket(micros: Column | str, seconds: int = 60) -> Column:
@@ -68,6 +75,7 @@ def bucketed_window(
     previous: dict[str, str] | None = None,
     fine: Column | None = None,
     hot_rows: int = HOT_BUCKET_ROWS,
+    latest: Column | None = None,
 ) -> DataFrame:
     """Window columns over ``keys`` ordered by ``order``, computed bucket by bucket.
 
@@ -78,6 +86,7 @@ def bucketed_window(
     thousands of rows: one summary row per (key, bucket) is sorted per key.
     ``fine`` orders rows inside a bucket; buckets of more than ``hot_rows`` rows are
     cut by it.  At most (rows / hot_rows) buckets are hot, so their list is broadcast.
+    ``latest`` is one number that orders rows as ``order`` does, for picking a bucket's last row.
     """
     running, previous = running or {}, previous or {}
     if fine is not None and not keys:
@@ -105,8 +114,9 @@ def bucketed_window(
         sums.append(f"_s_{new}")
         facts.append(_zero_if_none(F.sum(source)).alias(f"_s_{new}"))
     lasts = [f"_l_{new}" for new in previous]
-    # One plain order column keeps this a hash aggregate; several need a struct and a sort.
-    latest = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    # A number keeps this a hash aggregate; a struct of several columns needs a sort.
+    if latest is None:
+        latest = F.struct(*order) if len(order) > 1 else F.col(order[0])
     facts += [F.max_by(source, latest).alias(f"_l_{new}") for new, source in previous.items()]
     edges = _edges(parted, facts, keys, sums, lasts)
 
@@ -143,7 +153,7 @@ def number_by_id(df: DataFrame, ident: str, into: str = "__id__") -> DataFrame:
 def number_by_hash(df: DataFrame, hashed: str, ident: str | list[str], into: str = "pos", keys: list[str] | None = None) -> DataFrame:
     """Dense numbers in the order of an md5 column, ties broken by ``ident``."""
     ident = [ident] if isinstance(ident, str) else ident
-    return bucketed_window(df, keys or [], hash_bucket(hashed), [hashed, *ident], number=into)
+    return bucketed_window(df, keys or [], hash_bucket(df, hashed), [hashed, *ident], number=into)
 
 
 def number_shard_rows(df: DataFrame, shard: str = "__shard__", place: str = "__place__", into: str = "__id__") -> DataFrame:

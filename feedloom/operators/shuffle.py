@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.numbering import bucketed_window, hash_bucket, number_by_hash
-from feedloom.session import ship_package, spread
 
 # A block or shard table of up to this many rows (a few MB) is broadcast.
 BROADCAST_BLOCKS = 65_536
@@ -53,7 +52,7 @@ def epoch_orders(df: DataFrame, ident: str, epochs: int, seed: int = 42) -> Data
     """A fresh order for every epoch, as rows (epoch, id, pos)."""
     grown = df.select(ident, F.explode(F.expr(f"sequence(0L, {int(epochs) - 1}L)")).alias("epoch"))
     keyed = grown.withColumn("_key", shuffle_key(ident, seed, F.col("epoch")))
-    return bucketed_window(keyed, ["epoch"], hash_bucket("_key"), ["_key", ident], number="pos").drop("_key")
+    return bucketed_window(keyed, ["epoch"], hash_bucket(df, "_key"), ["_key", ident], number="pos").drop("_key")
 
 
 def shard_order(shards: DataFrame, shard: str, seed: int = 42, epoch: int = 0, into: str = "rank") -> DataFrame:
@@ -91,54 +90,20 @@ def window_shuffle_in_place(
     return ordered.withColumn(into, seat).drop("_window", "_key")
 
 
-def buffer_order(shards: DataFrame, size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Bounded-buffer order: each shard is streamed through a buffer of ``size`` rows.
+def buffer_order(
+    df: DataFrame, shard: Column, pos: str, ident: str, size: int, seed: int = 42, epoch: int = 0, into: str = "out_pos"
+) -> DataFrame:
+    """Bounded-buffer order of a shard's rows, without window edges.
 
-    A row leaves the buffer at random, so it may come out any number of places
-    late but fewer than ``size`` places early.  The order depends on the shard's
-    length only, so the input is a manifest (``shard_id``, ``first_id``,
-    ``n_rows``) and the payload is fetched by id afterwards.  One shard is one
-    sequential stream, as it is one file of bounded size; only the buffer is held.
+    Every row is held back by a random number of places below ``size`` and rows leave in
+    the order of (place + delay), so each comes out fewer than ``size`` places early or
+    late: a buffer of ``size`` rows can produce the order.  A group is one shard, which is one
+    file of bounded size.  The rows handed in are moved: give ids, and fetch the payload afterwards.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    chunk = 65_536
-    schema = pa.schema([(name, pa.int64()) for name in ("shard_id", "__id__", "in_pos", "out_pos")])
-
-    def orders(rng, n):
-        held = list(range(min(size, n)))
-        for start in range(len(held), n, chunk):
-            stop = min(n, start + chunk)
-            picks = rng.integers(len(held), size=stop - start)
-            out = np.empty(stop - start, dtype=np.int64)
-            for i, pick in enumerate(picks.tolist()):
-                out[i] = held[pick]
-                held[pick] = start + i
-            yield out
-        tail = np.array(held, dtype=np.int64)
-        rng.shuffle(tail)
-        yield tail
-
-    def stream(batches):
-        for batch in batches:
-            for shard, first, n in zip(*(batch.column(c).to_pylist() for c in ("shard_id", "first_id", "n_rows"))):
-                given = 0
-                for taken in orders(np.random.default_rng([seed, epoch, shard]), n):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(taken), shard)),
-                            pa.array(taken + first),
-                            pa.array(taken),
-                            pa.array(np.arange(given, given + len(taken))),
-                        ],
-                        schema=schema,
-                    )
-                    given += len(taken)
-
-    ship_package(shards.sparkSession)
-    rows = spread(shards.select("shard_id", "first_id", "n_rows"), "shard_id")
-    return rows.mapInArrow(stream, "shard_id long, __id__ long, in_pos long, out_pos long")
+    keyed = df.withColumns({"_shard": shard, "_key": shuffle_key(ident, seed, epoch)})
+    delay = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % F.lit(int(size))
+    leaving = Window.partitionBy("_shard").orderBy(F.col(pos) + delay, "_key", ident)
+    return keyed.withColumn(into, F.row_number().over(leaving).cast("long") - 1).drop("_shard", "_key")
 
 
 def block_shuffle(df: DataFrame, block: str, ident: str, seed: int = 42, epoch: int = 0, blocks: int | None = None) -> DataFrame:
@@ -151,7 +116,7 @@ def block_shuffle(df: DataFrame, block: str, ident: str, seed: int = 42, epoch:
     sizes = df.groupBy(block).agg(F.count(F.lit(1)).alias("_rows"), F.min(ident).alias("_first"))
     keyed = sizes.withColumn("_key", shuffle_key(block, seed, epoch))
     ranked = bucketed_window(
-        keyed, [], hash_bucket("_key"), ["_key", block], number="block_rank", running={"_upto": "_rows"}
+        keyed, [], hash_bucket(sizes, "_key"), ["_key", block], number="block_rank", running={"_upto": "_rows"}
     )
     moved = ranked.select(block, "block_rank", (F.col("_upto") - F.col("_rows") - F.col("_first")).alias("_shift"))
     if blocks is not None and blocks <= BROADCAST_BLOCKS:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.functions import fields, images, labels, text
+from feedloom.functions import fields, images, labels, text, udfs
 from feedloom.operators import batching, metrics, numbering, pairing, quality, sharding, shuffle
 from feedloom.plans import feeds, views
 from feedloom.plans.views import (
@@ -109,6 +109,50 @@ def random_access(spark, d):
     return got.select(F.col("__id__").alias("doc_id"), F.md5(text.to_utf8("text")).alias("text_md5"))
 
 
+@query
+def mapped_samples(spark, d):
+    """A user function over every stored sample of a tar layout."""
+    read = corpus.read_tar(spark, _tar_written(spark, d)).select(F.col("__key__").alias("sample_key"), "txt")
+    return udfs.map_samples(read, _line_facts, "sample_key string, n_lines long, longest_line long")
+
+
+def _line_facts(sample: dict) -> dict:
+    lines = (sample["txt"] or "").split("\n")
+    return {"sample_key": sample["sample_key"], "n_lines": len(lines), "longest_line": max(map(len, lines))}
+
+
+@query
+def layout_pairs(spark, d):
+    """Samples with two members stored in tar shards, read back by key and paired again."""
+    where = fresh_dir(spark, "pairs")
+    docs = views.samples(spark, d).select("__id__", F.col("text").alias("txt"))
+    notes = views.table(spark, d, "labels").select(F.col("doc_id").alias("__id__"), F.concat_ws(":", "quality", "toxic").alias("cls"))
+    sinks.write_tar(docs.join(notes, "__id__", "left"), where, ["txt", "cls"], TAR_ROWS)
+    read = corpus.read_tar(spark, where, "txt string, cls string")
+    members = read.where("cls IS NOT NULL").select("__key__", "cls")
+    pairs = pairing.pair(read.select("__key__", "txt"), members, "__key__")
+    return pairs.select(F.col("__key__").alias("sample_key"), "cls", F.md5(text.to_utf8("txt")).alias("text_md5"))
+
+
+@query
+def shard_list(spark, d):
+    """The shard names a tar layout publishes in its list, each with the rows found in that shard."""
+    where = _tar_written(spark, d)
+    rows = corpus.read_tar(spark, where, shard=True).groupBy(F.col("__shard__").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return corpus.read_shard_list(spark, where).join(rows, "file", "left")
+
+
+@query
+def results_roundtrip(spark, d):
+    """Epoch records written by loader and dataset, and read back."""
+    where = fresh_dir(spark, "results")
+    records = views.epoch_results(spark, d).withColumn("num_workers", F.lit(WORKERS))
+    sinks.write_results(records, where)
+    read = corpus.read_written_results(spark, where)
+    whole = [F.col(c).cast("long").alias(c) for c in ("batch_size", "num_workers", "epoch", "total_samples")]
+    return read.select("run", "loader", "dataset", *whole, "samples_per_sec")
+
+
 @query
 def fanout_formats(spark, d):
     """Three layouts from one read; each must hold the same samples."""
@@ -412,16 +456,10 @@ def buffer_shuffle(spark, d):
 
 @query
 def buffer_stream(spark, d):
-    """The streamed buffer, checked per shard: a permutation, and never 100 places early."""
-    orders = shuffle.buffer_order(_tar_manifest(spark, d), BUFFER, SEED)
-    return orders.groupBy("shard_id").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.countDistinct("out_pos").alias("out_places"),
-        F.countDistinct("__id__").alias("samples"),
-        F.min("out_pos").alias("first_place"),
-        F.max("out_pos").alias("last_place"),
-        F.max(F.col("in_pos") - F.col("out_pos") > BUFFER - 1).alias("too_early"),
-    )
+    """A buffer of 100 rows over shards of 128: no row comes out 100 places early or late."""
+    docs = views.ids(spark, d).withColumn("in_pos", F.col("__id__") % TAR_ROWS)
+    out = shuffle.buffer_order(docs, F.expr(f"__id__ div {TAR_ROWS}"), "in_pos", "__id__", BUFFER, SEED)
+    return out.select(F.col("__id__").alias("doc_id"), "out_pos")
 
 
 def _shard_ids(spark, d) -> DataFrame:

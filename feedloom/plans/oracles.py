@@ -84,6 +84,13 @@ ORACLES: dict[str, str] = {
     "indexed_roundtrip": """SELECT doc_id, CAST(to_json({'lang': lang, 'source': source}) AS VARCHAR) AS meta, md5(text) AS text_md5 FROM documents""",
     "indexed_greedy": "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS oversized, count(*) AS covered_ids FROM documents",
     "random_access": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "mapped_samples": """SELECT printf('%08d', doc_id) AS sample_key, len(lines)::BIGINT AS n_lines, list_max(list_transform(lines, lambda x: length(x))) AS longest_line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)""",
+    "layout_pairs": """SELECT printf('%08d', doc_id) AS sample_key, concat_ws(':', quality, toxic) AS cls, md5(text) AS text_md5
+        FROM documents JOIN labels USING (doc_id)""",
+    "shard_list": f"""SELECT printf('shard-%06d.tar', doc_id // {TAR_ROWS}) AS file, count(*) AS n_rows FROM documents GROUP BY ALL""",
+    "results_roundtrip": _with(*_RESULTS, body=f"""SELECT printf('%s_%s_bs%d_w%d_epoch%d', loader, dataset, batch_size, {WORKERS}, epoch) AS run, loader, dataset, batch_size, CAST({WORKERS} AS BIGINT) AS num_workers, epoch,
+        total_samples, samples_per_sec FROM results"""),
     "fanout_formats": "SELECT unnest(['parquet', 'tar', 'indexed']) AS format, doc_id, md5(text) AS text_md5 FROM documents",
     "parquet_shards": f"""WITH t AS (SELECT doc_id, count(*) OVER () AS n, greatest(1, count(*) OVER () // {PARQUET_ROWS}) AS n_shards FROM documents),
         s AS (SELECT doc_id, n_shards, least(doc_id // (n // n_shards), n_shards - 1) AS shard_id FROM t)
@@ -157,8 +164,8 @@ ORACLES: dict[str, str] = {
     "shuffled_rows": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "buffer_shuffle": f"""SELECT doc_id, w * {BUFFER} + row_number() OVER (PARTITION BY s, w ORDER BY {_KEY}, doc_id) - 1 AS out_pos
         FROM (SELECT doc_id, doc_id // {TAR_ROWS} AS s, doc_id % {TAR_ROWS} // {BUFFER} AS w FROM documents)""",
-    "buffer_stream": f"""SELECT doc_id // {TAR_ROWS} AS shard_id, count(*) AS n_rows, count(*) AS out_places, count(*) AS samples,
-        CAST(0 AS BIGINT) AS first_place, count(*) - 1 AS last_place, false AS too_early FROM documents GROUP BY ALL""",
+    "buffer_stream": f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id // {TAR_ROWS}
+        ORDER BY doc_id % {TAR_ROWS} + ('0x' || substr({_KEY}, 1, 8))::BIGINT % {BUFFER}, {_KEY}, doc_id) - 1 AS out_pos FROM documents""",
     "shard_shuffle": _with("shards", "ranked", body="SELECT shard_id, rank FROM ranked"),
     "worker_round_robin": _with("shards", "ranked", body=f"SELECT shard_id, rank, rank % {WORKERS} AS worker FROM ranked"),
     "index_shuffle": _with("placed", body=f"SELECT doc_id, pos, pos * {WORKERS} // total AS worker FROM placed"),

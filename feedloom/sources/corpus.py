@@ -125,3 +125,8 @@ def read_shard_list(spark: SparkSession, path: str) -> DataFrame:
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Epoch records, one (indented) JSON object per file."""
     return spark.read.schema(EPOCH_RECORD).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+
+
+def read_written_results(spark: SparkSession, path: str) -> DataFrame:
+    """Epoch records as ``write_results`` leaves them: a line each, in folders by loader and dataset."""
+    return spark.read.schema(T.StructType([*EPOCH_RECORD.fields, T.StructField("run", T.StringType())])).json(path)

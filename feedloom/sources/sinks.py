@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,33 +109,28 @@ def write_formats(
     tar_rows: int = TAR_SHARD_ROWS,
     limit: int = TAR_SHARD_ROWS * INDEXED_BYTES_PER_SAMPLE,
     tasks: int | None = None,
-    persist: bool = True,
+    written_once: bool = True,
 ) -> dict[str, str]:
     """Any subset of the three layouts from one read of an id-stamped source.
 
-    With several formats the rows are persisted: they spill to disk and are
-    recomputed if an executor is lost.  ``persist=False`` reads the source once
-    per format instead, where local disks are too small for the corpus.
+    With several formats the stamped rows are first written once to the shared folder, so
+    a lost executor costs no second read of the source.  ``written_once=False`` reads the
+    source once per format instead.
     """
     paths = {fmt: layout_path(out, modality, fmt) for fmt in formats}
     payload = {"text": "text", "images": "image", "image+text": "jpg"}[modality]
-    persist = persist and len(paths) > 1
-    stamped = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
-    try:
-        if "parquet" in paths:
-            write_parquet_shards(stamped, paths["parquet"], parquet_rows, "text" if modality == "text" else None, tasks)
-        if "tar" in paths:
-            if modality == "text":
-                write_tar(stamped.withColumnRenamed("text", "txt"), paths["tar"], ["txt"], tar_rows, tasks)
-            elif modality == "images":
-                write_tar(stamped.withColumnRenamed("image", "jpg"), paths["tar"], ["jpg"], tar_rows, tasks)
-            else:
-                write_tar(stamped, paths["tar"], ["jpg", "txt"], tar_rows, tasks)
-        if "indexed" in paths:
-            write_indexed(indexed_rows(stamped, modality), paths["indexed"], limit, payload, tasks=tasks)
-    finally:
-        if persist:
-            stamped.unpersist()
+    stamped = settle(df, "stamped") if written_once and len(paths) > 1 else df
+    if "parquet" in paths:
+        write_parquet_shards(stamped, paths["parquet"], parquet_rows, "text" if modality == "text" else None, tasks)
+    if "tar" in paths:
+        if modality == "text":
+            write_tar(stamped.withColumnRenamed("text", "txt"), paths["tar"], ["txt"], tar_rows, tasks)
+        elif modality == "images":
+            write_tar(stamped.withColumnRenamed("image", "jpg"), paths["tar"], ["jpg"], tar_rows, tasks)
+        else:
+            write_tar(stamped, paths["tar"], ["jpg", "txt"], tar_rows, tasks)
+    if "indexed" in paths:
+        write_indexed(indexed_rows(stamped, modality), paths["indexed"], limit, payload, tasks=tasks)
     return paths
 
 

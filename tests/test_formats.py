@@ -174,6 +174,10 @@ def test_results_round_trip(spark, tmp_path):
     sinks.write_results(read, where)
     again = spark.read.json(where).first()
     assert again.run == "tar_text_bs64_w4_epoch0" and again.dataset == "text"
+    # Several records of one loader and dataset share a file; each comes back, with its folder's names.
+    sinks.write_results(read.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in (1, 2, 3)]))).coalesce(1), where)
+    back = corpus.read_written_results(spark, where).orderBy("epoch").collect()
+    assert [(r.epoch, r.loader, r.dataset, r.run[-6:]) for r in back] == [(e, "tar", "text", f"epoch{e}") for e in range(4)]
 
 
 def test_choices_are_checked_before_jobs(spark):

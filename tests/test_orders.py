@@ -70,13 +70,30 @@ def test_rows_in_shuffled_partitions_follow_the_positions(spark):
 
 
 def test_buffer_order_bound_and_repeatability(spark):
-    shards = spark.createDataFrame([(0, 0, 1000), (1, 1000, 5), (2, 1005, 0), (3, 1005, 70_000)], "shard_id long, first_id long, n_rows long")
-    rows = shuffle.buffer_order(shards, 100, 42).collect()
+    shards = spark.createDataFrame([(0, 0, 1000), (1, 1000, 5), (3, 1005, 70_000)], "shard_id long, first_id long, n_rows long")
+    places = shards.withColumn("in_pos", F.explode(F.expr("sequence(0L, n_rows - 1)"))).withColumn("__id__", F.expr("first_id + in_pos"))
+    placed = places.select("shard_id", "__id__", "in_pos")
+    rows = shuffle.buffer_order(placed, F.col("shard_id"), "in_pos", "__id__", 100, 42).collect()
     assert sorted(r["__id__"] for r in rows) == list(range(71_005))
-    assert all(r.in_pos - r.out_pos <= 99 for r in rows)
-    again = shuffle.buffer_order(shards.repartition(1), 100, 42).collect()
+    assert sorted((r.shard_id, r.out_pos) for r in rows) == sorted((r.shard_id, r.in_pos) for r in rows)
+    assert all(abs(r.in_pos - r.out_pos) <= 99 for r in rows)
+    again = shuffle.buffer_order(placed.repartition(1), F.col("shard_id"), "in_pos", "__id__", 100, 42).collect()
     assert {tuple(r) for r in rows} == {tuple(r) for r in again}
-    assert any(r.in_pos != r.out_pos for r in rows)
+    assert any(r.in_pos // 100 != r.out_pos // 100 for r in rows)
+    other = shuffle.buffer_order(placed, F.col("shard_id"), "in_pos", "__id__", 100, 42, epoch=1).collect()
+    assert {tuple(r) for r in rows} != {tuple(r) for r in other}
+
+
+def test_hash_buckets_grow_with_the_rows(spark):
+    ids = spark.range(5000).withColumn("key", shuffle.shuffle_key("id", 1))
+    assert {r.b for r in ids.select(numbering.hash_bucket(ids, "key").alias("b")).distinct().collect()} == {0}
+    buckets = ids.withColumn("b", numbering.hash_bucket(ids, "key", rows=500))
+    found = buckets.groupBy("b").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("b").collect()
+    assert [r.b for r in found] == list(range(10)) and all(350 < r.n < 650 for r in found)
+    assert all(x.high < y.low for x, y in zip(found, found[1:]))
+    cut = numbering.bucketed_window(ids, [], numbering.hash_bucket(ids, "key", rows=500), ["key", "id"], number="pos").collect()
+    want = sorted(cut, key=lambda r: r.key)
+    assert [r.pos for r in want] == list(range(5000))
 
 
 def test_window_shuffle_moves_less_than_its_window(spark):

@@ -8,6 +8,7 @@ WRITERS = {
     "scan_jsonl", "tar_roundtrip", "indexed_roundtrip", "indexed_greedy", "random_access", "fanout_formats", "tar_shards", "storage_footprint",
     "materialised_epochs", "feed_tar", "feed_indexed", "feed_parquet", "prepare_corpus", "gauge_windows_stream", "gauge_latest_stream",
     "run_spans_stream", "gauge_upserts", "live_counters", "byte_shards", "resolve_samples", "shard_balance",
+    "mapped_samples", "layout_pairs", "shard_list", "results_roundtrip",
 }
 
 
@@ -45,7 +46,7 @@ def test_texts_that_are_shuffled_are_seen(spark, sf):
     assert any("text" in columns for columns in exchanged_columns(QUERIES["collate_text"](spark, sf)))
 
 
-@pytest.mark.parametrize("name", ["data_stall", "first_batch_latency", "gauge_latest", "epoch_average", "corpus_profile"])
+@pytest.mark.parametrize("name", ["data_stall", "first_batch_latency", "gauge_latest", "epoch_average", "corpus_profile", "batch_waits", "active_batches"])
 def test_aggregates_hash(spark, sf, name):
     plan = plan_of(spark, sf, name)
     assert "HashAggregate" in plan and "SortAggregate" not in plan
