@@ -4,9 +4,10 @@ The template is a black box from turns to text. Rendering one turn more must lea
 what was there before as it was; then the new part is that turn's span. Where it
 doesn't, the template rewrites history and the conversation is marked so. Two more
 renderings of the turn, with one-letter texts, show where inside the span its text
-begins. Prefixes grow inside blocks of ``BLOCK`` turns with one turn of overlap, and the
-parts put together must equal one rendering of the whole, so a conversation of n turns
-costs about n * BLOCK renderings of a turn and a template that looks further back is found out.
+begins. Prefixes grow inside blocks of ``BLOCK`` turns with one turn of overlap, and where the
+parts put together equal one rendering of the whole, a conversation of n turns
+costs about n * BLOCK renderings of a turn. Where they don't, or a block can't be rendered alone, all
+prefixes are rendered from the first turn on (about n * n renderings of a turn), and only they tell whether history is rewritten.
 
 Turns are ordered by turn, then role, then text; nulls count as empty text, a null turn
 comes first, a null role reads as empty. A null conv_id is a conversation of its own.
@@ -77,6 +78,32 @@ def _common(a: str, b: str) -> int:
 def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
     """The formatted text, each turn's span and the span of its text in it, and whether the template rewrites history."""
     whole = template(turns)
+    try:
+        found = _by_blocks(turns, whole, template) if len(turns) > BLOCK else None
+    except Exception:  # a template may refuse turns that don't start the conversation
+        found = None
+    found = found or _by_prefixes(turns, whole, template)
+    return (whole, *found, False) if found else (whole, [], [], True)
+
+
+def _by_prefixes(turns: list[Turn], whole: str, template: Template) -> tuple[list, list] | None:
+    """The spans of turns and texts from all prefixes; None where a turn more changes what was there before."""
+    spans, texts, before = [], [], template([]) if not turns else ""
+    for i, (role, _) in enumerate(turns):
+        after = whole if i + 1 == len(turns) else template(turns[: i + 1])
+        if not after.startswith(before):
+            return None
+        at, part = len(before), after[len(before) :]
+        empty, a, b = (template([*turns[:i], (role, text)])[at:] for text in ("", "a", "b"))
+        head = _common(a, b)
+        spans.append((at, len(after)))
+        texts.append((at + head, at + len(part) - (len(empty) - head)))
+        before = after
+    return (spans, texts) if before == whole else None
+
+
+def _by_blocks(turns: list[Turn], whole: str, template: Template) -> tuple[list, list] | None:
+    """The same from blocks with one turn of history; None where their parts don't make the whole."""
     spans, texts, at = [], [], 0
     for begin in range(0, len(turns), BLOCK):
         held = turns[max(0, begin - 1) : begin]
@@ -84,7 +111,7 @@ def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int,
         for turn in turns[begin : begin + BLOCK]:
             after = template([*held, turn])
             if not after.startswith(before):
-                return whole, [], [], True
+                return None
             empty, a, b = (template([*held, (turn[0], text)])[len(before) :] for text in ("", "a", "b"))
             head, part = _common(a, b), after[len(before) :]
             tail = len(empty) - head
@@ -94,8 +121,8 @@ def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int,
             before, held = after, [*held, turn]
     blocks = range(0, len(turns), BLOCK)
     if at != len(whole) or any(not whole.startswith(_part(turns, i, template), spans[i][0]) for i in blocks):
-        return whole, [], [], True
-    return whole, spans, texts, False
+        return None
+    return spans, texts
 
 
 def _part(turns: list[Turn], i: int, template: Template) -> str:
