@@ -131,8 +131,6 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
         to = int(np.searchsorted(start, origin + _BLOCK))
         if end[to - 1] - origin > 2 * _BLOCK:
             to -= 1
-            word = data[start[to] : end[to]].tobytes()
-            out[to] = xxhash.xxh64_intdigest(word.translate(LOWER_BYTES) if lower else word, 7)
             if to == at:
                 at += 1
                 continue
@@ -144,10 +142,10 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
         h = (sums[e] - sums[s]) * down[s]
         out[at:to] = mix(h + (e - s).astype(np.uint64) * _SIZE)
         at = to
-        if at < len(start) and end[at] - start[at] > _BLOCK:
-            word = data[start[at] : end[at]].tobytes()
-            out[at] = xxhash.xxh64_intdigest(word.translate(LOWER_BYTES) if lower else word, 7)
-            at += 1
+    # The word's own length alone says which hash it gets.
+    for at in np.flatnonzero(end - start > _BLOCK):
+        word = data[start[at] : end[at]].tobytes()
+        out[at] = xxhash.xxh64_intdigest(word.translate(LOWER_BYTES) if lower else word, 7)
     return out
 
 
