@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import ann, chat, decontaminate, lattice, packing, quality, simhash, substring, token_counts, urls
+from feedloom.llm import ann, chat, decontaminate, lattice, lexical, licenses, packing, quality, resample, simhash, substring, token_counts, urls
 
 PIECES = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
@@ -97,6 +97,22 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their weight towards the benchmark's texts, and the rank of the twentieth part that is drawn."""
+    drawn = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License names and license wording in all documents."""
+    return licenses.labelled(licenses.scan(_table(spark, sf_dir, "documents")), ["doc_id"])
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for each benchmark item."""
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -108,9 +124,100 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_packing": op9_packing,
     "op10_lm_scores": op10_lm_scores,
+    "op11_resampling": op11_resampling,
+    "op12_license_scan": op12_license_scan,
+    "op13_lexical_search": op13_lexical_search,
 }
 
+def _template_rows() -> str:
+    """Each template as SQL: label, pattern over words with a space behind each, most words, words it can begin with, words it must have."""
+    rows = []
+    for label, markup in licenses.TEMPLATES.items():
+        must = sorted({part for part in licenses.parse(markup) if isinstance(part, str)})
+        rows.append(f"('{label}', '^{licenses.as_pattern(markup)}', {licenses.longest(markup)}, {licenses.beginnings(markup)}, {must})")
+    return ", ".join(rows)
+
+
+def _phrase_rows() -> str:
+    return ", ".join(f"({licenses.words_of(phrase)!r}, '{label}')" for phrase, label in licenses.PHRASES.items())
+
+
+#: Words of letters, digits and non-ASCII characters, A-Z lower-cased.
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op11_resampling": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+        runs AS (
+            SELECT r, array_to_string(w[i : i + k - 1], ' ') AS f
+            FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs CROSS JOIN (VALUES (1), (2), (3)) ks(k) WHERE len(w) >= k)
+        ), aims AS (
+            SELECT array_to_string(w[i : i + k - 1], ' ') AS f
+            FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT {_SQL_WORDS} AS w FROM benchmark) CROSS JOIN (VALUES (1), (2), (3)) ks(k) WHERE len(w) >= k)
+        ), counted AS (
+            SELECT f, sum(s) AS s, sum(t) AS t FROM (SELECT f, 1 AS s, 0 AS t FROM runs UNION ALL SELECT f, 0, 1 FROM aims) GROUP BY f
+        ), bytes AS (
+            SELECT list(c ORDER BY b) AS crc
+            FROM (SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM (SELECT unnest(range(256)) AS b))
+        ), placed AS (
+            SELECT f, s, t, xor(list_reduce(
+                list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295
+            ), 4294967295) % 10000 AS bucket
+            FROM (SELECT f, s, t, hex(encode(f)) AS h, crc FROM counted CROSS JOIN bytes)
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln((t::DOUBLE + 1) * (all_s + 10000) / ((s::DOUBLE + 1) * (all_t + 10000))))::BIGINT AS gain
+            FROM (SELECT bucket, sum(s) AS s, sum(t) AS t FROM placed GROUP BY bucket), (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM placed)
+        ), sums AS (
+            SELECT r, sum(gain)::BIGINT AS weight, count(*) AS n FROM runs JOIN placed USING (f) JOIN gains USING (bucket) GROUP BY r
+        ), scored AS (
+            SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256(concat('42:', doc_id)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM docs LEFT JOIN sums USING (r)
+        ), drawn AS (
+            SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (r)
+    """,
+    "op12_license_scan": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+        phrases(words, label) AS (VALUES {_phrase_rows()}),
+        templates(label, pattern, most, starts, must) AS (VALUES {_template_rows()}),
+        places AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+        base AS (
+            SELECT r, i, len(words) AS n, label FROM (SELECT r, i, words, label FROM places JOIN phrases ON word = words[1]) JOIN docs USING (r) WHERE w[i : i + len(words) - 1] = words
+        ), begun AS (SELECT label, pattern, most, must, unnest(starts) AS word FROM templates),
+        tries AS (
+            SELECT r, i, label, regexp_extract(array_to_string(w[i : i + most - 1], ' ') || ' ', pattern) AS run
+            FROM (SELECT r, i, label, pattern, most, must FROM places JOIN begun USING (word)) JOIN docs USING (r) WHERE list_has_all(w[i : i + most - 1], must)
+        ), runs AS (
+            SELECT r, i, length(run) - length(replace(run, ' ', '')) AS n, label FROM tries WHERE run <> ''
+        ), covered AS (
+            SELECT r, count(DISTINCT p) AS n_covered FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT r, i, n FROM base UNION ALL SELECT r, i, n FROM runs)) GROUP BY r
+        ), named AS (
+            SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r
+        ), both_sets AS (
+            SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM runs) GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+            coalesce(labels, '') AS labels, coalesce(n_covered, 0)::DOUBLE / greatest(len(w), 1) AS score
+        FROM docs LEFT JOIN named USING (r) LEFT JOIN both_sets USING (r) LEFT JOIN covered USING (r)
+    """,
+    "op13_lexical_search": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+        sizes AS (SELECT r, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+        totals AS (SELECT count(*) AS n_all, sum(n)::BIGINT AS l_all FROM sizes),
+        tfs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY r, term),
+        weights AS (SELECT term, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), totals),
+        items AS (SELECT row_number() OVER () AS q, item_id, {_SQL_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        asked AS (SELECT DISTINCT q, unnest(w) AS term FROM items),
+        scored AS (
+            SELECT q, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_all) // l_all))))::BIGINT AS score
+            FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (r), totals GROUP BY q, r
+        ), placed AS (
+            SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored JOIN docs USING (r) WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM placed JOIN items USING (q) WHERE rank <= 50
+    """,
     "op1_decontamination": r"""
         WITH docs AS (
             SELECT row_number() OVER () AS r, doc_id,
