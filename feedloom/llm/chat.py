@@ -4,14 +4,14 @@ The template is a black box from turns to text. Rendering one turn more must lea
 what was there before as it was; then the new part is that turn's span. Where it
 doesn't, the template rewrites history and the conversation is marked so. Two more
 renderings of the turn, with one-letter texts, show where inside the span its text
-begins. Prefixes grow inside blocks of ``BLOCK`` turns with one turn of overlap, and where the
-parts put together equal one rendering of the whole, a conversation of n turns
-costs about n * BLOCK renderings of a turn. Where they don't, or a block can't be rendered alone, all
-prefixes are rendered from the first turn on (about n * n renderings of a turn), and only they tell whether history is rewritten.
+begins. All prefixes start at the first turn, whatever the number of turns, so a black-box template costs about
+2 * n * n renderings of a turn for a conversation of n turns. A template that is an ``Appending`` renders each turn by itself, so its
+prefixes grow by one part and cost what the text costs.
 
 Turns are ordered by turn, then role, then text; nulls count as empty text, a null turn
 comes first, a null role reads as empty. A null conv_id is a conversation of its own.
-Repeated rows are turns of their own. An empty table gives no rows.
+Repeated rows are turns of their own, equal rows in any order. Very long texts are rendered whole; a conversation is one text and so one task's work, and
+only one is held at a time. An empty table gives no rows. Other columns than the four are never read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 
 from feedloom.session import ship_package
 
-BLOCK = 32
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
@@ -51,9 +50,27 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2\3", text)
 
 
+class Appending:
+    """A template that renders every turn by itself and puts the parts one behind the other."""
+
+    def __init__(self, turn: Callable[[str, str], str]) -> None:
+        self.turn = turn
+
+    def __call__(self, turns: list[Turn]) -> str:
+        return "".join(self.turn(role, text) for role, text in turns)
+
+
+def _marked(role: str, text: str) -> str:
+    return f"<|{escape(role).replace('%', '%25').replace('|', '%7C')}|>{escape(text)}</s>"
+
+
 def marked_turns(turns: list[Turn]) -> str:
-    """The built-in template: ``<|role|>``, the escaped text, ``</s>`` for each turn."""
-    return "".join(f"<|{escape(role).replace('%', '%25').replace('|', '%7C')}|>{escape(text)}</s>" for role, text in turns)
+    """The built-in template, a black box like any other: ``<|role|>``, the escaped text, ``</s>`` for each turn."""
+    return "".join(_marked(role, text) for role, text in turns)
+
+
+#: The same, known to append; for conversations of many thousands of turns.
+appended_turns = Appending(_marked)
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -77,60 +94,44 @@ def _common(a: str, b: str) -> int:
 
 def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
     """The formatted text, each turn's span and the span of its text in it, and whether the template rewrites history."""
+    found = _by_parts(turns, template) if isinstance(template, Appending) else _by_prefixes(turns, template)
     whole = template(turns)
-    try:
-        found = _by_blocks(turns, whole, template) if len(turns) > BLOCK else None
-    except Exception:  # a template may refuse turns that don't start the conversation
-        found = None
-    found = found or _by_prefixes(turns, whole, template)
     return (whole, *found, False) if found else (whole, [], [], True)
 
 
-def _by_prefixes(turns: list[Turn], whole: str, template: Template) -> tuple[list, list] | None:
+def _text_in(part: str, empty: str, a: str, b: str) -> tuple[int, int]:
+    """Where a turn's text lies in its part, from the parts that an empty text and two one-letter texts make."""
+    head = _common(a, b)
+    return head, len(part) - (len(empty) - head)
+
+
+def _by_parts(turns: list[Turn], template: Appending) -> tuple[list, list]:
+    """The spans of turns and texts where each prefix is the one before and a part more."""
+    spans, texts, at = [], [], 0
+    for role, text in turns:
+        part = template.turn(role, text)
+        a, b = _text_in(part, *(template.turn(role, x) for x in ("", "a", "b")))
+        spans.append((at, at + len(part)))
+        texts.append((at + a, at + b))
+        at += len(part)
+    return spans, texts
+
+
+def _by_prefixes(turns: list[Turn], template: Template) -> tuple[list, list] | None:
     """The spans of turns and texts from all prefixes; None where a turn more changes what was there before."""
     spans, texts, before = [], [], template([]) if not turns else ""
     for i, (role, _) in enumerate(turns):
-        after = whole if i + 1 == len(turns) else template(turns[: i + 1])
+        after = template(turns[: i + 1])
         if not after.startswith(before):
             return None
         at, part = len(before), after[len(before) :]
-        empty, a, b = (template([*turns[:i], (role, text)])[at:] for text in ("", "a", "b"))
-        head = _common(a, b)
+        a, b = _text_in(part, *(template([*turns[:i], (role, x)])[at:] for x in ("", "a", "b")))
         spans.append((at, len(after)))
-        texts.append((at + head, at + len(part) - (len(empty) - head)))
+        texts.append((at + a, at + b))
         before = after
-    return (spans, texts) if before == whole else None
-
-
-def _by_blocks(turns: list[Turn], whole: str, template: Template) -> tuple[list, list] | None:
-    """The same from blocks with one turn of history; None where their parts don't make the whole."""
-    spans, texts, at = [], [], 0
-    for begin in range(0, len(turns), BLOCK):
-        held = turns[max(0, begin - 1) : begin]
-        before = template(held) if held else ""
-        for turn in turns[begin : begin + BLOCK]:
-            after = template([*held, turn])
-            if not after.startswith(before):
-                return None
-            empty, a, b = (template([*held, (turn[0], text)])[len(before) :] for text in ("", "a", "b"))
-            head, part = _common(a, b), after[len(before) :]
-            tail = len(empty) - head
-            spans.append((at, at + len(part)))
-            texts.append((at + head, at + len(part) - tail))
-            at += len(part)
-            before, held = after, [*held, turn]
-    blocks = range(0, len(turns), BLOCK)
-    if at != len(whole) or any(not whole.startswith(_part(turns, i, template), spans[i][0]) for i in blocks):
-        return None
     return spans, texts
 
 
-def _part(turns: list[Turn], i: int, template: Template) -> str:
-    """What a block of turns adds to one turn of history."""
-    held = turns[max(0, i - 1) : i]
-    return template([*held, *turns[i : i + BLOCK]])[len(template(held)) if held else 0 :]
-
-
 def format_conversations(conversations: DataFrame, template: Template = marked_turns, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Per conversation: the formatted text, the spans of its turns, and the loss mask as spans of the trained texts (code points).
 

@@ -43,11 +43,12 @@ def connected(links: DataFrame, nodes: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         # Large star: link what is larger than a node to the smallest of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        # Written, the aggregated side leaves the planner free to split a centre's links.
+        low = settle(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "lowest-large")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = settle(large.distinct(), "large-star")
         # Small star: link a node and its smaller neighbours to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        low = settle(large.groupBy("u").agg(F.min("v").alias("low")), "lowest-small")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v")
         after = settle(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), "small-star")
         if _sums(after) == _sums(edges):

@@ -5,10 +5,12 @@ best-fit, largest first: each piece goes to the open bin with the least room tha
 none does, a bin is opened with the length whose cost per token it can fill is least. Every block
 tries each permitted length as the largest to open, downsizes every bin to the smallest length that holds its contents,
 and keeps the cheapest outcome. Blocks of about ``BLOCK`` documents are packed independently, so a block
-leaves a few part-filled bins and no block grows with the input.
+leaves a few part-filled bins and no block grows with the input. A document's block follows from a hash of its id and tokens, so
+the packing is the same under any partitioning.
 
 Documents without tokens (null and empty texts) come back once, without a bin. Repeated rows are
-packed each. Null ids are packed as others. An empty table gives no rows.
+packed each. Null ids are packed as others. Of pieces with equal sizes the one with the smaller id goes first (nulls before all). Very
+long documents are cut, never dropped. An empty table gives no rows. Only ids and token counts are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -102,10 +104,11 @@ def pack(docs: DataFrame, tokens: str = "n_tokens", id_column: str = "doc_id", l
     ship_package(docs.sparkSession)
     lengths = tuple(sorted(set(lengths)))
     counted = docs.select(F.col(quoted(id_column)).cast("long").alias("id"), F.coalesce(F.col(quoted(tokens)).cast("long"), F.lit(0)).alias("n"))
-    # Written once, the row numbers and with them the blocks stay what they are.
-    sizes = settle(counted.withColumn("row", F.monotonically_increasing_id()), "token-sizes")
-    blocks = max(1, -(-sizes.count() // BLOCK))
-    dealt = sizes.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    # Equal rows are counted and numbered, so blocks follow from the rows alone, not from how they were partitioned.
+    sizes = settle(counted.groupBy("id", "n").agg(F.count(F.lit(1)).alias("times")), "token-sizes")
+    blocks = max(1, -(-(sizes.agg(F.sum("times")).first()[0] or 0) // BLOCK))
+    each = sizes.select("id", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("row"))
+    dealt = each.withColumn("block", F.pmod(F.xxhash64("id", "n", "row"), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block", F.desc("n"), "id", "row").select("block", "id", "n")
 
     def run(batches) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,8 @@ takes a sample of at most ``SAMPLE`` labelled rows (those with the smallest hash
 and goes over it ``EPOCHS`` times in one task; scoring reads every whole text.
 
 Null and empty texts have the score of the bias alone. Labels that are null, or whose document is
-missing, are left out. Without any labels every score is a half. Repeated rows each get their result.
+missing, are left out. Without any labels every score is a half. An id is learned from once, however often its rows or its labels
+are repeated; repeated rows each get their result. Very long texts are read whole. A kept column named ``score`` gives way to the result.
 An empty table gives no rows.
 """
 
@@ -74,32 +75,42 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     """The weights learned from the labelled rows that ``train`` (over doc_id) admits."""
     ship_package(docs.sparkSession)
     chosen = labels.where(train & F.col(quoted(label)).isNotNull() & F.col("doc_id").isNotNull())
-    chosen = chosen.select("doc_id", F.col(quoted(label)).cast("int").alias("label"), F.xxhash64("doc_id").alias("order"))
+    # One row per id, so that no id counts twice: of labels that disagree the smaller one.
+    chosen = chosen.groupBy("doc_id").agg(F.min(F.col(quoted(label)).cast("int")).alias("label")).withColumn("order", F.xxhash64("doc_id"))
     # Most of what can't be among the smallest hashes goes before rows are ordered.
     share = min(1.0, (1.2 * sample + 200) / max(1, chosen.count()))
-    chosen = chosen.where(F.pmod("order", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod("order", F.lit(1 << 30)), "order", "doc_id", "label").limit(sample)
+    chosen = chosen.where(F.pmod("order", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod("order", F.lit(1 << 30)), "order").limit(sample)
     # The sample is at most ``sample`` rows of three numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "doc_id", "label", "text").repartition(1)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "label", F.xxhash64("text").alias("print"), "text")
 
-    def train_on(batches):
-        found = []
+    def vectors(batches):
         for batch in batches:
             for part, texts in pieces(batch, batch.column(3)):
                 places, first = features(texts)
-                for i, row in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)):
-                    at, count = np.unique(places[first[i] : first[i + 1]], return_counts=True)
-                    x = SCALE * count / max(1, count.sum())
-                    found.append((row, len(at), np.append(at, 1 << BITS), np.append(x, 1.0)))
-        found.sort(key=lambda f: (f[0], f[1], f[3].tolist()))
+                found = [np.unique(places[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
+                lists = [pa.array([f[i].tolist() for f in found], pa.list_(kind)) for i, kind in ((0, pa.int32()), (1, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], names=["order", "label", "print", "at", "count"])
+
+    # Features are made where the texts are; of several rows with one id the text with the smallest hash counts, so the task below gets a vector per id.
+    made = rows.mapInArrow(vectors, "order long, label int, print long, at array<int>, count array<long>")
+    made = made.groupBy("order").agg(F.min("label").alias("label"), F.min_by(F.struct("at", "count"), "print").alias("x")).select("order", "label", "x.*")
+
+    def train_on(batches):
+        found = []
+        for batch in batches:
+            for order, y, at, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = SCALE * np.array(count, np.int64) / max(1, sum(count))
+                found.append((order, y, np.append(np.array(at, np.int64), 1 << BITS), np.append(x, 1.0)))
+        found.sort(key=lambda f: f[0])
         model = FollowTheLeader(1 << BITS)
         for _ in range(EPOCHS):
-            for (_, _, y), _, at, x in found:
+            for _, y, at, x in found:
                 model.learn(at, x, y)
         weights = model.weights(slice(None)).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
     # One task, one row: the sample's bound is the bound of both.
-    fitted = rows.mapInArrow(train_on, "weights binary").first()
+    fitted = made.repartition(1).mapInArrow(train_on, "weights binary").first()
     return np.frombuffer(fitted["weights"]) if fitted else np.zeros((1 << BITS) + 1)
 
 

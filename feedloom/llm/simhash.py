@@ -12,7 +12,7 @@ of n stay near n.
 Null and empty texts have no words and fingerprint zero, which links like any other; texts
 with fewer words than a shingle have one shingle of all words. Rows with equal
 fingerprints belong together. A null id never is a component's name unless all its members have none.
-An empty table gives no rows.
+An empty table gives no rows. Very long texts are read whole. A kept column named ``fp`` or ``component_id`` comes back beside the result of that name.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.llm.components import connected, spanning_forest
-from feedloom.llm.words import LOWER_BYTES, UNSPACED, Words, map_texts
+from feedloom.llm.words import LOWER_BYTES, UNSPACED, Words, map_texts, quoted
 from feedloom.session import settle, ship_package
 
 SHINGLE = 3
@@ -201,7 +201,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, radius: int = RADIUS, id_column: str = "doc_id") -> DataFrame:
     """The kept columns of every row, its fingerprint ``fp`` and ``component_id``, the smallest id reachable over links."""
     keep = list(dict.fromkeys([*(keep or []), id_column]))
-    held = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    held = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = settle(fingerprints(docs, keep, shingle).select(*held, "fp"), "fingerprints")
     lead = rows.groupBy("fp").agg(F.min(f"k{keep.index(id_column)}").alias("lead"))
     groups = settle(lead, "fingerprint-groups")

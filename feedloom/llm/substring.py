@@ -64,6 +64,7 @@ def stretches(words: Words) -> tuple[np.ndarray, ...]:
 
 
 _FOUND = "anchor long, class long, doc long, print long, first int, n int"
+_WINDOWS = f"{_FOUND}, index int, window long"
 
 
 def _find(batches):
@@ -86,12 +87,12 @@ def _extend(batches):
             windows = rolling(words.hash, LENGTH, _WINDOW_BASE)
             listed = part.column(1)
             row = np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy(zero_copy_only=False))
-            anchor, class_, lead, first, n = (f.to_numpy(zero_copy_only=False) for f in listed.flatten().flatten())
+            anchor, class_, doc, print_, first, n = (f.to_numpy(zero_copy_only=False) for f in listed.flatten().flatten())
             at = words.first[row] + first
             index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            columns = [np.repeat(anchor, n), np.repeat(class_, n), np.repeat(lead, n), index.astype(np.int32), windows[np.repeat(at, n) + index].view(np.int64)]
+            columns = [*(np.repeat(c, n) for c in (anchor, class_, doc, print_, first, n)), index.astype(np.int32), windows[np.repeat(at, n) + index].view(np.int64)]
             for a in range(0, len(index), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in columns], names=["anchor", "class", "lead", "index", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in columns], names=_WINDOWS.replace(",", "").split()[::2])
 
 
 _KEPT = [
@@ -145,34 +146,32 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
     texts = docs.select(doc.alias("doc"), print_.alias("print"), F.col(quoted(text)).alias("text"))
     found = texts.mapInArrow(_find, _FOUND)
     ends = found.select("anchor", "class", "doc").groupBy("anchor").agg(
-        F.min("doc").alias("low"), F.max("doc").alias("high"), F.min_by("class", "doc").alias("first_class"), F.min("class").alias("one"), F.max("class").alias("other")
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("class").alias("one"), F.max("class").alias("other")
     )
     # Written tables on the aggregated side of the joins leave the planner free to split anchors that many rows share.
-    ends = settle(ends.where("low < high").select("anchor", "low", "first_class", (F.col("one") != F.col("other")).alias("several")), "anchors")
+    ends = settle(ends.where("low < high").select("anchor", (F.col("one") != F.col("other")).alias("several")), "anchors")
     shared = settle(found.join(ends, "anchor"), "shared-anchors")
-    # What has the same words as the anchor's smallest document is repeated from end to end, and that document itself isn't.
-    alone = shared.where("class = first_class AND doc > low").select("doc", "print", "first", "n", F.lit(-1).cast("long").alias("mask"))
-
-    mixed = shared.where("several")
-    classes = settle(mixed.groupBy("anchor", "class").agg(F.min(F.struct("doc", "print", "first", "n")).alias("one")), "classes")
-    listed = classes.select(
-        F.col("one.doc").alias("doc"), F.col("one.print").alias("print"),
-        F.struct("anchor", "class", F.col("one.doc").alias("lead"), F.col("one.first").alias("first"), F.col("one.n").alias("n")).alias("stretch"),
-    )
-    listed = listed.groupBy("doc", "print").agg(F.collect_list("stretch").alias("stretches"))
+
+    # Each stretch beside the first of its class: one that stands in a later document is repeated from end to end.
+    row = F.struct("doc", "print", "first", "n")
+    classes = settle(shared.groupBy("anchor", "class").agg(F.min(row).alias("lead")), "classes")
+    placed = settle(shared.join(classes, ["anchor", "class"]).withColumn("leads", row == F.col("lead")), "class-members")
+    places = ["doc", "print", "first", "n", "mask"]
+    later = placed.where("doc > lead.doc").withColumn("mask", F.lit(-1).cast("long"))
+
     # Rows that are equal in id and text would extend the same stretches again; their windows' minima don't change.
+    listed = placed.where("leads AND several").groupBy("doc", "print").agg(F.collect_set(F.struct("anchor", "class", "doc", "print", "first", "n")).alias("stretches"))
     windows = texts.join(listed, ["doc", "print"]).select("text", "stretches")
-    windows = settle(windows.mapInArrow(_extend, "anchor long, class long, lead long, index int, window long"), "windows")
-    lowest = windows.groupBy("anchor", "window").agg(F.min("lead").alias("lowest"), F.max("lead").alias("highest"))
+    windows = settle(windows.mapInArrow(_extend, _WINDOWS), "windows")
+    lowest = windows.groupBy("anchor", "window").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest"))
     lowest = settle(lowest.where("lowest < highest").select("anchor", "window", "lowest"), "lowest")
-    late = windows.join(lowest, ["anchor", "window"]).where("lowest < lead")
-    masks = late.groupBy("anchor", "class").agg(F.bit_or(F.expr("shiftleft(1L, index)")).alias("mask"))
-
-    leads = settle(classes.select("anchor", "class", F.col("one.doc").alias("lead")).join(masks, ["anchor", "class"], "left"), "leads")
-    hit = mixed.where("class != first_class AND doc > low").join(leads, ["anchor", "class"]).select(
-        "doc", "print", "first", "n", F.when(F.col("doc") > F.col("lead"), F.lit(-1).cast("long")).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")
-    )
-    hit = hit.where("mask != 0").unionByName(alone).groupBy("doc", "print").agg(F.collect_set(F.struct("first", "n", "mask")).alias("_hit"))
+    late = windows.join(lowest, ["anchor", "window"]).where("lowest < doc")
+    # What was extended carries its place along.
+    extended = settle(late.groupBy("anchor", "class", "doc", "print", "first", "n").agg(F.bit_or(F.expr("shiftleft(1L, index)")).alias("mask")), "extended")
+    # Further places of the class in the document that was extended.
+    again = placed.where("NOT leads AND doc = lead.doc").join(extended.select("anchor", "class", "mask"), ["anchor", "class"])
+    hit = extended.select(places).unionByName(later.select(places)).unionByName(again.select(places))
+    hit = hit.groupBy("doc", "print").agg(F.collect_set(F.struct("first", "n", "mask")).alias("_hit"))
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in keep], F.lit(1).alias("_one")).alias("_row"), F.col(quoted(text)).alias("_text"), doc.alias("doc"), print_.alias("print"))
     held = rows.join(hit, ["doc", "print"], "left").select("_row", "_text", "_hit")
     schema = T.StructType([held.schema["_row"], *[T.StructField("_" + f.name, f.dataType) for f in _KEPT]])

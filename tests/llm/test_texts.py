@@ -141,8 +141,11 @@ def test_long_conversations_and_history():
     counted = lambda some: "".join(f"{len(some)}{t}" for _, t in some)
     last_only = lambda some: "".join(f"<{t if i == len(some) - 1 else ''}>" for i, (_, t) in enumerate(some))
     far_back = lambda some: "".join(f"<{t}{'!' if i >= 40 else ''}>" for i, (_, t) in enumerate(some))
-    for template in (counted, last_only, far_back):
+    at_fifty = lambda some: "".join(f"<{t.upper() if len(some) == 50 else t}>" for _, t in some)
+    for template in (counted, last_only, at_fifty):
         assert chat.locate(turns, template)[3]
+    whole, _, texts, rewrites = chat.locate(turns, far_back)
+    assert not rewrites and [whole[a:b].rstrip("!") for a, b in texts] == [t for _, t in turns]
     assert chat.locate([], chat.marked_turns) == ("", [], [], False)
 
 
