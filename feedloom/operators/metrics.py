@@ -210,3 +210,23 @@ def run_spans(readings: DataFrame, keys: list[str], micros: str, gap_us: int) ->
     return spans.groupBy(*keys, "_span").agg(
         F.min("_from").alias("start_us"), F.max("_to").alias("last_us"), F.sum("_n").alias("readings")
     ).drop("_span")
+
+
+def visible_values(readings: DataFrame, keys: list[str], micros: str, value: str, ident: str, step_us: int, stale_us: int) -> DataFrame:
+    """What a panel shows at each refresh: every series' latest reading that is not older than ``stale_us``.
+
+    Refreshes lie on the grid of ``step_us``; those without a reading of their own show an earlier one with its age, and
+    those beyond its staleness show nothing (no row). Readings between two refreshes are first combined
+    (map-side, whatever a series' share of the rows), so a series has at most one row per refresh before it is
+    ordered, and it is ordered in stretches of refreshes. Equal times go by id; a null time is never visible, null series are a series.
+    """
+    timed = readings.where(F.col(micros).isNotNull()).withColumn("_cell", F.ceil(F.col(micros) / F.lit(step_us)).cast("long"))
+    newest = timed.groupBy(*keys, "_cell").agg(F.max(micros).alias("_at"), F.max_by(value, time_order(F.col(micros), F.col(ident))).alias("_value"))
+    # Backwards, the refresh that takes over is the row before.
+    back = newest.withColumn("_back", -F.col("_cell"))
+    taken = bucketed_window(back, keys, F.shiftright("_back", 12), ["_back"], previous={"_next": "_back"})
+    last = F.floor((F.col("_at") + F.lit(stale_us)) / F.lit(step_us)).cast("long")
+    last = F.least(last, F.coalesce(-F.col("_next") - 1, last))
+    shown = taken.withColumn("_last", last).where("_last >= _cell").withColumn("_refresh", F.explode(F.sequence("_cell", "_last")))
+    refresh = F.col("_refresh") * F.lit(step_us)
+    return shown.select(*keys, refresh.alias("refresh_us"), F.col("_value").alias("visible_value"), (refresh - F.col("_at")).alias("age_us"))

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions import fields, images, labels, text, udfs
-from feedloom.operators import batching, metrics, numbering, pairing, quality, sharding, shuffle
+from feedloom.operators import batching, greedy, metrics, numbering, pairing, quality, sharding, shuffle
 from feedloom.plans import feeds, views
 from feedloom.plans.views import (
     BATCH, BLOCKS, BUFFER, BYTE_LIMIT, DAY_US, EXTRA_LOADER, GAP_US, LOADERS, PARQUET_ROWS, SEED, STAGES, TAR_ROWS, WORKERS,
 )
 from feedloom.schemas import BATCH_SIZES, MEMORY_BANDS, ROW_CAP, SMOKE_BATCHES, UTIL_BANDS
 from feedloom.session import fresh_dir, settle
-from feedloom.sources import corpus, sinks
+from feedloom.sources import blocks, corpus, sinks
 from feedloom.sources.indexed import fetch_samples
 from feedloom.streaming import gauges as live
 
@@ -109,6 +109,37 @@ def random_access(spark, d):
     return got.select(F.col("__id__").alias("doc_id"), F.md5(text.to_utf8("text")).alias("text_md5"))
 
 
+@query
+def pushed_slices(spark, d):
+    """Three id ranges of an indexed layout, and the same keys of a tar layout; only their shards are opened."""
+    indexed, tar = _indexed_written(spark, d), _tar_written(spark, d)
+    n, out = views.ids(spark, d).count(), None
+    for start, end in ((n // 10, n // 10 + 100), (n // 2, n // 2 + 40), (n - 30, n)):
+        ids = (start, end - 1)
+        by_id = corpus.read_indexed(spark, indexed, ids).select(F.lit("indexed").alias("format"), F.col("__id__").alias("doc_id"), F.md5(text.to_utf8("text")).alias("text_md5"))
+        by_key = corpus.read_tar(spark, tar, ids=ids).select(F.lit("tar").alias("format"), F.col("__key__").cast("long").alias("doc_id"), F.md5(text.to_utf8("txt")).alias("text_md5"))
+        part = by_id.unionByName(by_key).withColumn("slice_start", F.lit(start).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def feed_blocks(spark, d):
+    """Two epochs of a Parquet layout in block order: a partition per row group, then as many as there are workers."""
+    where = fresh_dir(spark, "parquet")
+    sinks.write_parquet_shards(views.samples(spark, d).select("__id__", "text"), where, PARQUET_ROWS)
+    splits, out = blocks.block_splits(spark, f"{where}/data"), None
+    wanted = T.StructType([T.StructField("__id__", T.LongType()), T.StructField("text", T.StringType())])
+    for epoch in (0, 1):
+        fed = blocks.read_blocks(blocks.block_order(splits, SEED, epoch), wanted, WORKERS if epoch else None)
+        part = fed.select(
+            F.lit(epoch).cast("long").alias("epoch"), F.col("__id__").alias("doc_id"), F.col("__block__").alias("block_rank"),
+            F.col("__place__").alias("place"), F.md5(text.to_utf8("text")).alias("text_md5"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def mapped_samples(spark, d):
     """A user function over every stored sample of a tar layout."""
@@ -201,6 +232,13 @@ def byte_shards(spark, d):
     return _byte_manifest(spark, d)
 
 
+@query
+def greedy_shards(spark, d):
+    """The strict byte limit over the whole corpus as one sequential rule, computed by ranges of 64 ids."""
+    sizes = settle(views.samples(spark, d).select("__id__", text.utf8_bytes("text").alias("bytes")), "sizes")
+    return greedy.greedy_manifest(sizes, "__id__", "bytes", BYTE_LIMIT, bits=6)
+
+
 @query
 def resolve_samples(spark, d):
     """Id to shard and place, through the byte manifest and by arithmetic."""
@@ -808,6 +846,13 @@ def gauge_latest(spark, d):
     return readings.groupBy(*SERIES, "refresh").agg(F.max_by("value", metrics.time_order(views.micros(), F.col("event_id"))).alias("last_value"))
 
 
+@query
+def gauge_visible(spark, d):
+    """What each series shows at every refresh of a minute's grid, with readings up to five minutes old."""
+    readings = views.gauges(spark, d).withColumn("us", views.micros())
+    return metrics.visible_values(readings, SERIES, "us", "value", "event_id", 60_000_000, 300_000_000)
+
+
 @query
 def run_spans(spark, d):
     return metrics.run_spans(views.batch_log(spark, d), ["run"], "got_us", GAP_US)

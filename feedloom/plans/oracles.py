@@ -84,6 +84,20 @@ ORACLES: dict[str, str] = {
     "indexed_roundtrip": """SELECT doc_id, CAST(to_json({'lang': lang, 'source': source}) AS VARCHAR) AS meta, md5(text) AS text_md5 FROM documents""",
     "indexed_greedy": "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS oversized, count(*) AS covered_ids FROM documents",
     "random_access": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "pushed_slices": """WITH n AS (SELECT count(*) AS n FROM documents), cuts AS (
+            SELECT n // 10 AS slice_start, n // 10 + 100 AS slice_end FROM n UNION ALL SELECT n // 2, n // 2 + 40 FROM n UNION ALL SELECT n - 30, n FROM n)
+        SELECT unnest(['indexed', 'tar']) AS format, doc_id, md5(text) AS text_md5, slice_start FROM documents JOIN cuts ON doc_id >= slice_start AND doc_id < slice_end""",
+    "feed_blocks": f"""WITH t AS (SELECT *, count(*) OVER () AS n, greatest(1, count(*) OVER () // {PARQUET_ROWS}) AS n_shards FROM documents),
+        s AS (SELECT doc_id, text, least(doc_id // (n // n_shards), n_shards - 1) AS block, unnest([0, 1])::BIGINT AS epoch FROM t),
+        b AS (SELECT epoch, block, row_number() OVER (PARTITION BY epoch ORDER BY md5('{SEED}:' || epoch || ':' || block), block) - 1 AS block_rank
+            FROM (SELECT DISTINCT epoch, block FROM s))
+        SELECT epoch, doc_id, block_rank, row_number() OVER (PARTITION BY epoch ORDER BY block_rank, doc_id) - 1 AS place, md5(text) AS text_md5 FROM s JOIN b USING (epoch, block)""",
+    "greedy_shards": f"""WITH RECURSIVE sized AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, coalesce(strlen(text), 0)::BIGINT AS size FROM documents),
+        walk AS (
+            SELECT i, doc_id, size, 0::BIGINT AS shard_id, size AS used FROM sized WHERE i = 1
+            UNION ALL SELECT s.i, s.doc_id, s.size, shard_id + (used + s.size > {BYTE_LIMIT})::BIGINT, CASE WHEN used + s.size > {BYTE_LIMIT} THEN s.size ELSE used + s.size END
+            FROM walk JOIN sized s ON s.i = walk.i + 1)
+        SELECT shard_id, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS bytes, min(doc_id) AS first_id, max(doc_id) AS last_id FROM walk GROUP BY shard_id""",
     "mapped_samples": """SELECT printf('%08d', doc_id) AS sample_key, len(lines)::BIGINT AS n_lines, list_max(list_transform(lines, lambda x: length(x))) AS longest_line
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)""",
     "layout_pairs": """SELECT printf('%08d', doc_id) AS sample_key, concat_ws(':', quality, toxic) AS cls, md5(text) AS text_md5
@@ -267,6 +281,9 @@ ORACLES: dict[str, str] = {
     "gauge_windows": _with("gauges", body="""SELECT loader, dataset, batch_size, us // 1000000 AS second, avg(value) AS mean_value, max(value) AS max_value,
         count(value) AS readings FROM gauges GROUP BY ALL"""),
     "gauge_latest": _with("gauges", body="""SELECT loader, dataset, batch_size, us // 5000000 AS refresh, arg_max(value, (ts, event_id)) AS last_value FROM gauges GROUP BY ALL"""),
+    "gauge_visible": _with("gauges", body=""", seen AS (
+            SELECT *, unnest(range((us + 59999999) // 60000000, (us + 300000000) // 60000000 + 1)) * 60000000 AS refresh_us FROM gauges)
+        SELECT loader, dataset, batch_size, refresh_us, arg_max(value, (us, event_id)) AS visible_value, refresh_us - max(us) AS age_us FROM seen GROUP BY loader, dataset, batch_size, refresh_us"""),
     "run_spans": _with("batch_log", body=f""", f AS (SELECT run, event_id, got_us, coalesce(got_us - lag(got_us) OVER w >= {GAP_US}, false)::BIGINT AS starts
             FROM batch_log WINDOW w AS (PARTITION BY run ORDER BY got_us, event_id)),
         g AS (SELECT *, sum(starts) OVER (PARTITION BY run ORDER BY got_us, event_id) AS span FROM f)

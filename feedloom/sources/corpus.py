@@ -45,17 +45,24 @@ def read_image_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.struct(F.col("content").alias("bytes"), F.col("path")).alias("image"), label.alias("label"))
 
 
-def read_tar(spark: SparkSession, path: str, fields: str = "txt string", shard: bool = False) -> DataFrame:
-    """Tar shards as rows: ``__key__``, the fields asked for, optionally shard name and place in it."""
+def read_tar(spark: SparkSession, path: str, fields: str = "txt string", shard: bool = False, ids: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """Tar shards as rows: ``__key__``, the fields asked for, optionally shard name and place in it; of a range of ids only its shards are opened."""
     register_sources(spark)
     extra = "`__shard__` string, `__place__` long, " if shard else ""
     schema = f"`__key__` string, {extra}{fields}".rstrip(", ")
-    return spark.read.format("tar_shards").schema(schema).option("path", path).load()
+    return _between(spark.read.format("tar_shards").schema(schema).option("path", path), ids).load()
 
 
-def read_indexed(spark: SparkSession, path: str) -> DataFrame:
+def read_indexed(spark: SparkSession, path: str, ids: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """Indexed shards; of an id range (both ends inside) only its shards are opened, and read from its first sample on."""
     register_sources(spark)
-    return spark.read.format("indexed_shards").option("path", path).load()
+    return _between(spark.read.format("indexed_shards").option("path", path), ids).load()
+
+
+def _between(reader, ids: tuple[int | None, int | None]):
+    for name, value in zip(("first_id", "last_id"), ids, strict=True):
+        reader = reader if value is None else reader.option(name, int(value))
+    return reader
 
 
 def read_parquet_shards(spark: SparkSession, path: str, blocks: int | None = None) -> DataFrame:

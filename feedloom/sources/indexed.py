@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from feedloom.operators.sharding import locate
 from feedloom.schemas import INDEXED_SHARD_FORMAT
 from feedloom.session import ship_package
-from feedloom.sources.shardfiles import RollingWriter, RowChunks, ShardFile, open_fs, read_text, write_text
+from feedloom.sources.shardfiles import SHARD_LIST, IdRange, RollingWriter, RowChunks, ShardFile, exists, fenced_shards, open_fs, read_text, write_text
 
 INDEX = "index.json"
 _TYPES = {"int": T.LongType(), "str": T.StringType(), "bytes": T.BinaryType()}
@@ -88,12 +88,20 @@ def decode_record(data: bytes, columns: list[tuple[str, str]]) -> dict:
 
 
 class IndexedReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType):
-        self.path, self.schema = path, schema
+    def __init__(self, path: str, schema: T.StructType, ids: IdRange):
+        self.path, self.schema, self.ids = path, schema, ids
 
     def partitions(self):
         files, root = open_fs(self.path)
-        return [ShardFile(s["raw_data"]["basename"]) for s in json.loads(read_text(files, f"{root}/{INDEX}"))["shards"]]
+        if exists(files, f"{root}/{SHARD_LIST}"):
+            return fenced_shards(self.path, self.ids)
+        out, first = [], 0
+        for s in json.loads(read_text(files, f"{root}/{INDEX}"))["shards"]:
+            begin, end = self.ids.places(first, s["samples"])
+            if begin < end:
+                out.append(ShardFile(s["raw_data"]["basename"], first, s["samples"]))
+            first += s["samples"]
+        return out
 
     def read(self, partition):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -101,15 +109,23 @@ class IndexedReader(DataSourceReader):
         if partition is None:  # no shards: Spark still asks once
             return
         files, root = open_fs(self.path)
-        with files.open_input_stream(f"{root}/{partition.name}") as stream:
-            (count,) = struct.unpack("<I", stream.read(4))
-            offsets = np.frombuffer(stream.read(4 * (count + 1)), dtype="<u4").astype(np.int64)
-            head = json.loads(stream.read(int(offsets[0]) - 4 * (count + 2)))
+        with files.open_input_file(f"{root}/{partition.name}") as source:
+            (count,) = struct.unpack("<I", source.read(4))
+            placed = partition.first is not None and partition.rows == count
+            begin, end = self.ids.places(partition.first, count) if placed else (0, count)
+            (start,) = struct.unpack("<I", source.read(4))
+            source.seek(4 + 4 * (count + 1))
+            head = json.loads(source.read(start - 4 * (count + 2)))
+            source.seek(4 + 4 * begin)
+            offsets = np.frombuffer(source.read(4 * (end - begin + 1)), dtype="<u4").astype(np.int64)
             columns = list(zip(head["column_names"], head["column_encodings"]))
             chunks = RowChunks(to_arrow_schema(self.schema))
             wanted = set(self.schema.names)
+            source.seek(int(offsets[0]))
             for size in np.diff(offsets).tolist():
-                row = decode_record(stream.read(size), columns)
+                row = decode_record(source.read(size), columns)
+                if self.ids and not placed and row["__id__"] not in self.ids:
+                    continue
                 if batch := chunks.add({k: v for k, v in row.items() if k in wanted}, size):
                     yield batch
             if batch := chunks.flush():
@@ -171,7 +187,7 @@ class IndexedWriter(RollingWriter):
 
 
 class IndexedShards(DataSource):
-    """Options: ``path``, ``size_limit`` (bytes), ``greedy`` (strict limit per id range)."""
+    """Options: ``path``; for reading ``first_id``, ``last_id``; for writing ``size_limit`` (bytes), ``greedy`` (strict limit per id range)."""
 
     @classmethod
     def name(cls):
@@ -184,7 +200,7 @@ class IndexedShards(DataSource):
         return spark_schema(columns)
 
     def reader(self, schema):
-        return IndexedReader(self.options["path"], schema)
+        return IndexedReader(self.options["path"], schema, IdRange(self.options))
 
     def writer(self, schema, overwrite):
         limit = self.options.get("size_limit")

@@ -58,11 +58,44 @@ def write_text(files, path: str, text: str) -> None:
 
 @dataclass
 class ShardFile(InputPartition):
+    """A shard; with its first id and its number of rows where the shard list tells them."""
+
     name: str
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, first: int | None = None, rows: int | None = None):
         super().__init__(name)
-        self.name = name
+        self.name, self.first, self.rows = name, first, rows
+
+
+class IdRange:
+    """The options ``first_id`` and ``last_id`` of a source: samples between them, both inside; either may be missing.
+
+    The range is an option and not a pushed filter, because all scans of one DataFrame over a Python source share
+    one reader, so that two different filters on it would get each other's shards.
+    """
+
+    def __init__(self, options) -> None:
+        first, last = options.get("first_id"), options.get("last_id")
+        self.first, self.last = (None if x is None else int(x) for x in (first, last))
+
+    def __contains__(self, ident: int) -> bool:
+        return (self.first is None or ident >= self.first) and (self.last is None or ident <= self.last)
+
+    def __bool__(self) -> bool:
+        return self.first is not None or self.last is not None
+
+    def places(self, first: int, rows: int) -> tuple[int, int]:
+        """The places [begin, end) of a shard with ``rows`` consecutive ids from ``first`` on."""
+        begin = 0 if self.first is None else min(rows, max(0, self.first - first))
+        return begin, rows if self.last is None else max(begin, min(rows, self.last - first + 1))
+
+
+def fenced_shards(path: str, ids: IdRange) -> list[ShardFile]:
+    """The shards of a shard list that may hold ids of the range; their first id where ids are consecutive."""
+    files, root = open_fs(path)
+    listed = [json.loads(line) for line in read_text(files, f"{root}/{SHARD_LIST}").splitlines() if line]
+    some = [s for s in listed if (ids.first is None or s["last_id"] >= ids.first) and (ids.last is None or s["first_id"] <= ids.last)]
+    return [ShardFile(s["file"], s["first_id"] if s["last_id"] - s["first_id"] + 1 == s["n_rows"] else None, s["n_rows"]) for s in some]
 
 
 @dataclass

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from feedloom.schemas import KEY_FORMAT, TAR_SHARD_FORMAT
-from feedloom.sources.shardfiles import RollingWriter, RowChunks, ShardFile, open_fs, shard_names, write_text
+from feedloom.sources.shardfiles import IdRange, RollingWriter, RowChunks, ShardFile, fenced_shards, open_fs, shard_names, write_text
 
 KEY = "__key__"
 SHARD = "__shard__"
@@ -23,10 +23,12 @@ _STEERING = {"shard_id", "__id__", KEY, SHARD, PLACE}
 
 
 class TarReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType):
-        self.path, self.schema = path, schema
+    def __init__(self, path: str, schema: T.StructType, ids: IdRange):
+        self.path, self.schema, self.ids = path, schema, ids
 
     def partitions(self):
+        if self.ids:
+            return fenced_shards(self.path, self.ids)
         return [ShardFile(name) for name in shard_names(self.path, ".tar")]
 
     def read(self, partition):
@@ -51,6 +53,12 @@ class TarReader(DataSourceReader):
                 folder, _, base = entry.name.rpartition("/")
                 stem, _, ext = base.partition(".")
                 key = f"{folder}/{stem}" if folder else stem
+                if self.ids and int(stem) not in self.ids:
+                    if self.ids.last is not None and int(stem) > self.ids.last and partition.first is not None:
+                        break
+                    place += key != current
+                    current = key
+                    continue
                 if key != current:
                     if row is not None and (batch := chunks.add(row, size)):
                         yield batch
@@ -110,7 +118,7 @@ class TarWriter(RollingWriter):
 
 
 class TarShards(DataSource):
-    """Options: ``path``.  Give the fields to read with ``.schema``; the default is text."""
+    """Options: ``path``; ``first_id``, ``last_id`` for keys that are ids, in a layout with a shard list.  Give the fields to read with ``.schema``; the default is text."""
 
     @classmethod
     def name(cls):
@@ -120,7 +128,7 @@ class TarShards(DataSource):
         return f"`{KEY}` string, txt string"
 
     def reader(self, schema):
-        return TarReader(self.options["path"], schema)
+        return TarReader(self.options["path"], schema, IdRange(self.options))
 
     def writer(self, schema, overwrite):
         return TarWriter(self.options["path"], [n for n in schema.names if n not in _STEERING])
