@@ -4,11 +4,11 @@ A bounded sample is split in halves again and again until its parts are small; t
 parts' means are the lists' centroids, so lists are balanced. A graph over the centroids,
 searched best-first from a few entries, finds the lists near a vector. Every vector goes to
 its nearest list and, if it lies near a boundary, to further lists within a ratio of that distance; queries
-search all lists within a larger ratio. Lists longer than twice the mean are cut, and
+search all lists within a larger ratio, which is fitted to a stated recall on the sample. Lists longer than twice the mean are cut, and
 queries go to all cuts. A query that finds fewer neighbours than it could is answered from all rows instead.
 
 Nearness is the cosine in double precision; ties go to the smaller id, and a row never is its own
-neighbour (rows that share the query's id aren't either). Vectors that are null, zero, of another than the commonest length, or
+neighbour (rows that share the query's id aren't either). Other columns are never read, so their names can't clash; a vector is read whole. Vectors that are null, zero, of another than the commonest length, or
 hold null or non-finite components take no part, nor do null ids. Repeated rows count once per id. An empty table gives no rows.
 """
 
@@ -30,9 +30,9 @@ SAMPLE_NUMBERS = 2_000_000
 LIST_SIZE, MAX_LISTS = 200, 16_384
 #: Lists that a vector may go to, and the distance over the nearest list's within which they lie.
 COPIES, COPY_RATIO = 4, 1.10
-#: The same for queries, which may go to this share of all lists where that is more.
-PROBES, PROBE_SHARE, PROBE_RATIO = 96, 0.25, 1.50
-_NEAR, _FAR, _ENTRIES, _EXPAND, _HOPS = 14, 2, 24, 6, 40
+#: Queries go to all lists within a ratio that finds this share of the nearest rows for so many of the sample's rows, searched in the sample.
+RECALL, TRIALS = 0.95, 256
+_NEAR, _FAR, _ENTRIES, _EXPAND, _FIRST = 14, 2, 24, 6, 32
 _FALLBACK = 256
 
 
@@ -55,15 +55,17 @@ class Centroids:
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
     def _search(self, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        # All of the best are expanded before the search ends, so its work follows k.
         rows, width = np.arange(len(vectors))[:, None], max(k, 2 * _EXPAND)
+        expand = max(_EXPAND, width // 16)
         ids = np.repeat(self.entries[None, :], len(vectors), 0)
         close = vectors @ self.points[self.entries].T
         done = np.zeros(ids.shape, bool)
-        for _ in range(_HOPS):
+        while True:
             order = np.argsort(-close, axis=1, kind="stable")[:, :width]
             ids, close, done = ids[rows, order], close[rows, order], done[rows, order]
             todo = np.where(done | np.isinf(close), -np.inf, close)
-            pick = np.argsort(-todo, axis=1, kind="stable")[:, :_EXPAND]
+            pick = np.argsort(-todo, axis=1, kind="stable")[:, :expand]
             fresh = ~np.isinf(todo[rows, pick])
             if not fresh.any():
                 break
@@ -85,6 +87,45 @@ class Centroids:
         return np.where(np.isinf(close), -1, ids), close
 
 
+    def within(self, vectors: np.ndarray, ratio: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, centroid) pairs whose distance is at most ``ratio`` times that to the nearest centroid, at most ``most`` each.
+
+        The search is widened for vectors whose last centroid found is still inside.
+        """
+        n, rows, pairs = len(self.points), np.arange(len(vectors)), []
+        k, most = min(n, most or _FIRST), min(n, most or n)
+        while len(rows):
+            ids, close = self.search(vectors[rows], k)
+            far = np.sqrt(np.maximum(2 - 2 * close, 0))
+            fits = (ids >= 0) & (far <= far[:, :1] * ratio + 1e-12)
+            again = fits[:, -1] & (k < most)
+            row, place = np.nonzero(fits & ~again[:, None])
+            pairs.append((rows[row], ids[row, place]))
+            rows, k = rows[again], min(most, 4 * k)
+        return tuple(np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+
+
+def fitted_ratio(sample: np.ndarray, centroids: np.ndarray, k: int, recall: float = RECALL) -> float:
+    """The ratio within which queries meet ``recall`` of their k nearest rows, tried on rows of the sample among the rows of the sample.
+
+    The sample is thinner than the table, so its nearest rows lie farther off and the ratio errs on the wide side.
+    """
+    if len(sample) < 2 or len(centroids) < 2:
+        return 1.0
+    graph, tried = Centroids(centroids), np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(np.int64)
+    row, list_ = graph.within(sample, COPY_RATIO, COPIES)
+    order = np.argsort(row, kind="stable")
+    row, list_ = row[order], list_[order]
+    close = sample[tried] @ sample.T
+    close[np.arange(len(tried)), tried] = -np.inf
+    k = min(k, len(sample) - 1)
+    nearest_rows = np.argpartition(-close, k - 1, axis=1)[:, :k]
+    far = np.sqrt(np.maximum(2 - 2 * (sample[tried] @ centroids.T), 0))
+    far = far / np.maximum(far.min(axis=1, keepdims=True), 1e-12)
+    needed = [far[i, list_[np.searchsorted(row, j) : np.searchsorted(row, j, side="right")]].min() for i in range(len(tried)) for j in nearest_rows[i]]
+    return float(np.quantile(needed, recall, method="higher"))
+
+
 def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     """Means of parts of about equal size: each part is halved along the line between two of its far points."""
     rng, parts = np.random.default_rng(11), [np.arange(len(sample))]
@@ -149,26 +190,24 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
     sample = _matrix(sample, size)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     centroids = balanced_centroids(sample, max(1, min(MAX_LISTS, n // LIST_SIZE, len(sample) // 4)))
+    probe_ratio = fitted_ratio(sample, centroids, k)
     key, shared = uuid.uuid4().hex, context.broadcast(centroids)
 
-    def lists_of(copies: int, ratio: float):
+    def lists_of(ratio: float, most: int | None = None):
         def run(batches):
             graph = once(key, lambda: Centroids(shared.value))
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
                     m = _matrix(part.column(1), size)
-                    ids, close = graph.search(m / np.linalg.norm(m, axis=1, keepdims=True), min(copies, len(shared.value)))
-                    far = np.sqrt(np.maximum(2 - 2 * close, 0))
-                    fits = (ids >= 0) & (far <= far[:, :1] * ratio + 1e-12)
-                    row, place = np.nonzero(fits)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row, place].astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["list", "id", "v"])
+                    row, list_ = graph.within(m / np.linalg.norm(m, axis=1, keepdims=True), ratio, most)
+                    yield pa.RecordBatch.from_arrays([pa.array(list_.astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["list", "id", "v"])
 
         return run
 
     kind = "list int, id long, v array<double>"
-    postings = settle(rows.mapInArrow(lists_of(COPIES, COPY_RATIO), kind), "postings")
-    probes = asked.mapInArrow(lists_of(max(PROBES, int(PROBE_SHARE * len(centroids))), PROBE_RATIO), kind)
+    postings = settle(rows.mapInArrow(lists_of(COPY_RATIO, COPIES), kind), "postings")
+    probes = asked.mapInArrow(lists_of(probe_ratio), kind)
     # One row per list: at most MAX_LISTS.
     per_cut = max(512, 2 * -(-postings.count() // len(centroids)))
     cuts = postings.groupBy("list").agg(F.ceil(F.count("*") / per_cut).cast("int").alias("cuts"))

@@ -130,3 +130,36 @@ def test_parts_and_prefixes_agree():
     many = turns * 500
     whole, _, texts, rewrites = chat.locate(many, chat.appended_turns)
     assert not rewrites and [chat.unescape(whole[a:b]) for a, b in texts[-3:]] == [t for _, t in many[-3:]]
+
+
+def test_lists_within_a_ratio_are_all_found():
+    from feedloom.llm import ann
+
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (1, 2, 5, 60, 3000):
+        points, vectors = unit(rng.normal(size=(n, 16))), unit(rng.normal(size=(40, 16)))
+        graph = ann.Centroids(points)
+        far = np.sqrt(2 - 2 * (vectors @ points.T))
+        for ratio, most in ((1.0, None), (1.3, None), (9.0, None), (1.1, 4)):
+            row, found = graph.within(vectors, ratio, most)
+            want = [set(np.flatnonzero(f <= f.min() * ratio + 1e-9)) for f in far]
+            got = [set(found[row == i].tolist()) for i in range(40)]
+            assert len(row) == len(set(zip(row.tolist(), found.tolist(), strict=True)))
+            if most is None:
+                assert sum(len(g & w) for g, w in zip(got, want, strict=True)) >= 0.95 * sum(map(len, want))
+            assert all(1 <= len(g) <= (most or n) for g in got)
+
+
+def test_the_fitted_ratio_prunes_where_there_is_structure():
+    from feedloom.llm import ann
+
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    middles = rng.normal(size=(40, 32))
+    sample = unit(np.repeat(middles, 100, 0) + 0.2 * rng.normal(size=(4000, 32)))
+    centroids = ann.balanced_centroids(sample, 64)
+    ratio = ann.fitted_ratio(sample, centroids, 5)
+    row, _ = ann.Centroids(centroids).within(sample[::10], ratio)
+    assert len(row) / 400 < 64 / 4
+    assert ann.fitted_ratio(sample[:1], centroids[:1], 5) == 1.0
