@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.numbering import bucketed_window
+from feedloom.operators.numbering import bucketed_window, id_bucket
 from feedloom.operators.shuffle import BROADCAST_BLOCKS
 from feedloom.schemas import IMAGE_SIDE, SEQUENCE_LENGTH
 
@@ -101,6 +101,29 @@ def inflight_bytes(blocks: DataFrame, in_flight: int = 3, channels: int = 3, hei
     return sized.withColumn("peak_bytes", top.scalar())
 
 
+def shape_batches(df: DataFrame, shape: str, batch_size: int, pos: str = "pos") -> DataFrame:
+    """Batches of one shape along an order: ``batch_id``, and ``resize`` for those that must be brought to one shape first.
+
+    A sample joins the batch that is being filled for its shape, whichever worker or shard it comes from; full batches are
+    numbered as their last sample comes. What a shape has left over at the end (fewer than a batch) is batched in
+    the order of ``pos`` across shapes, numbered behind the rest, and marked. Every sample is in exactly one batch.
+    ``pos`` is unique; a null shape is a shape. Samples are counted in stretches of positions, so a shape
+    that most samples have is not gathered; hand in ids and shapes, and fetch pictures afterwards.
+    """
+    size, names = int(batch_size), df.columns
+    seated = bucketed_window(df.withColumn("_shape", F.struct(shape)), ["_shape"], id_bucket(pos), [pos], number="_seat")
+    totals = df.groupBy(F.struct(shape).alias("_shape")).agg(F.count(F.lit(1)).alias("_total"))
+    cut = seated.join(totals, "_shape").withColumn("_turn", F.expr(f"_seat div {size}")).withColumn("_full", F.expr(f"_seat < _total div {size} * {size}"))
+    # A full batch's last sample has the batch's last seat, so its number needs no grouping of the samples.
+    ready = cut.where(f"_full AND _seat % {size} = {size - 1}").select("_shape", "_turn", F.col(pos).alias("_ready"))
+    numbered = bucketed_window(ready, [], id_bucket("_ready"), ["_ready"], number="batch_id")
+    whole = cut.where("_full").join(numbered, ["_shape", "_turn"]).select(*names, "batch_id", F.lit(False).alias("resize"))
+    rest = bucketed_window(cut.where("NOT _full"), [], id_bucket(pos), [pos], number="_left")
+    before = ready.agg(F.count(F.lit(1)).alias("n")).scalar()
+    left = rest.withColumn("_before", before).select(*names, F.expr(f"_before + _left div {size}").alias("batch_id"), F.lit(True).alias("resize"))
+    return whole.unionByName(left)
+
+
 def nonempty(grid: DataFrame, counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Every cell of the grid, with 0 where no samples arrived."""
     return grid.join(counts, keys, "left").withColumn(value, F.coalesce(value, F.lit(0).cast("long")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions import fields, images, labels, text, udfs
-from feedloom.operators import batching, greedy, metrics, numbering, pairing, quality, sharding, shuffle
+from feedloom.operators import batching, greedy, inversions, metrics, numbering, pairing, quality, sharding, shuffle
 from feedloom.plans import feeds, views
 from feedloom.plans.views import (
     BATCH, BLOCKS, BUFFER, BYTE_LIMIT, DAY_US, EXTRA_LOADER, GAP_US, LOADERS, PARQUET_ROWS, SEED, STAGES, TAR_ROWS, WORKERS,
@@ -453,6 +453,14 @@ def shape_check(spark, d):
     return batching.shape_check(batching.global_batches(docs, BATCH, "__id__"), ["batch_id"], F.col("shape"))
 
 
+@query
+def shape_batches(spark, d):
+    """Batches of one shape along the shuffled order; the rests of all shapes come last, marked."""
+    docs = views.samples(spark, d).select("__id__", F.expr("n_chars div 500").alias("shape"))
+    batches = batching.shape_batches(shuffle.global_shuffle(docs, "__id__", SEED), "shape", BATCH // 4)
+    return batches.withColumnRenamed("__id__", "doc_id")
+
+
 @query
 def time_range(spark, d):
     """The readings of an absolute time range; both bounds reach the scan."""
@@ -553,8 +561,8 @@ def epoch_orders(spark, d):
     return shuffle.epoch_orders(views.ids(spark, d), "__id__", 3, SEED).withColumnRenamed("__id__", "doc_id")
 
 
-@query
-def shuffle_quality(spark, d):
+def _orders(spark, d) -> DataFrame:
+    """(method, id, pos) of the four shuffles."""
     base = views.ids(spark, d)
     everywhere = shuffle.global_shuffle(base, "__id__", SEED)
     blocks = shuffle.block_shuffle(sharding.id_blocks(base, "__id__", BLOCKS), "block", "__id__", SEED, blocks=BLOCKS)
@@ -566,7 +574,27 @@ def shuffle_quality(spark, d):
     for name, df in {"global": everywhere, "block": blocks, "shard": shards, "buffer": windows}.items():
         part = df.select(F.lit(name).alias("method"), F.col("__id__").alias("id"), "pos")
         out = part if out is None else out.unionByName(part)
-    return quality.shuffle_quality(out)
+    return out
+
+
+@query
+def shuffle_quality(spark, d):
+    return quality.shuffle_quality(_orders(spark, d))
+
+
+@query
+def order_inversions(spark, d):
+    """How many pairs of samples each shuffle turns round, in ranges of 256 ids and positions."""
+    orders = settle(_orders(spark, d), "orders")
+    turned = inversions.order_inversions(orders, ["method"], bits=8)
+    return turned.withColumn("inversions", F.col("inversions").cast("long"))
+
+
+@query
+def batch_mix(spark, d):
+    """How far the languages of every shuffled batch are from those of the corpus."""
+    placed = shuffle.global_shuffle(views.samples(spark, d).select("__id__", "lang"), "__id__", SEED)
+    return inversions.batch_mix(batching.global_batches(placed, BATCH), "batch_id", "lang")
 
 
 # ---- batches -----------------------------------------------------------------

@@ -51,6 +51,13 @@ _VIEWS = {
 }
 
 
+_ORDERS = f"""o AS (
+            SELECT 'global' AS method, doc_id AS id, pos FROM placed
+        UNION ALL SELECT 'block', doc_id, row_number() OVER (ORDER BY md5('{SEED}:0:' || block), block, doc_id) - 1 FROM blocks
+        UNION ALL SELECT 'shard', doc_id, row_number() OVER (ORDER BY md5('{SEED}:0:' || (doc_id // {TAR_ROWS})), doc_id // {TAR_ROWS}, doc_id) - 1 FROM documents
+        UNION ALL SELECT 'buffer', doc_id, row_number() OVER (ORDER BY doc_id // {TAR_ROWS}, doc_id % {TAR_ROWS} // {BUFFER}, {_KEY}, doc_id) - 1 FROM documents)"""
+
+
 def _with(*names: str, body: str) -> str:
     return f"WITH {', '.join(_VIEWS[n] for n in names)} {body}"
 
@@ -192,15 +199,26 @@ ORACLES: dict[str, str] = {
         SELECT epoch, doc_id, row_number() OVER (PARTITION BY epoch ORDER BY md5('{SEED}:' || epoch || ':' || block), block, place) - 1 AS pos FROM b"""),
     "epoch_orders": f"""SELECT epoch, doc_id, row_number() OVER (PARTITION BY epoch ORDER BY md5('{SEED}:' || epoch || ':' || doc_id), doc_id) - 1 AS pos
         FROM documents, (SELECT unnest(range(0, 3)) AS epoch)""",
-    "shuffle_quality": _with("placed", "blocks", body=f""", o AS (
-            SELECT 'global' AS method, doc_id AS id, pos FROM placed
-            UNION ALL SELECT 'block', doc_id, row_number() OVER (ORDER BY md5('{SEED}:0:' || block), block, doc_id) - 1 FROM blocks
-            UNION ALL SELECT 'shard', doc_id, row_number() OVER (ORDER BY md5('{SEED}:0:' || (doc_id // {TAR_ROWS})), doc_id // {TAR_ROWS}, doc_id) - 1 FROM documents
-            UNION ALL SELECT 'buffer', doc_id, row_number() OVER (ORDER BY doc_id // {TAR_ROWS}, doc_id % {TAR_ROWS} // {BUFFER}, {_KEY}, doc_id) - 1 FROM documents),
+    "shuffle_quality": _with("placed", "blocks", body=f""", {_ORDERS},
         p AS (SELECT *, lag(pos) OVER (PARTITION BY method ORDER BY id) AS prev FROM o)
         SELECT method, count(*) AS n, round(avg(abs(pos - id)), 4) AS avg_move, max(abs(pos - id)) AS max_move,
         count(*) FILTER (pos = prev + 1) AS kept_neighbours, count(*) FILTER (pos = id) AS fixed_points, round(corr(id, pos), 4) AS order_corr FROM p GROUP BY method"""),
+    "order_inversions": _with("placed", "blocks", body=f""", {_ORDERS},
+            t AS (SELECT a.method, count(*) AS turned FROM o a JOIN o b ON a.method = b.method AND a.id < b.id AND a.pos > b.pos GROUP BY a.method)
+        SELECT o.method, count(*) AS n, coalesce(any_value(turned), 0) AS inversions,
+        round(coalesce(any_value(turned), 0)::DOUBLE / (count(*)::DOUBLE * (count(*) - 1) / 2), 6) AS turned_share FROM o LEFT JOIN t USING (method) GROUP BY o.method"""),
+    "batch_mix": _with("placed", body=f""", c AS (SELECT pos // {BATCH} AS batch_id, lang, count(*) AS n FROM placed GROUP BY ALL),
+            w AS (SELECT lang, count(*)::DOUBLE / (SELECT count(*) FROM documents) AS p FROM documents GROUP BY lang),
+            b AS (SELECT batch_id, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_labels FROM c GROUP BY batch_id)
+        SELECT batch_id, n_rows, n_labels, round(sum(abs(coalesce(n, 0)::DOUBLE / n_rows - p)) / 2, 6) AS mix_distance
+        FROM b CROSS JOIN w LEFT JOIN c USING (batch_id, lang) GROUP BY ALL"""),
     # ---- batches
+    "shape_batches": _with("placed", body=f""", s AS (SELECT doc_id, n_chars // 500 AS shape, pos FROM placed),
+            t AS (SELECT *, row_number() OVER (PARTITION BY shape ORDER BY pos) - 1 AS seat, count(*) OVER (PARTITION BY shape) AS total FROM s),
+            f AS (SELECT *, max(pos) OVER (PARTITION BY shape, seat // {BATCH // 4}) AS ready FROM t WHERE seat < total // {BATCH // 4} * {BATCH // 4}),
+            r AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS place FROM t WHERE seat >= total // {BATCH // 4} * {BATCH // 4})
+        SELECT doc_id, shape, pos, dense_rank() OVER (ORDER BY ready) - 1 AS batch_id, false AS resize FROM f
+        UNION ALL SELECT doc_id, shape, pos, (SELECT count(DISTINCT ready) FROM f) + place // {BATCH // 4}, true FROM r"""),
     "batches_partial": _with("shards", "ranked", body=f""", s AS (SELECT doc_id, n_chars, rank % {WORKERS} AS worker,
             row_number() OVER (PARTITION BY rank % {WORKERS} ORDER BY rank, doc_id) - 1 AS seat FROM documents JOIN ranked ON shard_id = doc_id // {TAR_ROWS})
         SELECT worker, seat // {BATCH} AS batch_id, count(*) AS n_rows, min(doc_id) AS min_id, max(doc_id) AS max_id, CAST(sum(n_chars) AS BIGINT) AS n_chars
