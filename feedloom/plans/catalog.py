@@ -23,6 +23,7 @@ from feedloom.session import fresh_dir, settle
 from feedloom.sources import blocks, corpus, sinks
 from feedloom.sources.indexed import fetch_samples
 from feedloom.streaming import gauges as live
+from feedloom.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -886,6 +887,16 @@ def run_spans(spark, d):
     return metrics.run_spans(views.batch_log(spark, d), ["run"], "got_us", GAP_US)
 
 
+RUN_GAP_US = 3_600_000_000
+
+
+@query
+def marked_runs(spark, d):
+    """Runs per loader, ended by an error event or an hour of silence."""
+    events = views.label_sets(views.table(spark, d, "events")).withColumns({"us": views.micros(), "ended": F.col("event_type") == "error"})
+    return runs.marked_runs(events, ["loader"], "us", "event_id", "ended", RUN_GAP_US)
+
+
 def _event_stream(spark, d) -> DataFrame:
     schema = views.table(spark, d, "events").schema
     events = live.read_stream(spark, d, schema, "events.parquet")
@@ -921,6 +932,15 @@ def run_spans_stream(spark, d):
     return live.append_table(spark, live.session_spans(readings, ["run"], "10 minutes", "at"), "spans", end)
 
 
+@query
+def marked_runs_stream(spark, d):
+    """The same runs from a stream, each put out when its marker or a timer ends it; rows that came too late are counted."""
+    events, end = _ending_event_stream(spark, d)
+    readings = views.label_sets(events).select("at", "event_id", "loader", (F.col("event_type") == "error").alias("ended"))
+    tracked = runs.track_runs(readings, ["loader"], "event_id", "ended", RUN_GAP_US, "at")
+    return runs.runs_table(spark, tracked, "runs", end).select("loader", "kind", "start_us", "last_us", "readings", "by_marker")
+
+
 @query
 def gauge_upserts(spark, d):
     """The current value of every label set after the stream."""

@@ -51,6 +51,11 @@ _VIEWS = {
 }
 
 
+_MARKED = """, f AS (SELECT *, dataset = 'error' AS ended, coalesce(lag(dataset = 'error') OVER w OR us - lag(us) OVER w >= 3600000000, true)::BIGINT AS starts
+            FROM gauges WINDOW w AS (PARTITION BY loader ORDER BY us, event_id)),
+        g AS (SELECT *, sum(starts) OVER (PARTITION BY loader ORDER BY us, event_id) AS run FROM f),
+        m AS (SELECT loader, min(us) AS start_us, max(us) AS last_us, count(*) FILTER (NOT ended) AS readings, bool_or(ended) AS by_marker
+            FROM g GROUP BY loader, run HAVING count(*) FILTER (NOT ended) > 0)"""
 _ORDERS = f"""o AS (
             SELECT 'global' AS method, doc_id AS id, pos FROM placed
         UNION ALL SELECT 'block', doc_id, row_number() OVER (ORDER BY md5('{SEED}:0:' || block), block, doc_id) - 1 FROM blocks
@@ -314,6 +319,8 @@ ORACLES: dict[str, str] = {
             FROM batch_log WINDOW w AS (PARTITION BY run ORDER BY got_us, event_id)),
         g AS (SELECT *, sum(starts) OVER (PARTITION BY run ORDER BY got_us, event_id) AS span FROM f)
         SELECT run, min(got_us) AS start_us, max(got_us) AS last_us, count(*) AS readings FROM g GROUP BY run, span"""),
+    "marked_runs": _with("gauges", body=f"{_MARKED} SELECT * FROM m"),
+    "marked_runs_stream": _with("gauges", body=f"{_MARKED} SELECT loader, 'run' AS kind, start_us, last_us, readings, by_marker FROM m"),
     "gauge_upserts": _with("gauges", body="""SELECT loader, dataset, batch_size, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value
         FROM gauges GROUP BY ALL"""),
     "live_counters": _with("batch_log", body="""SELECT run, epoch, count(*) AS batches, CAST(sum(n) AS BIGINT) AS total_samples, min(start_us) AS start_us,
