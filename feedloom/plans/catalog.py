@@ -16,11 +16,11 @@ from feedloom.functions import fields, images, labels, text, udfs
 from feedloom.operators import batching, greedy, inversions, metrics, numbering, pairing, quality, sharding, shuffle
 from feedloom.plans import feeds, views
 from feedloom.plans.views import (
-    BATCH, BLOCKS, BUFFER, BYTE_LIMIT, DAY_US, EXTRA_LOADER, GAP_US, LOADERS, PARQUET_ROWS, SEED, STAGES, TAR_ROWS, WORKERS,
+    BATCH, BLOCKS, BUFFER, BYTE_LIMIT, DAY_US, EXTRA_LOADER, GAP_US, LOADERS, PARQUET_ROWS, SEED, STAGES, TAR_ROWS, TAR_SLICE, WORKERS,
 )
 from feedloom.schemas import BATCH_SIZES, MEMORY_BANDS, ROW_CAP, SMOKE_BATCHES, UTIL_BANDS
 from feedloom.session import fresh_dir, settle
-from feedloom.sources import blocks, corpus, sinks
+from feedloom.sources import blocks, buckets, corpus, members, sinks
 from feedloom.sources.indexed import fetch_samples
 from feedloom.streaming import gauges as live
 from feedloom.streaming import runs
@@ -124,6 +124,32 @@ def pushed_slices(spark, d):
     return out
 
 
+@query
+def tar_index(spark, d):
+    """Tar members by an index of their offsets, and their bodies read by seek in slices of a few samples."""
+    index = members.index_tars(spark, _tar_written(spark, d))
+    body = members.read_members(index, "`__shard__` string, `__place__` long, txt string", TAR_SLICE)
+    held = index.select(
+        F.element_at(F.split("file", "/"), -1).alias("shard"), F.col("place"), F.col("key").alias("sample_key"), "field", "offset", F.col("size").alias("n_bytes")
+    )
+    read = body.select(F.col("__shard__").alias("shard"), F.col("__place__").alias("place"), F.md5(text.to_utf8("txt")).alias("text_md5"))
+    return held.join(read, ["shard", "place"])
+
+
+@query
+def bucketed_epochs(spark, d):
+    """Three epochs over a payload that is bucketed once; after that only ids move."""
+    docs = views.samples(spark, d).select("__id__", "text")
+    payload, out = buckets.write_buckets(docs, fresh_dir(spark, "buckets"), "__id__"), None
+    for epoch in range(3):
+        order = shuffle.index_shuffle(views.ids(spark, d), "__id__", WORKERS, SEED, epoch)
+        part = buckets.fetch_bucketed(order, payload, "__id__").select(
+            F.lit(epoch).cast("long").alias("epoch"), "worker", "pos", F.col("__id__").alias("doc_id"), F.md5(text.to_utf8("text")).alias("text_md5")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def feed_blocks(spark, d):
     """Two epochs of a Parquet layout in block order: a partition per row group, then as many as there are workers."""

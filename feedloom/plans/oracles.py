@@ -99,6 +99,13 @@ ORACLES: dict[str, str] = {
     "pushed_slices": """WITH n AS (SELECT count(*) AS n FROM documents), cuts AS (
             SELECT n // 10 AS slice_start, n // 10 + 100 AS slice_end FROM n UNION ALL SELECT n // 2, n // 2 + 40 FROM n UNION ALL SELECT n - 30, n FROM n)
         SELECT unnest(['indexed', 'tar']) AS format, doc_id, md5(text) AS text_md5, slice_start FROM documents JOIN cuts ON doc_id >= slice_start AND doc_id < slice_end""",
+    "tar_index": f"""WITH t AS (SELECT doc_id, doc_id // {TAR_ROWS} AS shard_id, strlen(text) AS n, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL)
+        SELECT printf('shard-%06d.tar', shard_id) AS shard, row_number() OVER s - 1 AS place, printf('%08d', doc_id) AS sample_key, 'txt' AS field,
+            CAST(sum(512 + (n + 511) // 512 * 512) OVER s - (n + 511) // 512 * 512 AS BIGINT) AS "offset", n AS n_bytes, text_md5
+        FROM t WINDOW s AS (PARTITION BY shard_id ORDER BY doc_id)""",
+    "bucketed_epochs": f"""SELECT epoch, pos * {WORKERS} // n AS worker, pos, doc_id, md5(text) AS text_md5 FROM (
+        SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5('{SEED}:' || epoch || ':' || doc_id), doc_id) - 1 AS pos, count(*) OVER (PARTITION BY epoch) AS n
+        FROM documents, (SELECT unnest(range(0, 3)) AS epoch))""",
     "feed_blocks": f"""WITH t AS (SELECT *, count(*) OVER () AS n, greatest(1, count(*) OVER () // {PARQUET_ROWS}) AS n_shards FROM documents),
         s AS (SELECT doc_id, text, least(doc_id // (n // n_shards), n_shards - 1) AS block, unnest([0, 1])::BIGINT AS epoch FROM t),
         b AS (SELECT epoch, block, row_number() OVER (PARTITION BY epoch ORDER BY md5('{SEED}:' || epoch || ':' || block), block) - 1 AS block_rank

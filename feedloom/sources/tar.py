@@ -50,11 +50,9 @@ class TarReader(DataSourceReader):
             for entry in tar:
                 if not entry.isfile():
                     continue
-                folder, _, base = entry.name.rpartition("/")
-                stem, _, ext = base.partition(".")
-                key = f"{folder}/{stem}" if folder else stem
-                if self.ids and int(stem) not in self.ids:
-                    if self.ids.last is not None and int(stem) > self.ids.last and partition.first is not None:
+                key, ext = sample_name(entry.name)
+                if self.ids and (number := int(key.rpartition("/")[2])) not in self.ids:
+                    if self.ids.last is not None and number > self.ids.last and partition.first is not None:
                         break
                     place += key != current
                     current = key
@@ -66,7 +64,7 @@ class TarReader(DataSourceReader):
                     current, row, size = key, sample(key, place), 0
                 if ext in fields:
                     body = tar.extractfile(entry).read()
-                    row[ext] = body if isinstance(fields[ext], T.BinaryType) else _parse(body, fields[ext])
+                    row[ext] = parse_field(body, fields[ext])
                     size += len(body)
         if row is not None and (batch := chunks.add(row, size)):
             yield batch
@@ -74,7 +72,16 @@ class TarReader(DataSourceReader):
             yield batch
 
 
-def _parse(body: bytes, dtype: T.DataType):
+def sample_name(entry: str) -> tuple[str, str]:
+    """Key and field of an entry: its folder and name up to the first point, and what follows it."""
+    folder, _, base = entry.rpartition("/")
+    stem, _, field = base.partition(".")
+    return f"{folder}/{stem}" if folder else stem, field
+
+
+def parse_field(body: bytes, dtype: T.DataType):
+    if isinstance(dtype, T.BinaryType):
+        return body
     text = body.decode("utf-8")
     return int(text) if isinstance(dtype, (T.LongType, T.IntegerType)) else text
 
