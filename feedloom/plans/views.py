@@ -13,7 +13,7 @@ WORKERS = 4
 BLOCKS = 8
 PARQUET_ROWS = 300
 TAR_ROWS = 128
-TAR_SLICE = 65_536
+TAR_SLICE = 1 << 20
 BYTE_LIMIT = 262_144
 BUFFER = 100
 DAY_US = 86_400_000_000
