@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_MASTER = r"local($|\[)"
+
 _SHIPPED: set[str] = set()
 _OWN_DIRS: dict[str, str] = {}
 
@@ -33,15 +36,24 @@ def build_session(app: str = "feedloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and host, as Spark's own readers and writers take it."""
+    context = spark.sparkContext
+    named = context._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(named).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own.
+    Only a local-mode session without that setting gets a folder of its own. On a cluster a bare
+    name is a folder of Spark's default filesystem, and comes with its scheme from here on.
     """
+    local = re.match(LOCAL_MASTER, spark.sparkContext.master)
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+        return (named if local else qualified(spark, named)).rstrip("/")
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _OWN_DIRS:
