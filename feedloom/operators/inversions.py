@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.numbering import bucketed_window
+from feedloom.session import settle, spread
 
 # A range of ids or positions is one group in memory: a quarter million rows of two numbers.
 RANGE_BITS = 18
-# Position ranges are told apart by this many bits at a time.
-DIGIT_BITS = 6
+# Smaller ranges share a group of so many ids or positions.
+GROUP_BITS = 16
+# Position ranges are told apart by this many bits at a time; a row holds a number for each value of them.
+DIGIT_BITS = 3
 
 _EXACT = "decimal(38,0)"
 
@@ -40,37 +43,54 @@ def count_turned(values: np.ndarray) -> int:
     return turned
 
 
-def _inside(rows: DataFrame, keys: list[str], part: str, order: list[str], value: str) -> DataFrame:
-    """(keys, turned) per range: pairs that ``order`` puts the other way round than ``value``."""
+def _inside(rows: DataFrame, keys: list[str], part: str, order: list[str], value: str, bits: int) -> DataFrame:
+    """(keys, turned) per group of neighbouring ranges: pairs of one range that ``order`` puts the other way round than ``value``.
+
+    Ranges of few rows are counted together, up to ``2**GROUP_BITS`` ids or positions: with the range
+    leading every value, no pair of two ranges counts as turned.
+    """
     import pandas as pd
 
-    given = rows.select(*keys, part, *dict.fromkeys([*order, value]))
+    given = rows.select(*keys, part, *dict.fromkeys([*order, value]), F.shiftright(part, max(0, GROUP_BITS - bits)).alias("_group"))
     width = len(keys)
 
     def count(key, frame):
-        turned = count_turned(frame.sort_values(order)[value].to_numpy())
+        ordered = frame.sort_values(order)
+        ranks = np.unique(ordered[value].to_numpy(), return_inverse=True)[1].astype(np.int64)
+        ranges = np.unique(ordered[part].to_numpy(), return_inverse=True)[1].astype(np.int64)
+        turned = count_turned(ranges * (len(ranks) + 1) + ranks)
         return pd.DataFrame([[*key[:width], turned]], columns=[*keys, "turned"])
 
     schema = ", ".join([*(f"`{k}` {given.schema[k].dataType.simpleString()}" for k in keys), "turned long"])
-    return given.groupBy(*keys, part).applyInPandas(count, schema)
+    return given.groupBy(*keys, "_group").applyInPandas(count, schema)
 
 
-def _between(cells: DataFrame, keys: list[str], shift: int, bits: int) -> DataFrame:
-    """(keys, turned) per position range: pairs of cells whose position ranges first differ in the digit at ``shift``.
+def _between(cells: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """(keys, turned) per stretch of position ranges: pairs of cells whose position ranges first differ in one digit.
 
-    A cell takes, digit by digit, the rows of earlier id ranges with a greater digit: a running sum of ``above``
-    along the id ranges, in stretches, so no task depends on how many ranges there are.
+    Every cell stands once at each of ``levels`` digits, so rows grow as the cells do and never with the product of id and position
+    ranges. A row holds the numbers of one id range's rows by digit; how many of earlier id ranges have a greater digit is a
+    running sum along the id ranges, in stretches, so no task depends on how many ranges there are.
     """
-    digit = F.shiftright("_p", shift).bitwiseAND(F.lit((1 << bits) - 1))
-    group = [*keys, "_group", "_i"]
-    own = cells.withColumns({"_group": F.shiftright("_p", shift + bits), "_d": digit}).groupBy(*group, "_d").agg(F.sum("_n").alias("_n"))
-    every = own.select(*group).distinct().withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << bits) - 1).cast("long"))))
-    filled = own.unionByName(every.withColumn("_n", F.lit(0).cast("long"))).groupBy(*group, "_d").agg(F.sum("_n").alias("_n"))
-    greater = Window.partitionBy(*group).orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
-    above = filled.withColumn("_above", F.coalesce(F.sum("_n").over(greater), F.lit(0).cast("long")))
-    met = bucketed_window(above, [*keys, "_group", "_d"], F.shiftright("_i", 12), ["_i"], running={"_upto": "_above"})
-    pairs = F.col("_n").cast("decimal(19,0)") * (F.col("_upto") - F.col("_above")).cast("decimal(19,0)")
-    return met.where("_n > 0").select(*keys, pairs.alias("turned"))
+    size, level = 1 << DIGIT_BITS, F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
+    # Spread before the rows grow, as the planner sees the few cells only.
+    each = spread(cells, *keys, "_i").select("*", level)
+    each = each.select(
+        *keys, "_level", "_i", "_n", F.expr(f"shiftright(_p, (_level + 1) * {DIGIT_BITS})").alias("_group"),
+        F.expr(f"shiftright(_p, _level * {DIGIT_BITS}) & {size - 1}L").alias("_d"),
+    )
+    group = [*keys, "_level", "_group"]
+    counts = [F.sum(F.when(F.col("_d") == d, F.col("_n")).otherwise(F.lit(0).cast("long"))).alias(f"_n{d}") for d in range(size)]
+    # Written, as the sums along the id ranges read the counts twice.
+    own = settle(each.groupBy(*group, "_i").agg(*counts), "digits")
+    above = own.withColumns({f"_a{d}": sum((F.col(f"_n{e}") for e in range(d + 2, size)), F.col(f"_n{d + 1}")) for d in range(size - 1)})
+    met = bucketed_window(above, group, F.shiftright("_i", 12), ["_i"], running={f"_u{d}": f"_a{d}" for d in range(size - 1)})
+    none = F.lit(0).cast(_EXACT)
+    pairs = [F.col(f"_n{d}").cast("decimal(19,0)") * (F.col(f"_u{d}") - F.col(f"_a{d}")).cast("decimal(19,0)") for d in range(size - 1)]
+    held = [F.when(F.col(f"_n{d}") > 0, p.cast(_EXACT)).otherwise(none) for d, p in enumerate(pairs)]
+    return met.groupBy(*keys).agg(*[F.sum(h).cast(_EXACT).alias(f"_t{d}") for d, h in enumerate(held)]).select(
+        *keys, sum((F.col(f"_t{d}") for d in range(1, size - 1)), F.col("_t0")).alias("turned")
+    )
 
 
 def order_inversions(orders: DataFrame, keys: list[str], ident: str = "id", pos: str = "pos", bits: int = RANGE_BITS) -> DataFrame:
@@ -87,10 +107,11 @@ def order_inversions(orders: DataFrame, keys: list[str], ident: str = "id", pos:
     )
     rows = rows.withColumns({"_i": F.shiftright("_id", bits), "_p": F.shiftright("_pos", bits)})
     cells = rows.groupBy(*named, "_i", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    parts = [_inside(rows, named, "_i", ["_id", "_pos"], "_pos"), _inside(rows, named, "_p", ["_pos", "_id"], "_i")]
+    parts = [_inside(rows, named, "_i", ["_id", "_pos"], "_pos", bits), _inside(rows, named, "_p", ["_pos", "_id"], "_i", bits)]
     largest = rows.agg(F.max("_pos")).first()[0] or 0
     top = max(0, largest.bit_length() - bits)
-    parts += [_between(cells, named, shift, DIGIT_BITS) for shift in range(0, top, DIGIT_BITS)]
+    if top:
+        parts.append(_between(cells, named, -(-top // DIGIT_BITS)))
     turned = None
     for part in parts:
         part = part.select(*named, F.col("turned").cast(_EXACT).alias("_turned"), F.lit(0).cast("long").alias("_rows"))

@@ -40,6 +40,21 @@ def test_every_pair_is_counted_once(spark, bits):
     assert got["same"].turned_share == 0 and got["back"].turned_share == 1 and got["one"].turned_share is None
 
 
+def test_counted_rows_grow_as_the_rows(spark, monkeypatch):
+    """What is summed along the id ranges is a few rows per row, however many id and position ranges there are."""
+    n, met, window = 4096, [], inversions.bucketed_window
+
+    def watched(df, *args, **more):
+        met.append(df.count())
+        return window(df, *args, **more)
+
+    monkeypatch.setattr(inversions, "bucketed_window", watched)
+    places = random.Random(6).sample(range(n), n)
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(places)], "id long, pos long")
+    (got,) = inversions.order_inversions(frame, [], bits=1).collect()
+    assert int(got.inversions) == inversions.count_turned(np.array(places)) and 0 < sum(met) <= 4 * n
+
+
 def test_repeated_ids_and_no_keys(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(20), rng.randrange(40)) for _ in range(120)]
