@@ -712,7 +712,7 @@ def prepare_corpus(spark, d):
     """JSONL files to layouts; ids follow the file order."""
     source = fresh_dir(spark, "source")
     docs = views.samples(spark, d).select("__id__", "text", F.struct("lang", "source").alias("meta"))
-    docs.repartitionByRange(4, "__id__").sortWithinPartitions("__id__").drop("__id__").write.json(source)
+    docs.repartitionByRange("__id__").sortWithinPartitions("__id__").drop("__id__").write.json(source)
     paths = feeds.prepare(spark, "text", source, fresh_dir(spark, "prepared"), ("parquet", "indexed"), parquet_rows=PARQUET_ROWS, limit=BYTE_LIMIT)
     stored, indexed = corpus.read_layout(spark, "parquet", paths["parquet"]), corpus.read_layout(spark, "indexed", paths["indexed"])
     rows = stored.select(F.lit("parquet").alias("format"), "__id__", "text", "meta").unionByName(
