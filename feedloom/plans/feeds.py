@@ -49,7 +49,7 @@ def tar_feed(
     """Shards in random order dealt to workers, windows shuffled inside shards, short last batches kept."""
     check_run("tar", modality, batch_size, workers)
     fields = {"text": "txt string", "images": "jpg binary", "image+text": "jpg binary, txt string"}[modality]
-    rows = corpus.read_tar(spark, path, fields, shard=True)
+    rows = corpus.read_tar(spark, path, fields, shard=True, apart=True)
     sizes = corpus.read_manifest(spark, path).select(F.col("file").alias("__shard__"), "n_rows")
     n_shards = require_feasible(sizes.withColumnRenamed("__shard__", "shard_id"), workers)
     ranked = assign_workers(shuffle.shard_order(sizes, "__shard__", seed, epoch), "rank", workers)

@@ -45,18 +45,26 @@ def read_image_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.struct(F.col("content").alias("bytes"), F.col("path")).alias("image"), label.alias("label"))
 
 
-def read_tar(spark: SparkSession, path: str, fields: str = "txt string", shard: bool = False, ids: tuple[int | None, int | None] = (None, None)) -> DataFrame:
-    """Tar shards as rows: ``__key__``, the fields asked for, optionally shard name and place in it; of a range of ids only its shards are opened."""
+def read_tar(spark: SparkSession, path: str, fields: str = "txt string", shard: bool = False, ids: tuple[int | None, int | None] = (None, None), apart: bool = False) -> DataFrame:
+    """Tar shards as rows: ``__key__``, the fields asked for, optionally shard name and place in it; of a range of ids only its shards are opened.
+
+    Small shards share a task unless they shall be ``apart``, one in each partition.
+    """
     register_sources(spark)
     extra = "`__shard__` string, `__place__` long, " if shard else ""
     schema = f"`__key__` string, {extra}{fields}".rstrip(", ")
-    return _between(spark.read.format("tar_shards").schema(schema).option("path", path), ids).load()
+    reader = spark.read.format("tar_shards").schema(schema).option("path", path)
+    return _between(reader if apart else _together(spark, reader), ids).load()
 
 
 def read_indexed(spark: SparkSession, path: str, ids: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """Indexed shards; of an id range (both ends inside) only its shards are opened, and read from its first sample on."""
     register_sources(spark)
-    return _between(spark.read.format("indexed_shards").option("path", path), ids).load()
+    return _between(_together(spark, spark.read.format("indexed_shards").option("path", path)), ids).load()
+
+
+def _together(spark: SparkSession, reader):
+    return reader.option("cores", spark.sparkContext.defaultParallelism)
 
 
 def _between(reader, ids: tuple[int | None, int | None]):

@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from feedloom.operators.sharding import locate
 from feedloom.schemas import INDEXED_SHARD_FORMAT
 from feedloom.session import ship_package
-from feedloom.sources.shardfiles import SHARD_LIST, IdRange, RollingWriter, RowChunks, ShardFile, exists, fenced_shards, open_fs, read_text, write_text
+from feedloom.sources.shardfiles import SHARD_LIST, IdRange, RollingWriter, RowChunks, ShardFile, exists, fenced_shards, open_fs, read_text, shard_runs, write_text
 
 INDEX = "index.json"
 _TYPES = {"int": T.LongType(), "str": T.StringType(), "bytes": T.BinaryType()}
@@ -88,26 +88,28 @@ def decode_record(data: bytes, columns: list[tuple[str, str]]) -> dict:
 
 
 class IndexedReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType, ids: IdRange):
-        self.path, self.schema, self.ids = path, schema, ids
+    def __init__(self, path: str, schema: T.StructType, ids: IdRange, cores: str | None = None):
+        self.path, self.schema, self.ids, self.cores = path, schema, ids, cores
 
     def partitions(self):
         files, root = open_fs(self.path)
         if exists(files, f"{root}/{SHARD_LIST}"):
-            return fenced_shards(self.path, self.ids)
+            return shard_runs(fenced_shards(self.path, self.ids), self.cores)
         out, first = [], 0
         for s in json.loads(read_text(files, f"{root}/{INDEX}"))["shards"]:
             begin, end = self.ids.places(first, s["samples"])
             if begin < end:
-                out.append(ShardFile(s["raw_data"]["basename"], first, s["samples"]))
+                out.append(ShardFile(s["raw_data"]["basename"], first, s["samples"], s["raw_data"].get("bytes")))
             first += s["samples"]
-        return out
+        return shard_runs(out, self.cores)
 
     def read(self, partition):
+        for shard in partition.shards if partition is not None else []:  # no shards: Spark still asks once
+            yield from self.read_shard(shard)
+
+    def read_shard(self, partition):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        if partition is None:  # no shards: Spark still asks once
-            return
         files, root = open_fs(self.path)
         with files.open_input_file(f"{root}/{partition.name}") as source:
             (count,) = struct.unpack("<I", source.read(4))
@@ -187,7 +189,7 @@ class IndexedWriter(RollingWriter):
 
 
 class IndexedShards(DataSource):
-    """Options: ``path``; for reading ``first_id``, ``last_id``; for writing ``size_limit`` (bytes), ``greedy`` (strict limit per id range)."""
+    """Options: ``path``; for reading ``cores`` (small shards then share a task), ``first_id``, ``last_id``; for writing ``size_limit`` (bytes), ``greedy`` (strict limit per id range)."""
 
     @classmethod
     def name(cls):
@@ -200,7 +202,7 @@ class IndexedShards(DataSource):
         return spark_schema(columns)
 
     def reader(self, schema):
-        return IndexedReader(self.options["path"], schema, IdRange(self.options))
+        return IndexedReader(self.options["path"], schema, IdRange(self.options), self.options.get("cores"))
 
     def writer(self, schema, overwrite):
         limit = self.options.get("size_limit")

@@ -21,6 +21,8 @@ SHARD_LIST = "shards.jsonl"
 READ_ROWS = 1024
 SLICE_ROWS = 256
 READ_BYTES = 32 << 20
+# What a task reads where shards are small: at most, and at least.
+TASK_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 
 
 def open_fs(path: str):
@@ -62,9 +64,38 @@ class ShardFile(InputPartition):
 
     name: str
 
-    def __init__(self, name: str, first: int | None = None, rows: int | None = None):
+    def __init__(self, name: str, first: int | None = None, rows: int | None = None, size: int | None = None):
         super().__init__(name)
-        self.name, self.first, self.rows = name, first, rows
+        self.name, self.first, self.rows, self.size = name, first, rows, size
+
+
+@dataclass
+class ShardRun(InputPartition):
+    """Neighbouring shards that one task reads one after the other."""
+
+    shards: list
+
+    def __init__(self, shards: list):
+        super().__init__(shards)
+        self.shards = shards
+
+
+def shard_runs(shards: list[ShardFile], cores: str | int | None) -> list[ShardRun]:
+    """Shards in order, dealt to tasks: one each, or, given the ``cores`` that will read them, small ones together.
+
+    A task gets up to ``TASK_BYTES``, and less where that would leave cores without work. A shard of unknown size has its own task.
+    """
+    runs, held = [], 0
+    if cores is not None:
+        total = sum(s.size or 0 for s in shards)
+        most = min(TASK_BYTES, max(LEAST_BYTES, total // (3 * int(cores))))
+    for shard in shards:
+        if cores is None or shard.size is None or not runs or runs[-1][-1].size is None or held + shard.size > most:
+            runs.append([])
+            held = 0
+        runs[-1].append(shard)
+        held += shard.size or 0
+    return [ShardRun(run) for run in runs]
 
 
 class IdRange:
@@ -95,7 +126,7 @@ def fenced_shards(path: str, ids: IdRange) -> list[ShardFile]:
     files, root = open_fs(path)
     listed = [json.loads(line) for line in read_text(files, f"{root}/{SHARD_LIST}").splitlines() if line]
     some = [s for s in listed if (ids.first is None or s["last_id"] >= ids.first) and (ids.last is None or s["first_id"] <= ids.last)]
-    return [ShardFile(s["file"], s["first_id"] if s["last_id"] - s["first_id"] + 1 == s["n_rows"] else None, s["n_rows"]) for s in some]
+    return [ShardFile(s["file"], s["first_id"] if s["last_id"] - s["first_id"] + 1 == s["n_rows"] else None, s["n_rows"], s["bytes"]) for s in some]
 
 
 @dataclass
@@ -229,6 +260,14 @@ class RollingWriter(DataSourceArrowWriter):
                     files.delete_file(f"{root}/{shard['file']}")
 
 
+def every_shard(path: str, suffix: str) -> list[ShardFile]:
+    """All shards: with sizes from the shard list, else by name from the listing."""
+    files, root = open_fs(path)
+    if exists(files, f"{root}/{SHARD_LIST}"):
+        return fenced_shards(path, IdRange({}))
+    return [ShardFile(name) for name in shard_names(path, suffix)]
+
+
 def shard_names(path: str, suffix: str) -> list[str]:
     """Shard files in name order: from the manifest, else from the listing."""
     from pyarrow import fs

@@ -1,6 +1,6 @@
 """Key-matched tar shards as a Spark data source (``tar_shards``).
 
-One tar is one task.  Entries ``<key>.<field>`` of one key form a row; a field
+One tar is one task, or, told the ``cores`` that read, small tars share one.  Entries ``<key>.<field>`` of one key form a row; a field
 the sample lacks is NULL.  A schema may also ask for the shard's name
 (``__shard__``) and the sample's 0-based place in it (``__place__``).
 """
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from feedloom.schemas import KEY_FORMAT, TAR_SHARD_FORMAT
-from feedloom.sources.shardfiles import IdRange, RollingWriter, RowChunks, ShardFile, fenced_shards, open_fs, shard_names, write_text
+from feedloom.sources.shardfiles import IdRange, RollingWriter, RowChunks, every_shard, fenced_shards, open_fs, shard_runs, write_text
 
 KEY = "__key__"
 SHARD = "__shard__"
@@ -23,19 +23,19 @@ _STEERING = {"shard_id", "__id__", KEY, SHARD, PLACE}
 
 
 class TarReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType, ids: IdRange):
-        self.path, self.schema, self.ids = path, schema, ids
+    def __init__(self, path: str, schema: T.StructType, ids: IdRange, cores: str | None = None):
+        self.path, self.schema, self.ids, self.cores = path, schema, ids, cores
 
     def partitions(self):
-        if self.ids:
-            return fenced_shards(self.path, self.ids)
-        return [ShardFile(name) for name in shard_names(self.path, ".tar")]
+        return shard_runs(fenced_shards(self.path, self.ids) if self.ids else every_shard(self.path, ".tar"), self.cores)
 
     def read(self, partition):
+        for shard in partition.shards if partition is not None else []:  # no shards: Spark still asks once
+            yield from self.read_shard(shard)
+
+    def read_shard(self, partition):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        if partition is None:  # no shards: Spark still asks once
-            return
         fields = {f.name: f.dataType for f in self.schema if f.name not in _STEERING}
         chunks = RowChunks(to_arrow_schema(self.schema))
         files, root = open_fs(self.path)
@@ -125,7 +125,7 @@ class TarWriter(RollingWriter):
 
 
 class TarShards(DataSource):
-    """Options: ``path``; ``first_id``, ``last_id`` for keys that are ids, in a layout with a shard list.  Give the fields to read with ``.schema``; the default is text."""
+    """Options: ``path``; ``cores`` to let small tars share a task; ``first_id``, ``last_id`` for keys that are ids, in a layout with a shard list.  Give the fields to read with ``.schema``; the default is text."""
 
     @classmethod
     def name(cls):
@@ -135,7 +135,7 @@ class TarShards(DataSource):
         return f"`{KEY}` string, txt string"
 
     def reader(self, schema):
-        return TarReader(self.options["path"], schema, IdRange(self.options))
+        return TarReader(self.options["path"], schema, IdRange(self.options), self.options.get("cores"))
 
     def writer(self, schema, overwrite):
         return TarWriter(self.options["path"], [n for n in schema.names if n not in _STEERING])
