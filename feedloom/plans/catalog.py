@@ -924,15 +924,12 @@ def marked_runs(spark, d):
 
 
 def _event_stream(spark, d) -> DataFrame:
-    schema = views.table(spark, d, "events").schema
-    events = live.read_stream(spark, d, schema, "events.parquet")
-    return events.withColumn("at", F.timestamp_micros(views.micros()))
+    return views.table_stream(spark, d, "events").withColumn("at", F.timestamp_micros(views.micros()))
 
 
 def _ending_event_stream(spark, d) -> tuple[DataFrame, live.End]:
     """The events as a stream that has an end."""
-    schema = views.table(spark, d, "events").schema
-    events, end = live.with_end(live.read_stream(spark, d, schema, "events.parquet"), "ts")
+    events, end = live.with_end(views.table_stream(spark, d, "events"), "ts")
     return events.withColumn("at", F.timestamp_micros(views.micros())), end
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.schemas import BATCH_SIZES
+from feedloom.streaming.gauges import read_stream
 
 SEED = 42
 BATCH = 64
@@ -27,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of them."""
+    # A file can't be the folder a stream starts at, but what a pattern finds may be either.
+    return read_stream(spark, f"{sf_dir.rstrip('/')}/{name}[.]parquet", table(spark, sf_dir, name).schema, "*")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text corpus; doc_id is dense from 0 in file order."""
     return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "__id__")

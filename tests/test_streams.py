@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import __spark_entry__ as entry
 from feedloom.plans import views
 from feedloom.session import fresh_dir
 from feedloom.streaming import gauges as live
@@ -94,6 +95,37 @@ def test_counters_over_many_micro_batches(spark, sf, tmp_path):
     assert {(r.run, r.batches, r.total_samples) for r in table.collect()} == {(r.run, r.b, r.n) for r in want}
 
 
+@pytest.fixture(scope="module")
+def by_folder(spark, tmp_path_factory):
+    """The same events as a table of one file and as a folder of three."""
+    kinds = ["view", "click", "error"]
+    rows = [(i, at(97 * i), i % 11, kinds[i % 3], float(i % 50), None) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    where = tmp_path_factory.mktemp("events")
+    events.repartition(3).write.parquet(f"{where}/folder/events.parquet")
+    events.coalesce(1).write.parquet(f"{where}/raw")
+    (part,) = (where / "raw").glob("*.parquet")
+    (where / "file").mkdir()
+    part.rename(where / "file" / "events.parquet")
+    return where
+
+
+def same_by_folder(spark, where, name):
+    """Rows of a query, which are the same from both."""
+    whole, parts = (sorted(str(r) for r in entry.queries()[name](spark, f"{where}/{kind}").collect()) for kind in ("file", "folder"))
+    assert parts == whole
+    return whole
+
+
+def test_current_values_of_a_table_in_a_folder(spark, by_folder):
+    assert same_by_folder(spark, by_folder, "gauge_upserts")
+
+
+@pytest.mark.parametrize("name", ["gauge_windows_stream", "gauge_latest_stream", "run_spans_stream"])
+def test_windows_of_a_table_in_a_folder(spark, by_folder, name):
+    assert same_by_folder(spark, by_folder, name)
+
+
 def test_a_stream_with_an_end_closes_every_window(spark, feed):
     readings, end = live.with_end(stream(spark, feed).where("id <> 200"), "ts")
     table = live.append_table(spark, live.window_stats(readings, ["k"], F.col("v"), 5), "e", end)
