@@ -121,6 +121,10 @@ def test_current_values_of_a_table_in_a_folder(spark, by_folder):
     assert same_by_folder(spark, by_folder, "gauge_upserts")
 
 
+def test_counters_of_a_table_in_a_folder(spark, by_folder):
+    assert same_by_folder(spark, by_folder, "live_counters")
+
+
 @pytest.mark.parametrize("name", ["gauge_windows_stream", "gauge_latest_stream", "run_spans_stream"])
 def test_windows_of_a_table_in_a_folder(spark, by_folder, name):
     assert same_by_folder(spark, by_folder, name)
