@@ -29,7 +29,8 @@ def open_fs(path: str):
     """(filesystem, path on it).
 
     A bare path is a folder of this machine, so only a local session takes one; on a
-    cluster name the scheme, ``file://`` for a folder mounted everywhere.
+    cluster name the scheme, ``file://`` for a folder mounted everywhere.  What follows
+    ``file:`` is a name as Spark takes it, not an escaped URI: spaces and ``%`` are themselves.
     """
     from pyarrow import fs
     from pyspark import SparkContext
@@ -37,6 +38,8 @@ def open_fs(path: str):
     context = SparkContext._active_spark_context
     if ":" not in path and context is not None and not re.match(r"local($|\[)", context.master):
         raise ValueError(f"on a cluster {path} would be another folder on every machine: give it with its scheme")
+    if named := re.fullmatch(r"file:(?://)?(/(?!/).*)", path, re.DOTALL):
+        return fs.LocalFileSystem(), named[1].rstrip("/") or "/"
     return fs.FileSystem.from_uri(path if ":" in path else os.path.abspath(path))
 
 

@@ -54,3 +54,20 @@ def found(folder):
 def test_bare_shared_folder_on_a_cluster(spark, folder, found, name):
     here = sorted(str(r) for r in entry.queries()[name](spark, f"{folder}/tables").collect())
     assert here and found[name] == here
+
+
+SPACED = ["feed_indexed", "gauge_upserts", "live_counters"]
+
+
+@pytest.fixture(scope="module")
+def found_spaced(folder):
+    env = os.environ | {"PYTHONPATH": os.path.dirname(entry.__file__)}
+    child = CHILD.replace("/shared", "/my shared%20folder").replace("found.json", "spaced.json")
+    subprocess.run([sys.executable, "-c", child, str(folder), *SPACED], env=env, check=True, timeout=600)
+    return json.loads((folder / "spaced.json").read_text())
+
+
+@pytest.mark.parametrize("name", SPACED)
+def test_shared_folder_named_as_spark_takes_it(spark, folder, found_spaced, name):
+    here = sorted(str(r) for r in entry.queries()[name](spark, f"{folder}/tables").collect())
+    assert here and found_spaced[name] == here

@@ -286,3 +286,15 @@ def test_bare_paths_are_refused_on_a_cluster(monkeypatch):
     with pytest.raises(ValueError, match="scheme"):
         open_fs("/data/out")
     assert open_fs("file:///data/out")[1] == "/data/out"
+
+
+def test_file_names_are_not_escaped_uris(tmp_path):
+    from feedloom.sources.shardfiles import exists, open_fs
+
+    where = tmp_path / "my out%20" / "50%"
+    where.mkdir(parents=True)
+    for start in ("file:", "file://"):
+        files, root = open_fs(f"{start}{where}/")
+        assert root == str(where) and exists(files, root)
+    with pytest.raises(ValueError):
+        open_fs("file://elsewhere/data")
