@@ -56,7 +56,7 @@ def test_bare_shared_folder_on_a_cluster(spark, folder, found, name):
     assert here and found[name] == here
 
 
-SPACED = ["feed_indexed", "feed_tar", "gauge_upserts", "indexed_greedy", "live_counters", "random_access"]
+SPACED = ["feed_indexed", "feed_tar", "gauge_upserts", "indexed_greedy", "live_counters", "random_access", "storage_footprint"]
 
 
 @pytest.fixture(scope="module")
