@@ -22,11 +22,21 @@ def _whole(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct("*").alias("_whole"))
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """The same with the text only once, beside its other columns, for steps that hand the text on as it is."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest"))
+
+
+def _together(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*[F.col("text") if c == "text" else F.col("_rest").getField(c).alias(c) for c in columns])
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on their labels, scores at the line or above."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = quality.fit(docs, labels, ~held_out(4))
-    return quality.quality_scores(_whole(docs), weights, ["_whole"]).where(F.col("score") >= QUALITY_LINE).select("_whole.*")
+    scored = quality.quality_scores(_apart(docs), weights, ["_rest", "text"])
+    return _together(scored.where(F.col("score") >= QUALITY_LINE), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +64,8 @@ def repeats_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.contamination(_whole(docs), items, ["_whole"]).where("NOT contaminated").select("_whole.*")
+    found = decontaminate.contamination(_apart(docs), items, ["_rest", "text"])
+    return _together(found.where("NOT contaminated"), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
