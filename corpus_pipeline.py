@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm import decontaminate, packing, quality, simhash, substring, token_counts
 from feedloom.llm.queries import QUALITY_LINE, WORD_BPE, held_out, vocabulary_path
+from feedloom.llm.words import quoted
 from feedloom.session import settle
 
 ORACLE_SQL = None
@@ -24,7 +25,7 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 def _apart(docs: DataFrame) -> DataFrame:
     """The same with the text only once, beside its other columns, for steps that hand the text on as it is."""
-    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest"))
+    return docs.select("doc_id", "text", F.struct(*[quoted(c) for c in docs.columns if c != "text"]).alias("_rest"))
 
 
 def _together(docs: DataFrame, columns: list[str]) -> DataFrame:
