@@ -317,7 +317,7 @@ def _search_groups(k: int, size: int, shared):
                     if side[a] == 0:
                         rows.add(_matrix(part.column(3), COPIES), ids, v)
                     else:
-                        found = rows.search(ids, v, part.column(4).to_numpy())
+                        found = rows.search(ids, v, part.column(4).to_numpy(), _matrix(part.column(3), COPIES)[:, 0])
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     return run
@@ -360,8 +360,8 @@ class Group:
             length = np.sqrt((v.astype(np.float64) ** 2).sum(1))
             self.runs[i] = at, np.unique(at), ids, v, length
 
-    def search(self, ids: np.ndarray, q: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query ids, row ids and scores of the k best rows with a list at most ``reach`` away, ties to the smaller id."""
+    def search(self, ids: np.ndarray, q: np.ndarray, reach: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, row ids and scores of the k best rows with a list at most ``reach`` away or in the query's own list, ties to the smaller id."""
         if self.met is None:
             self._ready()
         k, n, q = self.k, len(ids), q.astype(np.float64)
@@ -371,6 +371,11 @@ class Group:
         for at in range(0, len(self.met), 1024):
             far = np.sqrt(np.maximum(2 - 2 * (self.centroids[self.met[at : at + 1024]] @ unit.T), 0))
             probes[at : at + len(far)] = far <= reach
+        if own is not None and len(self.met):
+            # The nearest list always is searched: a distance of nearly nothing is rounding, and comes out otherwise here.
+            at = np.minimum(np.searchsorted(self.met, own), len(self.met) - 1)
+            there = np.flatnonzero(self.met[at] == own)
+            probes[at[there], there] = True
         unit = unit.astype(np.float32)
         # The sum of single products of unit vectors is off by less than this.
         slack = (q.shape[1] + 8) * 1.2e-7

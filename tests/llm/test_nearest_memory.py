@@ -60,6 +60,18 @@ def test_groups_find_the_best_rows_of_the_lists_in_reach(kind, monkeypatch):
     assert got == best_of(q.astype(float), q_ids, reach, v.astype(float), ids, lists, centroids, k)
 
 
+def test_a_query_on_its_centroid_searches_its_own_list():
+    rng = np.random.default_rng(6)
+    centroids = unit(rng.normal(size=(40, 64)))
+    lists = np.full((40 * 3, ann.COPIES), -1, np.int32)
+    lists[:, 0] = np.repeat(np.arange(40), 3)
+    v = np.repeat(centroids, 3, axis=0) * 3.7
+    group = ann.Group(centroids, 2)
+    group.add(lists, np.arange(120), v)
+    q, vec, _ = group.search(np.arange(120), v, np.full(120, 1e-12), lists[:, 0])
+    assert sorted(zip(q.tolist(), vec.tolist(), strict=True)) == [(i, j) for i in range(120) for j in range(i // 3 * 3, i // 3 * 3 + 3) if i != j]
+
+
 def test_rows_that_only_share_a_mark_stay():
     v = np.repeat(np.arange(1, 4, dtype=np.float32)[:, None] * np.ones((1, 4), np.float32), 5, axis=0)
     lists, ids = np.zeros((15, ann.COPIES), np.int32), np.arange(15)[::-1].copy()
